@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each hold QUERIES and ORACLES.
-MODULES = ("q_chat", "q_simhash")
+MODULES = ("q_warc", "q_substring", "q_simhash", "q_chat")
 
 
 def queries() -> dict:
