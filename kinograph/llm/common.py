@@ -74,6 +74,23 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
+#: Bytes of rows that go to a Python worker at once, unless the session sets its own.
+BATCH_BYTES = 8 << 20
+_UNBOUNDED = 64 << 20
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, however long the texts are."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        bound = int(conf.get(name).rstrip("b"))
+    except ValueError:
+        bound = 0  # set with a unit, by the user
+    if bound >= _UNBOUNDED:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def strings(column: pa.Array) -> list:
     """The values of a string column as bytes; None where null."""
     return column.cast(pa.binary()).to_pylist()

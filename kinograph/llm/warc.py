@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import drop, materialize
+from kinograph.llm.common import drop, map_arrow, materialize
 
 MAGIC = "WARC/1.0\r\n"
 SEPARATOR = "\r\n" + MAGIC
@@ -115,7 +115,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = at == 0 and block == 0
             if not first or head.startswith(MAGIC.encode()):
                 skip = len(MAGIC) if first else 0
-                size, length = _header_end(head[skip:])
+                size, length = _header_end(head[skip:] + b"\r\n\r\n") if len(head) + 4 <= min(n, HEADER_BYTES) else (0, 0)
                 found.append((0 if first else at - len(MAGIC), at + skip + size + length + 4 if size else None))
             at += n + len(SEPARATOR)
     if key:
@@ -125,8 +125,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _entries(spark: SparkSession, path: str) -> DataFrame:
     """Per split: file, block, base, entry (offset of its first record in the split or null), and the
     record (owner) that the bytes before it belong to, with its end."""
-    lines = _lines(spark, path).select("file", "block", F.substring("value", 1, HEADER_BYTES).alias("head"), F.octet_length("value").cast("long").alias("n"))
-    marks = materialize(lines.mapInArrow(_candidates, "file string, block long, pos long, exit long, last long, len long"), "candidates")
+    head = F.substring_index(F.substring("value", 1, HEADER_BYTES).cast("string"), "\r\n\r\n", 1).cast("binary")  # no payload goes to Python
+    lines = _lines(spark, path).select("file", "block", head.alias("head"), F.octet_length("value").cast("long").alias("n"))
+    marks = materialize(map_arrow(lines, _candidates, "file string, block long, pos long, exit long, last long, len long"), "candidates")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = materialize(marks.where("pos IS NULL").select("file", "block", F.coalesce(F.sum("len").over(before), F.lit(0)).alias("base")), "blocks")
     placed = marks.where("pos IS NOT NULL").join(blocks, ["file", "block"]).select("file", "block", (F.col("base") + F.col("pos")).alias("pos"), (F.col("base") + F.col("exit")).alias("jump"), (F.col("base") + F.col("last")).alias("last"))
@@ -211,7 +212,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     else:  # shuffled by split, whose size bounds a group, and put back in order
         placed = lines.withColumn("i", F.monotonically_increasing_id()).join(plan.hint("merge"), ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "i")
     placed = placed.select("file", "block", "base", "entry", "owner", "owner_end", "value")
-    parts = placed.mapInArrow(_records, "file string, pos long, at long, headers map<string,string>, need long, data binary")
+    parts = map_arrow(placed, _records, "file string, pos long, at long, headers map<string,string>, need long, data binary")
     whole = parts.where("need IS NOT NULL AND octet_length(data) = need").select("file", "pos", "headers", F.col("data").alias("payload"))
     if not ragged:
         return whole
