@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import LOWER, materialize, slices, strings
+from kinograph.llm.common import LOWER, map_arrow, materialize, slices, strings
 from kinograph.llm.components import connected_components
 
 RADIUS = 3
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprints, "doc_id long, fp long")
 
 
 def covering_masks(bits: list[int]) -> list[int]:

@@ -4,9 +4,10 @@ The gear hash (h = 2h + gear[byte], here its low 16 bits, so that it depends on
 cuts a text after white space where its top bits fall under a threshold, and anywhere else where a
 rarer condition holds, so texts without spaces have chunks too. Cuts depend on nearby bytes only:
 an insertion shifts nothing beyond the next cut. Chunks are counted by 64-bit digest; a run of
-consecutive chunks that each stand elsewhere too, of at least ``least`` bytes, is a repeated
-passage. All of a passage goes but its copy in the document with the smallest id (and there, all
-but the first). A digest shared by chance cannot make a run.
+consecutive chunks that each stand in another document too, of at least ``least`` bytes, is a
+repeated passage. A passage goes where each of its chunks stands in a document of a smaller id,
+so that the first copy stays. Repeats within one document stay. A short chunk that many texts
+share, or a digest shared by chance, cannot make a run.
 
 Counts are combined before the shuffle and written as a table; occurrences then meet them in a join of
 two plain tables, which Spark splits where a chunk is in very many documents.
@@ -26,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import materialize, row_key, slices, strings
+from kinograph.llm.common import map_arrow, materialize, row_key, slices, strings
 
 #: Bytes that a repeated passage has at least.
-LEAST_BYTES = 130
+LEAST_BYTES = 90
 #: Spans up to which the rows that lose text are broadcast rather than shuffled with the texts.
 BROADCAST_SPANS = 500_000
 
@@ -38,7 +39,7 @@ WINDOW = 16
 GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 16, 256, dtype=np.uint16)
 GEAR[0] = 0
 #: The hash's top byte is under this after white space in one of about five words ...
-AT_SPACE = 51
+AT_SPACE = 68
 #: ... and the whole hash under this within words, once in about 2,000 bytes.
 WITHIN = 32
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -85,7 +86,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunks(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, row, span) for each chunk; span holds its start and end, in bytes, as 32 bits each."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("row"))
-    return rows.mapInArrow(_chunks, "digest long, doc_id long, row long, span long")
+    return map_arrow(rows, _chunks, "digest long, doc_id long, row long, span long")
+
+
+def _runs(spans: list[tuple], least: int) -> list[tuple]:
+    """(begin, end, ids) of runs of adjacent (begin, end, id) that hold ``least`` bytes."""
+    runs: list = []
+    for a, b, i in spans:
+        if runs and runs[-1][1] == a:
+            runs[-1][1] = b
+            runs[-1][2].add(i)
+        else:
+            runs.append([a, b, {i}])
+    return [tuple(r) for r in runs if r[1] - r[0] >= least]
 
 
 def _passages(least: int):
@@ -94,30 +107,11 @@ def _passages(least: int):
         for batch in batches:
             out = []
             for row, own, found in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found")), strict=True):
-                seen = {f["span"]: (f["digest"], f["first"]) for f in found}  # rows repeated as a whole give each span again
-                order = sorted(seen)
-                runs = []
-                for span in order:
-                    a, b = span >> 32, span & 0xFFFFFFFF
-                    if runs and runs[-1][-1][1] == a:
-                        runs[-1].append((a, b, *seen[span]))
-                    else:
-                        runs.append([(a, b, *seen[span])])
-                gone, firsts, shared, met = [], set(), 0, set()
-                for run in runs:
-                    if run[-1][1] - run[0][0] < least:
-                        met.update(d for _, _, d, _ in run)
-                        continue
-                    shared += run[-1][1] - run[0][0]
-                    for a, b, d, first in run:
-                        if first is not None and first != own or d in met:
-                            firsts.add(first)
-                            if gone and gone[-1][1] == a:
-                                gone[-1][1] = b
-                            else:
-                                gone.append([a, b])
-                        met.add(d)
-                out.append((row, shared, [{"begin": a, "end": b} for a, b in gone], sorted(x for x in firsts if x is not None and x != own)))
+                first = {f["span"]: f["first"] for f in found}  # rows repeated as a whole give each span again
+                order = sorted((span >> 32, span & 0xFFFFFFFF, first[span]) for span in first)
+                shared = sum(b - a for a, b, _ in _runs(order, least))
+                gone = _runs([x for x in order if x[2] is not None and x[2] != own], least)
+                out.append((row, shared, [{"begin": a, "end": b} for a, b, _ in gone], sorted({x for *_, ids in gone for x in ids})))
             columns = list(zip(*out, strict=True)) or [()] * 4
             types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "shared", "gone", "first_ids"])
@@ -132,11 +126,12 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     ``first_ids``: the documents that hold the copies that stay.
     """
     found = chunks(docs)
-    counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("digest", "first")
+    counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.count("doc_id").alias("named"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    counted = counted.where("first < last OR named BETWEEN 1 AND n - 1").select("digest", "first")
     repeated = materialize(counted, "chunks")
     met = found.join(repeated, "digest")
-    of_row = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("span", "digest", "first")).alias("found"))
-    return of_row.mapInArrow(_passages(least), "row long, shared long, gone array<struct<begin:long,end:long>>, first_ids array<long>").where("shared > 0")
+    of_row = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("span", "first")).alias("found"))
+    return map_arrow(of_row, _passages(least), "row long, shared long, gone array<struct<begin:long,end:long>>, first_ids array<long>").where("shared > 0")
 
 
 def without(text, gone):
