@@ -74,6 +74,19 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
+#: Row keys up to which a list of rows to drop is broadcast (16 bytes each); a longer one is joined by shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key of (doc_id, text) is in ``keys`` (row)."""
+    keys = materialize(keys.select("row"), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+    names = docs.columns
+    left = docs.select(F.struct("*").alias("doc"), row_key("doc_id", "text").alias("row")).join(keys, "row", "left_anti")
+    return left.select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
+
+
 #: Bytes of rows that go to a Python worker at once, unless the session sets its own.
 BATCH_BYTES = 8 << 20
 _UNBOUNDED = 64 << 20

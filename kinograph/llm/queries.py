@@ -10,7 +10,10 @@ MODULES = ("q_warc", "q_substring", "q_decontaminate", "q_toxicity", "q_simhash"
 
 def queries() -> dict:
     """name -> callable(spark, sf_dir)."""
-    return {k: v for name in MODULES for k, v in importlib.import_module(f"kinograph.llm.{name}").QUERIES.items()}
+    import corpus_pipeline
+
+    own = {k: v for name in MODULES for k, v in importlib.import_module(f"kinograph.llm.{name}").QUERIES.items()}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import LOWER, map_arrow, materialize, slices, strings
+from kinograph.llm.common import LOWER, drop_rows, map_arrow, materialize, row_key, slices, strings
 from kinograph.llm.components import connected_components
 
 RADIUS = 3
@@ -55,12 +55,13 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         found = np.array([fingerprint(t) for t in strings(batch.column("text"))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found)], ["doc_id", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``."""
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprints, "doc_id long, fp long")
+    """(doc_id, row, fp) for each row of ``docs``; row is its row key."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("row"))
+    return map_arrow(rows, _fingerprints, "doc_id long, row long, fp long")
 
 
 def covering_masks(bits: list[int]) -> list[int]:
@@ -140,12 +141,29 @@ def links(classes: DataFrame, direct: int = 4096) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, direct: int = 4096) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: the smallest doc_id reachable by links of at most 3 bits."""
+    """(doc_id, row, fp, root, component_id) for each row: the smallest doc_id reachable by links of at most 3 bits.
+
+    ``root`` is the component's smallest fingerprint, as a signed number.
+    """
     found = materialize(fingerprints(docs), "fingerprints")
     classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = connected_components(links(classes, direct)).withColumnRenamed("node", "fp")
     linked = materialize(roots.join(classes, "fp"), "linked")
     firsts = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
-    named = linked.join(firsts, "root").select("fp", "component_id")
-    labels = materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
-    return found.join(labels, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(firsts, "root").select("fp", "root", "component_id")
+    labels = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return found.join(materialize(labels, "components"), "fp").select("doc_id", "row", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest doc_id (of those, of the smallest row key)."""
+    labels = materialize(near_duplicates(docs).select("row", "root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")), "labels")
+    least = materialize(labels.groupBy("root").agg(F.min("id").alias("least")), "least")
+    tied = materialize(labels.join(least, "root").where("id = least").groupBy("root").agg(F.min("row").alias("kept"), F.count("*").alias("n")), "kept")
+    dropped = labels.join(tied, "root").where("row <> kept").select("row").distinct()
+    out = drop_rows(docs, dropped)
+    if tied.where("n > 1").isEmpty():
+        return out
+    # equal rows have one key, so some may have stayed together
+    names = out.columns
+    return out.select(F.struct("*").alias("doc"), row_key("doc_id", "text").alias("row")).groupBy("row").agg(F.first("doc").alias("doc")).select(*[F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -76,7 +76,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t or b"" for t in strings(batch.column("text"))]
         found = cuts(texts)
         counts = [len(c) for c in found]
-        digests = np.fromiter((digest(t[a:b]) for t, c in zip(texts, found, strict=True) for a, b in zip([0, *c[:-1].tolist()], c.tolist(), strict=True)), np.uint64, sum(counts))
+        digests = np.fromiter((digest(t[a:b]) for t, c in zip(texts, found, strict=True) for a, b in zip([0, *c.tolist()], c.tolist(), strict=False)), np.uint64, sum(counts))
         ends = np.concatenate([np.empty(0, np.int64), *found])
         starts = np.concatenate([np.empty(0, np.int64), *[np.append(0, c[:-1])[: len(c)] for c in found]])
         rows = pa.array(np.repeat(np.arange(len(texts)), counts))
