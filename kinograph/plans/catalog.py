@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from kinograph.plans import overlay
+    from kinograph.plans import coverage, overlay, tiles
 
-    return (overlay,)
+    return overlay, coverage, tiles
 
 
 def queries() -> dict:
