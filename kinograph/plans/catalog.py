@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from kinograph.plans import coverage, overlay, tiles
+    from kinograph.plans import coverage, overlay, quality, tiles
 
-    return overlay, coverage, tiles
+    return overlay, coverage, tiles, quality
 
 
 def queries() -> dict:
