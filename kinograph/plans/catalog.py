@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from kinograph.plans import coverage, overlay, quality, tiles
+    from kinograph.plans import coverage, overlay, parts, quality, shots, tiles
 
-    return overlay, coverage, tiles, quality
+    return overlay, coverage, tiles, quality, shots, parts
 
 
 def queries() -> dict:
