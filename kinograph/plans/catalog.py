@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from kinograph.plans import coverage, overlay, parts, quality, shots, tiles
+    from kinograph.plans import coverage, geometry, jobs, overlay, parts, quality, shots, tiles
 
-    return overlay, coverage, tiles, quality, shots, parts
+    return overlay, coverage, tiles, quality, shots, parts, jobs, geometry
 
 
 def queries() -> dict:
