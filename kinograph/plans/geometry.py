@@ -158,8 +158,8 @@ ORACLES = {
     "flag_argv": f"""WITH e AS (SELECT event_id, event_type AS t, json_extract_string(props, '$.k')::BIGINT AS k FROM events) SELECT event_id, CASE
       {' '.join(f"WHEN t = '{a}' AND k IS NOT NULL THEN '{f} ' || k" for a, f in VALUE_FLAGS.items())} {' '.join(f"WHEN t = '{a}' AND k % 2 = 0 THEN '{f}'" for a, f in OFF_FLAGS.items())} ELSE '' END AS argv FROM e""",
     "size_and_time_text": """WITH o AS (SELECT o_orderkey, floor(o_totalprice * pow(10, o_orderkey % 6))::BIGINT AS n FROM orders)
-      SELECT o_orderkey, CASE WHEN n >= 1024::BIGINT ** 4 THEN format('{:.1f} TiB', n / 1024 ** 4) WHEN n >= 1024 ** 3 THEN format('{:.1f} GiB', n / 1024 ** 3) WHEN n >= 1024 ** 2 THEN format('{:.1f} MiB', n / 1024 ** 2)
-        WHEN n >= 1024 THEN format('{:.1f} KiB', n / 1024) ELSE n || ' B' END AS size,
+      SELECT o_orderkey, CASE WHEN n >= 1024::BIGINT ** 4 THEN format('{:.1f} TiB', round(n / 1024 ** 4, 1)) WHEN n >= 1024 ** 3 THEN format('{:.1f} GiB', round(n / 1024 ** 3, 1)) WHEN n >= 1024 ** 2 THEN format('{:.1f} MiB', round(n / 1024 ** 2, 1))
+        WHEN n >= 1024 THEN format('{:.1f} KiB', round(n / 1024, 1)) ELSE n || ' B' END AS size,
         (n % 100000 // 3600) || ':' || lpad((n % 100000 // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((n % 100000 % 60)::VARCHAR, 2, '0') AS time FROM o""",
     "extension_filter": r"WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z0-9]+://[^/?#]*/([^?#]*)', 1) AS path FROM pages) SELECT * FROM p WHERE regexp_matches(path, '/\d{1,2}$') AND NOT contains(path, '-clean')",
     "frame_exact_seek": "SELECT o_orderkey, o_orderkey % 5000 AS start, round(greatest((o_orderkey % 5000 - 0.5::DOUBLE) * 1001 / 30000, 0), 6) AS seek FROM orders",
