@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from kinograph.plans import coverage, geometry, jobs, overlay, parts, quality, shots, streams, tiles
+    from kinograph.plans import coverage, geometry, jobs, overlay, parts, quality, records, shots, streams, tiles
 
-    return overlay, coverage, tiles, quality, shots, parts, jobs, geometry, streams
+    return overlay, coverage, tiles, quality, shots, parts, jobs, geometry, streams, records
 
 
 def queries() -> dict:
