@@ -30,7 +30,7 @@ from kinograph.llm.common import map_arrow, materialize, row_key, slices, string
 
 WINDOW = 10
 #: Characters of benchmark text that one block holds, so that its windows fit in any task.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 2 << 20
 #: Characters of words: digits, letters of ASCII and everything beyond ASCII; A-Z are lower-cased.
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 

@@ -67,7 +67,7 @@ class Machine:
         for word in set(_WORD.findall((text or "").lower())):
             rows = known.get(word)
             if rows is None:
-                rows = known[word] = [self.bins[b] for b in _bins(word) if b in self.bins]
+                rows = known[word] = [self.bins[b] for b in _bins(word) if b in self.bins] or ()
             if rows:
                 found.update(rows)
         return sorted(found)
@@ -145,8 +145,8 @@ def fit_labels(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> M
     """The machine for the labelled rows of ``docs`` that are not held out, ``rows`` of them at most."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder(5) != 0)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.text or ""))[: 2 * rows]
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    got = sorted(own.collect(), key=lambda r: r.doc_id)
     return fit([(r.text, int(r.toxic > 0)) for r in got])
 
 
