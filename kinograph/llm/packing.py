@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinograph.llm.common import LOWER, map_arrow, materialize, row_key, slices, strings
-from kinograph.llm.token_counts import counter
+from kinograph.llm.token_counts import Counter
 
 CAPACITY = 4096
 #: Documents of a shard, about.
@@ -93,12 +93,11 @@ def pack(items: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
 
 def measure(docs: DataFrame, vocabulary: tuple) -> DataFrame:
     """(row, doc_id, source, cluster, tokens) for each row: cluster is a digest of the folded words."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(Counter(vocabulary))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(shared.value)
         for batch in slices(batches, "text", 2 << 20):
-            tokens = [count.text(t)[0] + 1 for t in batch.column("text").to_pylist()]
+            tokens = [n + 1 for n in shared.value.texts(batch.column("text").to_pylist())]
             folded = [b" ".join((t or b"").translate(LOWER).split()) for t in strings(batch.column("text"))]
             clusters = [xxhash.xxh3_64_intdigest(t) - (1 << 63) if t else None for t in folded]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("source"), pa.array(clusters, pa.int64()), pa.array(tokens, pa.int64())], ["row", "doc_id", "source", "cluster", "tokens"])

@@ -9,7 +9,7 @@ from kinograph.llm.token_counts import count_tokens, load_vocabulary
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: its tokens and the score of the best segmentation."""
+    """One row per document: its tokens under the best segmentation."""
     return count_tokens(read(spark, sf_dir, "documents"), load_vocabulary())
 
 

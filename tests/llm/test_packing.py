@@ -61,7 +61,7 @@ def test_documents(spark):
         total[r.doc_id] += r.tokens
     want = Counter()
     for i, x, *_ in rows:
-        want[i] += t.text(x)[0] + 1
+        want[i] += t.texts([x])[0] + 1
     assert total == want
     bins = defaultdict(list)
     for r in got:
