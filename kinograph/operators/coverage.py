@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinograph.functions.frames import SIDE
 from kinograph.operators.edges import PERSIST_COVER, locked_edges
+from kinograph.sources.scratch import written
 
 #: A collapsed deviation, the noise floor, too much to tell, a band's least density, rounds and growth.
 COLLAPSED, FLOOR, TOO_MUCH, DENSE, ROUNDS, GROWTH = 0.45, 0.004, 0.40, 0.05, 4, 4
@@ -53,7 +54,7 @@ def measure(signals: DataFrame, boxes: DataFrame, least_std: float = 0.01) -> Da
 
 def grow(signals: DataFrame, boxes: DataFrame, least_std: float = 0.01) -> DataFrame:
     """Boxes enlarged to what they miss, in at most four rounds; the verdict is of the box returned."""
-    signals = signals.persist()  # a row per pixel of the tile, read in every round
+    signals = written(signals, "signals")  # a row per pixel of the tile, read in every round
     first = boxes.select("box", (F.col("bw") * F.col("bh")).alias("first_area"))
     for step in range(ROUNDS):
         verdict = measure(signals, boxes, least_std)
@@ -62,5 +63,5 @@ def grow(signals: DataFrame, boxes: DataFrame, least_std: float = 0.01) -> DataF
         known = verdict.join(F.broadcast(first), "box")
         changed = F.struct("sx", "sy", "sw", "sh") != F.struct("bx", "by", "bw", "bh")
         accept = ~F.col("ok") & ~F.col("inconclusive") & changed & (F.col("sw") * F.col("sh") <= GROWTH * F.col("first_area"))
-        boxes = known.select("box", *[F.when(accept, F.col(s)).otherwise(F.col(b)).alias(b) for b, s in (("bx", "sx"), ("by", "sy"), ("bw", "sw"), ("bh", "sh"))], "ring").persist()
+        boxes = written(known.select("box", *[F.when(accept, F.col(s)).otherwise(F.col(b)).alias(b) for b, s in (("bx", "sx"), ("by", "sy"), ("bw", "sw"), ("bh", "sh"))], "ring"), "boxes")
     return boxes

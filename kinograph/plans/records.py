@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kinograph.plans.jobs import _J, _jobs
 from kinograph.sources.records import MANIFEST, MANIFEST_VERSION, PRESET, PRESET_VERSION, incomplete_parts, parsed, read_parts, write_parts
+from kinograph.sources.scratch import scratch
 from kinograph.sources.tables import frames, table
-from kinograph.streaming.runs import scratch
 
 
 def preset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
