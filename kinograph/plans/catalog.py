@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from kinograph.plans import checks, coverage, geometry, jobs, overlay, parts, quality, records, shots, streams, tiles
+    from kinograph.plans import checks, coverage, entries, geometry, jobs, overlay, parts, quality, records, shots, streams, tiles
 
-    return overlay, coverage, tiles, quality, shots, parts, jobs, geometry, streams, records, checks
+    return overlay, coverage, tiles, quality, shots, parts, jobs, geometry, streams, records, checks, entries
 
 
 def queries() -> dict:
