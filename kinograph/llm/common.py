@@ -88,7 +88,7 @@ def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 #: Bytes of rows that go to a Python worker at once, unless the session sets its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _UNBOUNDED = 64 << 20
 
 
@@ -101,7 +101,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
         bound = 0  # set with a unit, by the user
     if bound >= _UNBOUNDED:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # a worker lives on between tasks
+
+    return df.mapInArrow(released, schema)
 
 
 def strings(column: pa.Array) -> list:

@@ -33,7 +33,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 #: Characters of the words that are counted together and remembered.
 SHORT = 64
 
@@ -65,7 +65,8 @@ class Automaton:
         states, own = len(parent), np.fromiter(ends.keys(), np.int64)
         length, score = np.zeros(states, np.int64), np.full(states, -np.inf)
         length[own], score[own] = np.array([v[0] for v in ends.values()]), np.array([v[1] for v in ends.values()])
-        self.goto, fail = np.zeros((states, len(used) + 1), np.int32), np.zeros(states, np.int32)
+        kind = np.min_scalar_type(states)  # the table is by far the largest part of a counter
+        self.goto, fail = np.zeros((states, len(used) + 1), kind), np.zeros(states, kind)
         self.lengths, self.scores = np.zeros((states, self.MOST), np.int64), np.full((states, self.MOST), -np.inf)
         self.marked = np.zeros(states, bool)
         self.marked[special] = True  # the unknown piece itself
@@ -119,7 +120,7 @@ class Automaton:
         data = self.classes[np.frombuffer(b"".join(words[i].ljust(most, b"\0") for i in order.tolist()), np.uint8).reshape(len(words), most)]
         best, tokens = np.full((len(words), most + 1), -np.inf), np.zeros((len(words), most + 1), np.int32)
         best[:, 0] = 0
-        state, otherwise, rows = np.zeros(len(words), np.int32), np.zeros(len(words), bool), np.arange(len(words))
+        state, otherwise, rows = np.zeros(len(words), self.goto.dtype), np.zeros(len(words), bool), np.arange(len(words))
         for end in range(1, most + 1):
             n = int(np.searchsorted(-sizes, -end, "right"))  # the words that are that long come first
             s = state[:n] = self.goto[state[:n], data[:n, end - 1]]
@@ -197,8 +198,8 @@ class Counter:
         marked = [w[1:] if cut and w[:1] == "\n" else SPACE + w for w in words]
         out = np.array([-1 if w else 0 for w in marked], np.int64)
         short = [k for k, w in enumerate(marked) if 0 < len(w) <= SHORT] if self.plain else []
-        for i in range(0, len(short), 20_000):
-            some = short[i : i + 20_000]
+        for i in range(0, len(short), 10_000):
+            some = short[i : i + 10_000]
             out[some] = self.arrays.count([marked[k].encode() for k in some])
         for k in np.flatnonzero(out < 0).tolist():
             out[k] = self.word(marked[k])[0]
