@@ -157,7 +157,12 @@ def near_duplicates(docs: DataFrame, direct: int = 4096) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id (of those, of the smallest row key)."""
-    labels = materialize(near_duplicates(docs).select("row", "root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")), "labels")
+    return keep_first(docs, near_duplicates(docs))
+
+
+def keep_first(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``labels`` (row, root, doc_id)."""
+    labels = materialize(labels.select("row", "root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")), "labels")
     least = materialize(labels.groupBy("root").agg(F.min("id").alias("least")), "least")
     tied = materialize(labels.join(least, "root").where("id = least").groupBy("root").agg(F.min("row").alias("kept"), F.count("*").alias("n")), "kept")
     dropped = labels.join(tied, "root").where("row <> kept").select("row").distinct()
