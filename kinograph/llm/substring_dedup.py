@@ -3,14 +3,15 @@
 The gear hash (h = 2h + gear[byte], here its low 16 bits, so that it depends on the last 16 bytes)
 cuts a text after white space where its top bits fall under a threshold, and anywhere else where a
 rarer condition holds, so texts without spaces have chunks too. Cuts depend on nearby bytes only:
-an insertion shifts nothing beyond the next cut. Chunks are counted by 64-bit digest; a run of
-consecutive chunks that each stand in another document too, of at least ``least`` bytes, is a
-repeated passage. A passage goes where each of its chunks stands in a document of a smaller id,
-so that the first copy stays. Repeats within one document stay. A short chunk that many texts
-share, or a digest shared by chance, cannot make a run.
+an insertion shifts nothing beyond the next cut. From each chunk on, and up to each chunk, the shortest
+run of consecutive chunks of at least ``least`` bytes is a window. Windows are counted by the 64-bit digest
+of their whole text; one that stands in another document too is repeated, and repeated windows that meet
+or overlap are a passage. A window goes where it stands in a document of a smaller id, so that the first copy stays.
+Repeats within one document stay. Short chunks that many texts share cannot make a window unless they
+stand together elsewhere.
 
 Counts are combined before the shuffle and written as a table; occurrences then meet them in a join of
-two plain tables, which Spark splits where a chunk is in very many documents.
+two plain tables, which Spark splits where a window is in very many documents.
 
 Defined results: rows of one doc_id count as one document, so they take nothing from each
 other; a null doc_id comes after all others; a null text has no chunks and stays null; a text that is
@@ -70,53 +71,60 @@ def cuts(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def windows(ends: np.ndarray, least: int) -> np.ndarray:
+    """The shortest runs of chunks with ``least`` bytes from each chunk on and up to each chunk: start << 32 | end, sorted."""
+    starts = np.append(0, ends[:-1])[: len(ends)]
+    on, up = np.searchsorted(ends, starts + least), np.searchsorted(starts, ends - least, "right") - 1
+    begun, ended = on < len(ends), up >= 0
+    return np.unique(np.concatenate([starts[begun] << 32 | ends[on[begun]], starts[up[ended]] << 32 | ends[ended]]))
+
+
+def _windows(least: int):
     digest = xxhash.xxh3_64_intdigest
-    for batch in slices(batches, "text", 2 << 20):
-        texts = [t or b"" for t in strings(batch.column("text"))]
-        found = cuts(texts)
-        counts = [len(c) for c in found]
-        digests = np.fromiter((digest(t[a:b]) for t, c in zip(texts, found, strict=True) for a, b in zip([0, *c.tolist()], c.tolist(), strict=False)), np.uint64, sum(counts))
-        ends = np.concatenate([np.empty(0, np.int64), *found])
-        starts = np.concatenate([np.empty(0, np.int64), *[np.append(0, c[:-1])[: len(c)] for c in found]])
-        rows = pa.array(np.repeat(np.arange(len(texts)), counts))
-        yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array(starts << 32 | ends)], ["digest", "doc_id", "row", "span"])
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, row, span) for each chunk; span holds its start and end, in bytes, as 32 bits each."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            texts = [t or b"" for t in strings(batch.column("text"))]
+            spans = [windows(c, least) for c in cuts(texts)]
+            counts = [len(s) for s in spans]
+            digests = np.fromiter((digest(t[a:b]) for t, s in zip(texts, spans, strict=True) for a, b in zip((s >> 32).tolist(), (s & 0xFFFFFFFF).tolist(), strict=True)), np.uint64, sum(counts))
+            rows = pa.array(np.repeat(np.arange(len(texts)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array(np.concatenate([np.empty(0, np.int64), *spans]))], ["digest", "doc_id", "row", "span"])
+
+    return found
+
+
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """(digest, doc_id, row, span) for each window; span holds its start and end, in bytes, as 32 bits each."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("row"))
-    return map_arrow(rows, _chunks, "digest long, doc_id long, row long, span long")
+    return map_arrow(rows, _windows(least), "digest long, doc_id long, row long, span long")
 
 
-def _runs(spans: list[tuple], least: int) -> list[tuple]:
-    """(begin, end, ids) of runs of adjacent (begin, end, id) that hold ``least`` bytes."""
+def _runs(spans: list[tuple]) -> list[tuple]:
+    """(begin, end, ids) of what (begin, end, id) that meet or overlap cover; they come sorted."""
     runs: list = []
     for a, b, i in spans:
-        if runs and runs[-1][1] == a:
-            runs[-1][1] = b
+        if runs and runs[-1][1] >= a:
+            runs[-1][1] = max(runs[-1][1], b)
             runs[-1][2].add(i)
         else:
             runs.append([a, b, {i}])
-    return [tuple(r) for r in runs if r[1] - r[0] >= least]
-
+    return [tuple(r) for r in runs]
 
-def _passages(least: int):
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per row with repeats: the spans that go, and the documents that hold the first copies."""
-        for batch in batches:
-            out = []
-            for row, own, found in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found")), strict=True):
-                first = {f["span"]: f["first"] for f in found}  # rows repeated as a whole give each span again
-                order = sorted((span >> 32, span & 0xFFFFFFFF, first[span]) for span in first)
-                shared = sum(b - a for a, b, _ in _runs(order, least))
-                gone = _runs([x for x in order if x[2] is not None and x[2] != own], least)
-                out.append((row, shared, [{"begin": a, "end": b} for a, b, _ in gone], sorted({x for *_, ids in gone for x in ids})))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "shared", "gone", "first_ids"])
 
-    return passages
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row with repeats: the spans that go, and the documents that hold the first copies."""
+    for batch in batches:
+        out = []
+        for row, own, found in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found")), strict=True):
+            first = {f["span"]: f["first"] for f in found}  # rows repeated as a whole give each span again
+            order = [(span >> 32, span & 0xFFFFFFFF, first[span]) for span in sorted(first)]
+            shared = sum(b - a for a, b, _ in _runs(order))
+            gone = _runs([x for x in order if x[2] is not None and x[2] != own])
+            out.append((row, shared, [{"begin": a, "end": b} for a, b, _ in gone], sorted({x for *_, ids in gone for x in ids})))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "shared", "gone", "first_ids"])
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -125,13 +133,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     ``shared``: bytes in passages that stand elsewhere too; ``gone``: spans of bytes to remove;
     ``first_ids``: the documents that hold the copies that stay.
     """
-    found = chunks(docs)
+    found = occurrences(docs, least)
     counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.count("doc_id").alias("named"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     counted = counted.where("first < last OR named BETWEEN 1 AND n - 1").select("digest", "first")
-    repeated = materialize(counted, "chunks")
+    repeated = materialize(counted, "windows")
     met = found.join(repeated, "digest")
     of_row = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("span", "first")).alias("found"))
-    return map_arrow(of_row, _passages(least), "row long, shared long, gone array<struct<begin:long,end:long>>, first_ids array<long>").where("shared > 0")
+    return map_arrow(of_row, _passages, "row long, shared long, gone array<struct<begin:long,end:long>>, first_ids array<long>").where("shared > 0")
 
 
 def without(text, gone):

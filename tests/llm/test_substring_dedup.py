@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from kinograph.llm.common import row_key
 from kinograph.llm.substring_dedup import GEAR, WINDOW, cuts, gear_hashes, remove_repeats, repeated_spans
 
 SCHEMA = "doc_id long, text string, n_chars long, gone string"
@@ -59,3 +60,22 @@ def test_passages_go_but_for_the_first(spark):
     spans = repeated_spans(df)
     assert spans.where("shared > 0").count() >= 50
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_phrases_from_different_documents_are_no_passage(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"w{rng.randint(0, 99999)}" for _ in range(n))
+    source = say(900).encode()
+    (ends,) = cuts([source])
+    phrases = [source[a:b].decode() for a, b in zip(ends[:-2], ends[1:-1]) if 24 < b - a < 60]  # all end at a cut
+    own, phrases = phrases[:12], phrases[12:24]
+    rows = [(i, own[i] + p + say(40), 7, "z") for i, p in enumerate(phrases)]
+    rows += [(100, "".join(phrases) + say(40), 7, "z"), (101, own[0] + "".join(phrases[2:8]) + say(40), 7, "z")]
+    docs = {i: t for i, t, *_ in rows}
+    found = repeated_spans(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("gone", "z"), 90)
+    got = {r.row: r for r in found.collect()}
+    keys = {r.row: r.doc_id for r in spark.createDataFrame(rows, SCHEMA).select("doc_id", row_key("doc_id", "text").alias("row")).collect()}
+    removed = {keys[k]: r for k, r in got.items() if r.gone}
+    assert set(removed) == {101}  # six phrases that stand together in 100; in 100 itself each is from another document
+    text = docs[101].encode()
+    assert all(text[g.begin : g.end] in docs[100].encode() for g in removed[101].gone)
