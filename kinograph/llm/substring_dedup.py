@@ -2,7 +2,8 @@
 
 The gear hash (h = 2h + gear[byte], here its low 16 bits, so that it depends on the last 16 bytes)
 cuts a text after white space where its top bits fall under a threshold, and anywhere else where a
-rarer condition holds, so texts without spaces have chunks too. Cuts depend on nearby bytes only:
+rarer condition holds. From ``FAR`` bytes after the last ASCII white space on, and before the first, it cuts after
+any character, as densely in bytes as after words, so texts without such spaces have chunks as short. Cuts depend on nearby bytes only:
 an insertion shifts nothing beyond the next cut. From each chunk on, and up to each chunk, the shortest
 run of consecutive chunks of at least ``least`` bytes is a window. Windows are counted by the 64-bit digest
 of their whole text; one that stands in another document too is repeated, and repeated windows that meet
@@ -43,6 +44,10 @@ GEAR[0] = 0
 AT_SPACE = 68
 #: ... and the whole hash under this within words, once in about 2,000 bytes.
 WITHIN = 32
+#: Bytes without ASCII white space after which a cut may follow any character ...
+FAR = 64
+#: ... where the hash is under this for each byte of it, once in about 25 bytes.
+UNSPACED = 2621
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -62,7 +67,17 @@ def cuts(texts: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer(pad + pad.join(texts) + b"\0", np.uint8)
     h = gear_hashes(data)
     start = (data[1:] & 0xC0) != 0x80  # the next byte begins a character
-    end = np.where(_SPACE[data[:-1]], h[:-1] >> 8 < AT_SPACE, (h[:-1] < WITHIN) & start)
+    space = _SPACE[data]
+    end = np.where(space[:-1], h[:-1] >> 8 < AT_SPACE, (h[:-1] < WITHIN) & start)
+    # white space, and the NULs between texts, that stand last at each byte
+    places = np.flatnonzero(space | (data == 0))
+    gaps = np.diff(places)
+    for k in np.flatnonzero((gaps > FAR) | (~space[places[:-1]] & (gaps > 1))).tolist():
+        a, b = int(places[k]) + (FAR if space[places[k]] else 1), int(places[k + 1])
+        begins = np.flatnonzero(start[a - 1 : b - 1])  # characters that begin in a:b
+        width = np.diff(np.append(begins, b - a))
+        last = a + begins + width - 1
+        end[last] |= h[last] < UNSPACED * width
     ends, out, at = np.flatnonzero(end) + 1, [], WINDOW
     for text in texts:
         i, j = np.searchsorted(ends, (at + 1, at + len(text)))

@@ -79,3 +79,16 @@ def test_phrases_from_different_documents_are_no_passage(spark):
     assert set(removed) == {101}  # six phrases that stand together in 100; in 100 itself each is from another document
     text = docs[101].encode()
     assert all(text[g.begin : g.end] in docs[100].encode() for g in removed[101].gone)
+
+
+def test_passages_in_text_without_ascii_spaces(spark):
+    rng = random.Random(8)
+    for letters, gap in ((range(0x4E00, 0x5E00), 0), (range(0x430, 0x450), 7)):
+        say = lambda n: "".join("\u3000" if gap and k % gap == gap - 1 else chr(rng.choice(letters)) for k in range(n))  # noqa: E731, B023
+        passages = [say(150) for _ in range(20)]
+        rows = [(i, say(rng.randint(0, 300)) + passages[i % 20] + say(rng.randint(0, 300)), 7, "z") for i in range(40)]
+        texts = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert all(texts[i] == t for i, t, *_ in rows[:20])
+        lost = [len(t) - len(texts[i]) for i, t, *_ in rows[20:]]
+        assert sum(n > 60 for n in lost) == 20 and sum(lost) > 0.6 * 20 * 150 and max(lost) <= 150
+    assert len(cuts([passages[0].encode()])[0]) > 4
