@@ -13,7 +13,7 @@ and reads back as null; line ends in a url are percent-encoded; rows with equal
 payload are equal records, all of them responses if theirs is the smallest page_id; a chain that
 breaks (a damaged record) ends its file's records there, and a record cut short by the end of
 the file is not returned; an empty table gives an empty archive; other columns are ignored.
-A header of more than 64 KB is not a header.
+A header ends at its first empty line, however long it is.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from kinograph.llm.common import drop, map_arrow, materialize
 
 MAGIC = "WARC/1.0\r\n"
 SEPARATOR = "\r\n" + MAGIC
-HEADER_BYTES = 65536
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
 #: Rows up to which a table of known small rows is broadcast; a larger one is joined by shuffle.
@@ -115,7 +114,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = at == 0 and block == 0
             if not first or head.startswith(MAGIC.encode()):
                 skip = len(MAGIC) if first else 0
-                size, length = _header_end(head[skip:] + b"\r\n\r\n") if len(head) + 4 <= min(n, HEADER_BYTES) else (0, 0)
+                size, length = _header_end(head[skip:] + b"\r\n\r\n") if len(head) + 4 <= n else (0, 0)
                 found.append((0 if first else at - len(MAGIC), at + skip + size + length + 4 if size else None))
             at += n + len(SEPARATOR)
     if key:
@@ -125,7 +124,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _entries(spark: SparkSession, path: str) -> DataFrame:
     """Per split: file, block, base, entry (offset of its first record in the split or null), and the
     record (owner) that the bytes before it belong to, with its end."""
-    head = F.substring_index(F.substring("value", 1, HEADER_BYTES).cast("string"), "\r\n\r\n", 1).cast("binary")  # no payload goes to Python
+    head = F.substring_index(F.col("value").cast("string"), "\r\n\r\n", 1).cast("binary")  # no payload goes to Python
     lines = _lines(spark, path).select("file", "block", head.alias("head"), F.octet_length("value").cast("long").alias("n"))
     marks = materialize(map_arrow(lines, _candidates, "file string, block long, pos long, exit long, last long, len long"), "candidates")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,7 +172,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = at == 0 and block == 0
             pos, skip = (0, len(MAGIC)) if first else (at - len(MAGIC), 0)
             if wanted is not None and pos == wanted:
-                size, length = _header_end(value[skip : skip + HEADER_BYTES])
+                size, length = _header_end(value[skip:])
                 if size:
                     lines = value[skip : skip + size - 4].split(b"\r\n")
                     headers = {a.strip().lower().decode("utf-8", "replace"): b.strip().decode("utf-8", "replace") for a, _, b in (x.partition(b":") for x in lines)}

@@ -45,3 +45,17 @@ def test_damage_ends_the_chain(spark, tmp_path):
     got = [(r.file[-6:], r.pos) for r in read_warc(spark, f"file://{tmp_path}").collect()]
     n = len(good)
     assert sorted(got) == [("a.warc", 0), ("a.warc", n), ("a.warc", 2 * n), ("b.warc", 0)]
+
+
+def test_long_urls_lose_no_page(spark):
+    urls = ["http://a/", "data:" + "u" * 100_000, "http://b/", "data:" + "é" * 300_000, None, "http://c/"]
+    rows = [(i, u, f"page {i} " * 30 + FORGED, "z") for i, u in enumerate(urls)]
+    for split in ("128m", "50000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        path = scratch_path(spark, "warc")
+        write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+        got = sorted((r.headers["warc-record-id"], r.headers.get("warc-target-uri"), bytes(r.payload).decode()) for r in read_warc(spark, path).collect())
+        assert got == [(f"<urn:page:{i}>", u, t) for i, u, t, _ in rows], split
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
