@@ -74,17 +74,49 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
-#: Row keys up to which a list of rows to drop is broadcast (16 bytes each); a longer one is joined by shuffle.
+#: Keys up to which a list of rows is broadcast (16 bytes each).
 BROADCAST_KEYS = 2_000_000
+#: Bits, as a power of two, of the filter that is broadcast instead of a longer list (32 MB).
+FILTER_BITS = 28
+
+
+def split_rows(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose long ``key`` is surely not among ``keys`` (one column), and all others.
+
+    A bitmap of hashed keys, of one size whatever their number, tells them apart, so that of a long table
+    only rows that are in the list, and a few more, have to be shuffled.
+    """
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)) + 1
+    marks = keys.select(spread(F.col(keys.columns[0])).alias("h"))
+    marks = marks.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    marks = F.broadcast(materialize(marks, "marks"))
+    names = rows.columns
+    seen = rows.select(F.struct("*").alias("of_row"), spread(F.col(key)).alias("h")).withColumns({"bucket": F.bitmap_bucket_number("h"), "at": F.bitmap_bit_position("h")}).join(marks, "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    hit = F.coalesce(F.call_function("getbit", byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False))
+    back = lambda df: df.select(*[F.col(f"of_row.`{c}`").alias(c) for c in names])
+    return back(seen.where(~hit)), back(seen.where(hit))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, row): each row of ``docs`` (doc_id, text) as a struct, with its row key."""
+    return docs.select(F.struct("*").alias("doc"), row_key("doc_id", "text").alias("row"))
+
+
+def unkeyed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names`` of the struct ``doc``."""
+    return rows.select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
 
 
 def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` without the rows whose key of (doc_id, text) is in ``keys`` (row)."""
     keys = materialize(keys.select("row"), "keys")
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
-    names = docs.columns
-    left = docs.select(F.struct("*").alias("doc"), row_key("doc_id", "text").alias("row")).join(keys, "row", "left_anti")
-    return left.select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
+    if keys.count() <= BROADCAST_KEYS:
+        left = keyed(docs).join(F.broadcast(keys), "row", "left_anti")
+    else:
+        left, others = split_rows(keyed(docs), "row", keys)
+        left = left.unionByName(others.join(keys.hint("merge"), "row", "left_anti"))
+    return unkeyed(left, docs.columns)
 
 
 #: Bytes of rows that go to a Python worker at once, unless the session sets its own.

@@ -1,18 +1,20 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a table of segments: each holds, for a few megabytes of documents, the sorted positions of every
-test term (a word of the benchmark), and where its documents start. A search takes a window of test words,
-goes through its terms from the rarest in the corpus on, shifts each term's positions back by the term's
-place in the window, and intersects; candidates are gone after a list or two. With a slop, a term may stand
-that many words off its place (a proximity match). Documents never leave their segment, so nothing is
-shuffled, and no passage or word can be too frequent.
-
-The benchmark comes to the driver in blocks of bounded size; each block has an index of its own, and a
-document's matches of all blocks are put together.
-
-Defined results: a null text has no words and no matches; an item without words matches nothing; an
-item with fewer words than a window is one window; a null item_id is searched, and hit words count, but
-it is in no list of items; repeated rows are answered each; empty tables give no matches; other columns
+word, and where its documents start. It is built once. A search takes windows of test words, grouped by the
+word of each that is rarest in the corpus; in a segment it visits the groups whose word is there, goes through a
+window's words from the rarest on, shifts each one's positions back by its place in the
+window, and intersects, so that candidates are gone after a list or two. With a slop, a word may stand that many
+words off its place (a proximity match). Documents never leave their segment, so nothing is
+shuffled, and no passage or word can be too frequent. A match belongs to the document that its first word
+stands in: documents are more words apart than any match can bridge.
+
+The benchmark comes to the driver and to the tasks in blocks of bounded size; each is searched in the same
+index, and a document's matches of all blocks are put together.
+
+Words are known by 64-bit hashes. Defined results: a null text has no words and no matches; an item without words
+matches nothing; an item with fewer words than a window is one window; a null item_id is searched, and hit words
+count, but it is in no list of items; repeated rows are answered each; empty tables give no matches; other columns
 are ignored.
 """
 
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +36,12 @@ WINDOW = 10
 BLOCK_CHARS = 2 << 20
 #: Characters of words: digits, letters of ASCII and everything beyond ASCII; A-Z are lower-cased.
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_MEMO = 200_000
 
-_INDEX = "segment long, starts array<int>, doc_ids array<long>, rows array<long>, terms array<int>, ends array<int>, positions array<int>"
-_FOUND = "doc_id long, row long, n_words long, matches array<struct<item_id:long,begin:int,end:int,exact:boolean>>"
+_INDEX = "segment long, gap int, starts array<int>, doc_ids array<long>, rows array<long>, terms array<long>, ends array<int>, positions array<int>"
+_MATCHES = "array<struct<item_id:long,begin:int,end:int,exact:boolean>>"
+_FOUND = f"segment long, doc int, doc_id long, row long, n_words long, matches {_MATCHES}"
+_MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("exact", pa.bool_())]))
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -43,53 +49,62 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORDS).split()
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], slop: int = 0) -> DataFrame:
-    """The stored index of ``docs`` (doc_id, text) for ``terms``; a row per segment."""
-    shared, gap = docs.sparkSession.sparkContext.broadcast(terms), 2 * slop + 1
+def term(word: bytes) -> int:
+    """The number that a word is known by."""
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+def build_index(docs: DataFrame, slop: int = 0) -> DataFrame:
+    """The stored index of ``docs`` (doc_id, text), for matches of at most ``slop`` words off; a row per segment."""
+    gap = 2 * slop + 1
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, find = TaskContext.get().partitionId() << 32, shared.value.get
+        number, memo = TaskContext.get().partitionId() << 32, {}
         for batch in slices(batches, "text", 4 << 20):
             starts, parts, at = [0], [], 0
             for text in strings(batch.column("text")):
-                ids = np.array([find(w, -1) for w in words(text)], np.int32)
-                known = np.flatnonzero(ids >= 0)
-                parts.append((ids[known], known + at))
-                at += len(ids) + gap
+                own = words(text)
+                for w in own:
+                    if w not in memo:
+                        memo[w] = term(w)
+                parts.append((np.fromiter(map(memo.__getitem__, own), np.int64, len(own)), np.arange(at, at + len(own), dtype=np.int32)))
+                at += len(own) + gap
                 starts.append(at)
-            ids, positions = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(ids, kind="stable")
-            found, first = np.unique(ids[order], return_index=True)
-            row = [[number], [starts], [batch.column("doc_id").to_pylist()], [batch.column("row").to_pylist()], [found], [np.append(first[1:], len(ids)) if len(found) else first], [positions[order]]]
-            types = [pa.int64(), *[pa.list_(t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], ["segment", "starts", "doc_ids", "rows", "terms", "ends", "positions"])
+                if len(memo) > _MEMO:
+                    memo.clear()
+            terms, positions = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(terms, kind="stable")
+            terms = terms[order]
+            ends = np.append(np.flatnonzero(np.diff(terms)) + 1, len(terms)) if len(terms) else np.empty(0, np.int64)
+            row = [[number], [gap], [starts], [batch.column("doc_id").to_pylist()], [batch.column("row").to_pylist()], [terms[ends - 1]], [ends], [positions[order]]]
+            types = [pa.int64(), pa.int32(), *[pa.list_(t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], ["segment", "gap", "starts", "doc_ids", "rows", "terms", "ends", "positions"])
             number += 1
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("row"))
     return materialize(map_arrow(rows, segments, _INDEX), "index")
 
 
-def windows_of(items: list[tuple], size: int = WINDOW) -> tuple[dict[bytes, int], dict[tuple, set]]:
-    """Numbers of all terms of ``items`` (item_id, text), and the items of each distinct window."""
-    terms: dict[bytes, int] = {}
+def windows_of(items: list[tuple], size: int = WINDOW) -> dict[tuple, set]:
+    """The items of each distinct window, a tuple of terms, of ``items`` (item_id, text)."""
     windows: dict[tuple, set] = {}
     for item, text in items:
-        ids = [terms.setdefault(w, len(terms)) for w in words(text.encode() if text is not None else None)]
+        ids = [term(w) for w in words(text.encode() if text is not None else None)]
         for i in range(max(1, len(ids) - size + 1) if ids else 0):
             windows.setdefault(tuple(ids[i : i + size]), set()).add(item)
-    return terms, windows
+    return windows
 
 
 def positions_of(window: list[tuple[int, int]], lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
     """Starts at which each (term, place) stands at most ``slop`` words off its place; rarest term first."""
-    (term, place), *rest = window
-    at = lists[term] - place
+    (first, place), *rest = window
+    at = lists[first] - place
     if slop:
         at = np.unique(at[:, None] + np.arange(-slop, slop + 1)[None, :])
-    for term, place in rest:
+    for other, place in rest:
         if not len(at):
             break
-        there = lists[term]
+        there = lists[other]
         i = np.searchsorted(there, at + (place - slop))
         at = at[(i < len(there)) & (there[np.minimum(i, len(there) - 1)] <= at + (place + slop))]
     return at
@@ -101,46 +116,85 @@ def _away(near: np.ndarray, exact: np.ndarray, slop: int) -> np.ndarray:
     return near[(i == len(exact)) | (exact[np.minimum(i, len(exact) - 1)] > near + slop)] if len(exact) else near
 
 
-def search(index: DataFrame, windows: dict[tuple, set], slop: int = 0) -> DataFrame:
-    """(doc_id, row, n_words, matches) for each document of ``index``.
+def _occurrences(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
+    """How often each of the ``wanted`` terms (sorted) is in the corpus."""
+    shared = index.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, ends = (batch.column(c)[i].values.to_numpy() for c in ("terms", "ends"))
+                at = np.minimum(np.searchsorted(terms, shared.value), len(terms) - 1)
+                if len(terms):
+                    total += np.where(terms[at] == shared.value, np.diff(ends, prepend=0)[at], 0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(shared.value[some]), pa.array(total[some])], ["term", "n"])
+
+    counts = map_arrow(index.select("terms", "ends"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r.term: r.n for r in counts.collect()}
+
+
+def search(index: DataFrame, windows: dict[tuple, set], slop: int = 0, every: bool = True) -> DataFrame:
+    """(segment, doc, doc_id, row, n_words, matches) for each document of ``index``, or each with a match.
 
-    Of the starts of an item's windows in a document, adjacent ones are one match; begin and end count words.
+    Of the starts of an item's windows in a document, adjacent ones are one match; begin and end count words, within the document.
     """
-    counts = index.select(F.explode(F.arrays_zip("terms", F.zip_with("ends", F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))), lambda b, a: b - a).alias("n"))).alias("t"))
-    counts = {r.term: r.n for r in counts.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.n").alias("n")).collect()}
-    plan = [(sorted(((t, i) for i, t in enumerate(w)), key=lambda x: (counts[x[0]], x)), sorted(items, key=str)) for w, items in windows.items() if all(t in counts for t in w)]
-    plan, gap = index.sparkSession.sparkContext.broadcast(plan), 2 * slop + 1
+    counts = _occurrences(index, np.array(sorted({t for w in windows for t in w}), np.int64)) if windows else {}
+    groups: dict[int, list] = {}  # by the rarest term
+    for w, items in windows.items():
+        if all(t in counts for t in w):
+            order = sorted(((t, i) for i, t in enumerate(w)), key=lambda x: (counts[x[0]], x))
+            groups.setdefault(order[0][0], []).append((order, w[0], sorted(items, key=str)))
+    plan = index.sparkSession.sparkContext.broadcast((np.array(sorted(groups), np.int64), groups))
+
+    def matches_of(lists: dict, here: list, starts: np.ndarray, gap: int) -> dict[int, list]:
+        found: dict[tuple, list] = {}
+        for group in here:
+            for window, head, items in group:
+                if not all(t in lists for t, _ in window):
+                    continue
+                exact = positions_of(window, lists, 0)
+                near = _away(positions_of(window, lists, slop), exact, slop) if slop else exact[:0]
+                for begins, sure in ((exact, True), (near, False)):
+                    if len(begins):
+                        first = begins if sure else lists[head][np.searchsorted(lists[head], begins - slop)]
+                        for begin, doc in zip(begins.tolist(), (np.searchsorted(starts, first, "right") - 1).tolist(), strict=True):
+                            for item in items:
+                                found.setdefault((doc, item, sure), []).append((begin, begin + len(window)))
+        matches: dict[int, list] = {}
+        for (doc, item, sure), spans in found.items():
+            merged: list = []
+            for a, b in sorted(spans):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            low, high = int(starts[doc]), int(starts[doc + 1]) - gap
+            matches.setdefault(doc, []).extend({"item_id": item, "begin": max(a, low) - low, "end": min(b, high) - low, "exact": sure} for a, b in merged)
+        return matches
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarest, groups = plan.value
         for batch in batches:
             for i in range(batch.num_rows):
-                at = lambda name: batch.column(name)[i].values  # noqa: B023, E731
-                starts, rows, ids = at("starts").to_numpy(), at("rows"), at("doc_ids")
-                lists = dict(zip(at("terms").to_pylist(), np.split(at("positions").to_numpy(), at("ends").to_numpy()[:-1]), strict=True)) if len(at("terms")) else {}
-                found: dict[tuple, list] = {}
-                for window, items in plan.value:
-                    if not all(t in lists for t, _ in window):
-                        continue
-                    exact = positions_of(window, lists, 0)
-                    near = _away(positions_of(window, lists, slop), exact, slop) if slop else exact[:0]
-                    for begins, sure in ((exact, True), (near, False)):
-                        for begin, doc in zip(begins.tolist(), (np.searchsorted(starts, begins, "right") - 1).tolist(), strict=True):
-                            if 0 <= doc < len(rows):
-                                for item in items:
-                                    found.setdefault((doc, item, sure), []).append((begin, begin + len(window)))
-                matches: list = [[] for _ in range(len(rows))]
-                for (doc, item, sure), spans in found.items():
-                    merged: list = []
-                    for a, b in sorted(spans):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    first = int(starts[doc])
-                    matches[doc] += [{"item_id": item, "begin": a - first, "end": b - first, "exact": sure} for a, b in merged]
-                sizes = np.diff(starts) - gap
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("exact", pa.bool_())]))
-                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(sizes.astype(np.int64)), pa.array(matches, kind)], ["doc_id", "row", "n_words", "matches"])
+                at = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                starts, gap, terms = at("starts"), batch.column("gap")[i].as_py(), at("terms")
+                lists, here = {}, []
+                if len(terms):
+                    present = rarest[terms[np.minimum(np.searchsorted(terms, rarest), len(terms) - 1)] == rarest]
+                    here = [groups[t] for t in present.tolist()]
+                    ends, positions = at("ends"), at("positions")
+                    wanted = np.array(sorted({t for g in here for w, *_ in g for t, _ in w}), np.int64)
+                    place = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+                    for t, k in zip(wanted[terms[place] == wanted].tolist(), place[terms[place] == wanted].tolist(), strict=True):
+                        lists[t] = positions[ends[k - 1] if k else 0 : ends[k]]
+                matches = matches_of(lists, here, starts, gap)
+                docs = range(len(starts) - 1) if every else sorted(matches)
+                if docs:
+                    take = pa.array(docs, pa.int32())
+                    columns = [pa.array([batch.column("segment")[i].as_py()] * len(docs), pa.int64()), take, batch.column("doc_ids")[i].values.take(take), batch.column("rows")[i].values.take(take), pa.array((np.diff(starts) - gap).astype(np.int64)).take(take), pa.array([matches.get(d, []) for d in docs], _MATCH_TYPE)]
+                    yield pa.RecordBatch.from_arrays(columns, ["segment", "doc", "doc_id", "row", "n_words", "matches"])
 
     return map_arrow(index, find, _FOUND)
 
@@ -148,18 +202,17 @@ def search(index: DataFrame, windows: dict[tuple, set], slop: int = 0) -> DataFr
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """(doc_id, row, n_words, matches) for each row of ``docs``: where texts of ``items`` (item_id, text) stand in it."""
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    index = build_index(docs, slop)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + chars // BLOCK_CHARS
     found = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        terms, windows = windows_of([tuple(r) for r in own.collect()], size)
-        part = search(build_index(docs, terms, slop), windows, slop)
+        part = search(index, windows_of([tuple(r) for r in own.collect()], size), slop, every=block == 0)
         found = part if found is None else found.unionByName(part)
-    if blocks > 1:  # equal rows share a key and have equal matches: each block gives a row for each of them
-        each = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"), (F.count("*") / blocks).cast("int").alias("n"))
-        found = each.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select("doc_id", "row", "n_words", "matches")
-    return found
+    if blocks > 1:
+        found = found.groupBy("segment", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return found.select("doc_id", "row", "n_words", "matches")
 
 
 def hit_words(matches):

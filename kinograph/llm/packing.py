@@ -6,7 +6,8 @@ a document may not share a bin with its source or its cluster. The search begins
 smallest residual that holds the document and goes on to the next, until the tightest compatible
 bin is found; without one a new bin opens. Bins are built in shards of about ``SHARD`` documents
 of equal size whatever their sources, so that no task grows with the input; a shard leaves a few bins
-open at its end.
+open at its end. Clusters are texts with equal folded words, or, where a table of near-duplicate classes is given,
+those classes.
 
 Defined results: a null or empty text is one end token; a null source or cluster conflicts with
 nothing; repeated rows are packed each; equal lengths go in the order of their row keys; an empty table
@@ -29,6 +30,8 @@ from kinograph.llm.token_counts import Counter
 CAPACITY = 4096
 #: Documents of a shard, about.
 SHARD = 4096
+#: Equal rows that are numbered in one task.
+_COPIES = 1 << 16
 
 
 class Bins:
@@ -92,7 +95,7 @@ def pack(items: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
 
 
 def measure(docs: DataFrame, vocabulary: tuple) -> DataFrame:
-    """(row, doc_id, source, cluster, tokens) for each row: cluster is a digest of the folded words."""
+    """(row, doc, doc_id, source, cluster, tokens) for each row: cluster is a digest of the folded words, doc the key of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(Counter(vocabulary))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,20 +103,30 @@ def measure(docs: DataFrame, vocabulary: tuple) -> DataFrame:
             tokens = [n + 1 for n in shared.value.texts(batch.column("text").to_pylist())]
             folded = [b" ".join((t or b"").translate(LOWER).split()) for t in strings(batch.column("text"))]
             clusters = [xxhash.xxh3_64_intdigest(t) - (1 << 63) if t else None for t in folded]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("source"), pa.array(clusters, pa.int64()), pa.array(tokens, pa.int64())], ["row", "doc_id", "source", "cluster", "tokens"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc", "doc_id", "source")], pa.array(clusters, pa.int64()), pa.array(tokens, pa.int64())], ["row", "doc", "doc_id", "source", "cluster", "tokens"])
 
-    rows = docs.select(row_key("doc_id", "text", "source").alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return map_arrow(rows, measured, "row long, doc_id long, source string, cluster long, tokens long")
+    rows = docs.select(row_key("doc_id", "text", "source").alias("row"), row_key("doc_id", "text").alias("doc"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return map_arrow(rows, measured, "row long, doc long, doc_id long, source string, cluster long, tokens long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: tuple, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """(bin_id, position, doc_id, piece, begin, tokens) for each piece of each row of ``docs`` (doc_id, text, source)."""
+def pack_documents(docs: DataFrame, vocabulary: tuple, capacity: int = CAPACITY, shard: int = SHARD, classes: DataFrame | None = None) -> DataFrame:
+    """(bin_id, position, doc_id, piece, begin, tokens) for each piece of each row of ``docs`` (doc_id, text, source).
+
+    ``classes`` (row, root), as ``simhash.near_duplicates`` gives them, tells the cluster of each text with words.
+    """
     # equal rows become one with a number, and each copy then goes to a shard of its own
-    each = measure(docs, vocabulary).groupBy("row", "doc_id", "source", "cluster", "tokens").agg(F.count("*").cast("int").alias("n"))
-    each = materialize(each, "items")
-    total = each.agg(F.sum("n")).first()[0] or 0
+    each = measure(docs, vocabulary).groupBy("row", "doc", "doc_id", "source", "cluster", "tokens").agg(F.count("*").alias("n"))
+    if classes is not None:
+        roots = classes.groupBy(F.col("row").alias("doc")).agg(F.min("root").alias("root"))
+        each = each.join(roots, "doc", "left").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("root", "cluster"))).drop("root")
+    each = materialize(each.drop("doc"), "items")
+    total, most = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     shards = 1 + total // shard
-    items = each.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
+    if most > _COPIES:  # the copies of one row are numbered in several tasks
+        each = each.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_COPIES).cast("long")))).repartition("row", "from")
+    else:
+        each = each.withColumn("from", F.lit(0).cast("long"))
+    items = each.withColumn("copy", F.explode(F.sequence(F.col("from") + 1, F.least(F.col("n"), F.col("from") + _COPIES)))).drop("n", "from")
     items = items.withColumn("shard", F.pmod(F.xxhash64("row", "copy"), F.lit(shards)))
 
     def packed(table: pa.Table) -> pa.Table:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinograph.llm.common import read
 from kinograph.llm.packing import pack_documents
+from kinograph.llm.simhash import near_duplicates
 from kinograph.llm.token_counts import load_vocabulary
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per piece of a document: its bin and place."""
-    return pack_documents(read(spark, sf_dir, "documents"), load_vocabulary())
+    """One row per piece of a document: its bin and place; a bin takes one document of a source and of a SimHash class."""
+    docs = read(spark, sf_dir, "documents")
+    return pack_documents(docs, load_vocabulary(), classes=near_duplicates(docs))
 
 
 QUERIES = {"op7_packing": op7_packing}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import LOWER, drop_rows, map_arrow, materialize, row_key, slices, strings
+from kinograph.llm.common import BROADCAST_KEYS, LOWER, drop_rows, keyed, map_arrow, materialize, row_key, slices, split_rows, strings, unkeyed
 from kinograph.llm.components import connected_components
 
 RADIUS = 3
@@ -46,6 +46,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of ``hashes`` (64 bits each)."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         votes += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -163,12 +168,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with one row of each ``root`` of ``labels`` (row, root, doc_id)."""
     labels = materialize(labels.select("row", "root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")), "labels")
-    least = materialize(labels.groupBy("root").agg(F.min("id").alias("least")), "least")
-    tied = materialize(labels.join(least, "root").where("id = least").groupBy("root").agg(F.min("row").alias("kept"), F.count("*").alias("n")), "kept")
-    dropped = labels.join(tied, "root").where("row <> kept").select("row").distinct()
+    kept = materialize(labels.groupBy("root").agg(F.min(F.struct("id", "row"))["row"].alias("kept")), "kept")
+    dropped = labels.join(kept, "root").where("row <> kept").select("row").distinct()
     out = drop_rows(docs, dropped)
-    if tied.where("n > 1").isEmpty():
+    # equal rows have one key, so some stay together
+    tied = materialize(labels.join(kept, "root").where("row = kept").groupBy("row").count().where("count > 1").select("row"), "tied")
+    ties = tied.count()
+    if not ties:
         return out
-    # equal rows have one key, so some may have stayed together
-    names = out.columns
-    return out.select(F.struct("*").alias("doc"), row_key("doc_id", "text").alias("row")).groupBy("row").agg(F.first("doc").alias("doc")).select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
+    if ties <= BROADCAST_KEYS:
+        rest, again = keyed(out).join(F.broadcast(tied), "row", "left_anti"), keyed(out).join(F.broadcast(tied), "row", "left_semi")
+    else:
+        rest, again = split_rows(keyed(out), "row", tied)
+    return unkeyed(rest.select("doc").unionByName(again.groupBy("row").agg(F.first("doc").alias("doc")).select("doc")), out.columns)

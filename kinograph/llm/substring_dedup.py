@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import map_arrow, materialize, row_key, slices, strings
+from kinograph.llm.common import keyed, map_arrow, materialize, row_key, slices, split_rows, strings
 
 #: Bytes that a repeated passage has at least.
 LEAST_BYTES = 90
@@ -170,11 +170,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """``docs`` with its columns, its texts without repeated passages (and n_chars, if there, to match)."""
     spans = materialize(repeated_spans(docs, least).where("size(gone) > 0").select("row", "gone"), "spans")
     size = spans.agg(F.sum(F.size("gone") + 1)).first()[0] or 0
-    spans = F.broadcast(spans) if size <= BROADCAST_SPANS else spans.hint("merge")
-    names = docs.columns
-    marked = docs.select(F.struct("*").alias("doc"), row_key("doc_id", "text").alias("row")).join(spans.withColumnRenamed("gone", "spans_gone"), "row", "left")
-    text = F.when(F.col("spans_gone").isNotNull(), without(F.col("doc.text"), F.col("spans_gone"))).otherwise(F.col("doc.text"))
-    out = {c: F.col(f"doc.`{c}`") for c in names} | {"text": text}
-    if "n_chars" in names:
-        out["n_chars"] = F.when(F.col("spans_gone").isNotNull(), F.length(text).cast("long")).otherwise(F.col("doc.n_chars"))
+    if size <= BROADCAST_SPANS:
+        marked = keyed(docs).join(F.broadcast(spans), "row", "left")
+    else:  # only texts that lose something are shuffled
+        same, others = split_rows(keyed(docs), "row", spans.select("row"))
+        marked = others.join(spans.hint("merge"), "row", "left").unionByName(same.withColumn("gone", F.lit(None).cast(spans.schema["gone"].dataType)))
+    text = F.when(F.col("gone").isNotNull(), without(F.col("doc.text"), F.col("gone"))).otherwise(F.col("doc.text"))
+    out = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("gone").isNotNull(), F.length(text).cast("long")).otherwise(F.col("doc.n_chars"))
     return marked.select(*[v.alias(c) for c, v in out.items()])

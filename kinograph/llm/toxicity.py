@@ -4,7 +4,8 @@ A text's terms are its words and the words' beginnings of 3 to 8 characters, has
 not. A G-test on the training sample picks the bins that go with the label; the machine learns
 a weight for each and a short vector, whose products weigh pairs (an insult with a group, a word that
 is harmless beside another). Learning takes labelled rows up to a documented bound, chosen by a hash of
-their ids; scoring reads every text whole.
+their ids; scoring reads every text whole. Tasks find and count the bins; the driver gets the chosen
+bins and, for each row of the sample, which of them it has.
 
 Defined results: a null text has no terms; several labels of one doc_id count as the largest, a null
 label as none; without training rows every score is 0; repeated rows are scored each; a null
@@ -22,14 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinograph.llm.common import map_arrow, row_key, slices
+from kinograph.llm.common import map_arrow, materialize, slices
 
 #: Labelled rows that the machine learns from at most.
 SAMPLE_ROWS = 12_000
-#: Bins that it has weights for, those of the largest G, and the G that a bin needs.
+#: Bins that it has weights for, those of the largest G, and the positive rows and the G that a bin needs.
 TERMS = 2048
-LEAST_G = 12.0
+LEAST_ROWS, LEAST_G = 3, 12.0
 FACTORS = 8
 STEPS = 300
 BINS = 1 << 26
@@ -37,10 +39,16 @@ _WORD = re.compile(r"\w+")
 _CACHE = 300_000
 
 
-def _bins(word: str) -> list[int]:
+def word_bins(word: str) -> list[int]:
+    """The bins of a word and of its beginnings."""
     return [zlib.crc32(t.encode()) % BINS for t in (word + "$", *(word[:n] for n in range(3, min(len(word), 8) + 1)))]
 
 
+def text_words(text: str | None) -> set[str]:
+    """The distinct words of a text, in lower case."""
+    return set(_WORD.findall((text or "").lower()))
+
+
 @dataclass
 class Machine:
     """A fitted model: bins to rows of ``weights`` and ``factors``, and a bias."""
@@ -59,62 +67,83 @@ class Machine:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def terms(self, text: str | None) -> list[int]:
+    def terms(self, text: str | None) -> set[int]:
         """The rows of the terms that ``text`` has."""
         known, found = self.known, set()
         if len(known) > _CACHE:
             known.clear()
-        for word in set(_WORD.findall((text or "").lower())):
+        for word in text_words(text):
             rows = known.get(word)
             if rows is None:
-                rows = known[word] = [self.bins[b] for b in _bins(word) if b in self.bins] or ()
+                rows = known[word] = [self.bins[b] for b in word_bins(word) if b in self.bins] or ()
             if rows:
                 found.update(rows)
-        return sorted(found)
+        return found
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The probability of the label for each text; all pairs of its terms weigh in, by sums of squares."""
+        rows = [sorted(self.terms(t)) for t in texts]
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat = np.array([i for r in rows for i in r], np.int64)
+        total = lambda values: np.bincount(owner, values, len(rows))
+        z = self.bias + total(self.weights[flat])
+        for f in range(self.factors.shape[1]):
+            v = self.factors[flat, f].astype(np.float64)
+            z += 0.5 * (total(v) ** 2 - total(v * v))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, label, bins) for ``rows`` labelled documents at most, none of them held out; written."""
+    marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder(5) != 0)
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text"), (F.max("toxic") > 0).alias("label"))
 
-    def score(self, text: str | None) -> float:
-        """The probability of the label."""
-        rows = self.terms(text)
-        v = self.factors[rows]
-        z = self.bias + self.weights[rows].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            found = [sorted({b for w in text_words(t) for b in word_bins(w)}) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "bins"])
 
+    return materialize(map_arrow(own.select(F.col("doc_id").cast("long"), "label", "text"), bins, "doc_id long, label boolean, bins array<int>"), "sample")
+
+
+def choose_bins(rows: DataFrame, terms: int = TERMS) -> list[int]:
+    """The bins of ``rows`` (label, bins) that go with the label most, ``terms`` at most, sorted."""
+    positives, total = rows.agg(F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)), F.count("*")).first()
+    counts = rows.select(F.explode("bins").alias("bin"), F.col("label").cast("long").alias("hit")).groupBy("bin").agg(F.sum("hit").alias("k"), F.count("*").alias("n"))
+    best = counts.where(F.col("k") >= LEAST_ROWS).withColumn("g", g_test(F.col("k"), F.col("n"), positives, total)).where(F.col("g") >= LEAST_G)
+    return sorted(r.bin for r in best.orderBy(F.desc(F.round("g", 6)), "bin").limit(terms).collect())
 
-def fit(rows: list[tuple[str, int]], terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS) -> Machine | None:
-    """The machine for (text, label) rows; None without rows."""
-    if not rows:
-        return None
-    y = np.array([label for _, label in rows], np.float32)
-    bins_of = lambda t: np.unique(np.array([b for w in set(_WORD.findall((t or "").lower())) for b in _bins(w)], np.uint32))
-    bins, toxic = np.unique(np.concatenate([np.empty(0, np.uint32), *[bins_of(t) for t, label in rows if label]]), return_counts=True)
-    bins, toxic = bins[toxic >= 3], toxic[toxic >= 3]  # only these can go with the label
-    has, total = [], np.zeros(len(bins), np.int64)
-    for t, _ in rows:
-        found = bins_of(t)
-        i = np.searchsorted(bins, found)
-        i = i[bins[np.minimum(i, len(bins) - 1)] == found] if len(bins) else i[:0]  # searchsorted may give the end
-        has.append(i.astype(np.int32))
-        total[i] += 1
-    g = _g(toxic, total, y.sum(), len(y))
-    best = np.flatnonzero(g >= LEAST_G)
-    best = np.sort(best[np.lexsort((best, -g[best]))][:terms])
-    row = np.full(len(bins), -1)
-    row[best] = np.arange(len(best))
-    x = np.zeros((len(rows), len(best)), np.float32)
-    for i, own in enumerate(has):
-        x[i, row[own][row[own] >= 0]] = 1
-    prior = (y.sum() + 0.5) / (len(y) + 1)
-    weights, vectors, bias = _learn(x, y, float(np.log(prior / (1 - prior))), factors, steps)
-    return Machine({int(bins[b]): i for i, b in enumerate(best)}, weights, vectors, bias)
 
+def g_test(k, n, positives: int, rows: int):
+    """Likelihood ratio of the label in rows with and without a bin: ``k`` of the ``n`` rows with it have the label."""
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-def _g(k, n, positives, rows):
-    """Likelihood ratio of the label in rows with and without each bin."""
-    def part(o, e):
-        return np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
+    m, negatives = rows - n, rows - positives
+    return 2 * (part(k, n * positives / rows) + part(n - k, n * negatives / rows) + part(positives - k, m * positives / rows) + part(m - (positives - k), m * negatives / rows))
 
-    m, other = rows - n, positives - k
-    return 2 * (part(k, n * positives / rows) + part(n - k, n * (rows - positives) / rows) + part(other, m * positives / rows) + part(m - other, m * (rows - positives) / rows))
+
+def fit(rows: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS) -> Machine | None:
+    """The machine for ``rows`` (doc_id, label, bins); None without rows."""
+    best = choose_bins(rows, terms)
+    chosen = np.array(best, np.int32)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(chosen, b, assume_unique=True)) for b in batch.column("bins").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "label", "own"])
+
+    got = map_arrow(rows, rows_of, "doc_id long, label boolean, own array<int>").toArrow().sort_by("doc_id")
+    if not got.num_rows:
+        return None
+    y = got.column("label").to_numpy().astype(np.float32)
+    x = np.zeros((len(y), len(best)), np.float32)
+    own = got.column("own").combine_chunks()
+    x[np.repeat(np.arange(len(y)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = 1
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+    weights, vectors, bias = _learn(x, y, float(np.log(prior / (1 - prior))), factors, steps)
+    return Machine({b: i for i, b in enumerate(best)}, weights, vectors, bias)
 
 
 def _learn(x, y, bias, factors, steps):
@@ -143,22 +172,31 @@ def remainder(modulus: int):
 
 def fit_labels(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine | None:
     """The machine for the labelled rows of ``docs`` that are not held out, ``rows`` of them at most."""
-    marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder(5) != 0)
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    got = sorted(own.collect(), key=lambda r: r.doc_id)
-    return fit([(r.text, int(r.toxic > 0)) for r in got])
+    return fit(sample(docs, labels, rows))
+
+
+def _scored(df: DataFrame, text: str, keep: str, machine: Machine | None, schema) -> DataFrame:
+    """The column ``keep`` of each row, and the score of its column ``text``."""
+    shared = df.sparkSession.sparkContext.broadcast(machine)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, 4 << 20):
+            model, texts = shared.value, batch.column(text).to_pylist()
+            found = model.scores(texts) if model else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(found, pa.float64())], [keep, "score"])
+
+    return map_arrow(df, scores, schema)
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """(doc_id, score) for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _scored(rows, "text", "doc_id", machine, "doc_id long, score double")
 
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            model = shared.value
-            found = [model.score(t) if model else 0.0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found, pa.float64())], ["doc_id", "row", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("row"))
-    return map_arrow(rows, scores, "doc_id long, row long, score double")
+def drop_toxic(docs: DataFrame, machine: Machine | None, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``least`` or more: judged where they are read, nothing is joined."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
+    kept = _scored(rows, "text", "doc", machine, schema).where(F.col("score") < least)
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

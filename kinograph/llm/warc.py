@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import drop, map_arrow, materialize
+from kinograph.llm.common import drop, map_arrow, materialize, split_rows
 
 MAGIC = "WARC/1.0\r\n"
 SEPARATOR = "\r\n" + MAGIC
@@ -42,12 +42,12 @@ def decide_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     copied = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copied = materialize(copied.select(F.col("digest").alias("copied"), "first"), "copied")
+    copied = materialize(copied.select(F.xxhash64("digest").alias("key"), F.col("digest").alias("copied"), "first"), "copied")
     if copied.count() <= BROADCAST_ROWS:
-        copied = F.broadcast(copied)
-    else:  # every row takes part, but only its key: Spark can split a digest that many rows share
-        copied = copied.hint("merge")
-    joined = rows.join(copied, rows.digest == F.col("copied"), "left")
+        joined = rows.join(F.broadcast(copied.drop("key")), rows.digest == F.col("copied"), "left")
+    else:  # only payloads that have copies are shuffled, and Spark can split a digest that many rows share
+        alone, others = split_rows(rows.withColumn("key", F.xxhash64("digest")), "key", copied.select("key"))
+        joined = others.join(copied.drop("key").hint("merge"), others.digest == F.col("copied"), "left").unionByName(alone, allowMissingColumns=True)
     return joined.select("page_id", "url", "payload", "bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 

@@ -59,6 +59,48 @@ def test_proximity(spark):
     assert got[2] == []
 
 
+def near_plain(docs, items, size, slop):
+    """(doc, item) pairs with an exact match, and those with a near one, by trying every begin."""
+    exact, near = set(), set()
+    for d, t in docs:
+        w = words(t)
+        for i, x in items:
+            iw = words(x)
+            for k in range(max(1, len(iw) - size + 1) if iw else 0):
+                win = iw[k : k + size]
+                for c in range(-slop, len(w) + slop):
+                    if all(any(0 <= c + p + e < len(w) and w[c + p + e] == x for e in range(-slop, slop + 1)) for p, x in enumerate(win)):
+                        near.add((d, i))
+                        if all(0 <= c + p < len(w) and w[c + p] == x for p, x in enumerate(win)):
+                            exact.add((d, i))
+    return exact, near
+
+
+def test_proximity_matches_brute_force(spark, monkeypatch):
+    """Many short documents side by side in one segment."""
+    for seed, size, slop, chars in ((5, 4, 1, 1 << 25), (6, 6, 2, 1 << 25), (7, 3, 2, 60)):
+        monkeypatch.setattr("kinograph.llm.decontaminate.BLOCK_CHARS", chars)
+        rng = random.Random(seed)
+        say = lambda n: " ".join(rng.choice("a b c d e f g".split()) for _ in range(n))  # noqa: E731, B023
+        items = [(i, say(rng.randint(1, 9))) for i in range(10)]
+        docs = [(i, say(rng.randint(0, 9))) for i in range(150)]
+        got = [(r[0], m) for r in run(spark, docs, items, size=size, slop=slop) for m in r[4]]
+        exact, near = near_plain(docs, items, size, slop)
+        assert {(d, m.item_id) for d, m in got if m.exact} == exact
+        assert {(d, m.item_id) for d, m in got} == near and len(near) > len(exact) > 0
+        length = {d: len(words(t)) for d, t in docs}
+        assert all(0 <= m.begin < m.end <= length[d] for d, m in got)
+
+
+def test_a_near_match_before_its_document_is_its_own(spark):
+    docs = [(1, "alpha beta"), (2, "k0 k1 k2 extra k3 k4 k5 k6 k7 k8 k9"), (3, "k1 k2")]
+    got = {r[0]: [(m.item_id, m.exact) for m in r[4]] for r in run(spark, docs, [(7, "k0 k1 k2 k3 k4 k5 k6 k7 k8 k9")], slop=2)}
+    assert got == {1: [], 2: [(7, False)], 3: []}
+    long = " ".join(f"w{i}" for i in range(120_000))
+    got = {r[0]: r[2] for r in run(spark, [(1, long), (2, long + " tail"), (3, None)], [(1, " ".join(f"w{i}" for i in range(100_000, 100_030)))], slop=2)}
+    assert got == {1: 30, 2: 30, 3: 0}
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a")]) == []
     assert [r[2] for r in run(spark, [(1, "a")], [])] == [0]

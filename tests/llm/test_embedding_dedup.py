@@ -1,6 +1,6 @@
 import numpy as np
 
-from kinograph.llm.embedding_dedup import Code, near_duplicates
+from kinograph.llm.embedding_dedup import Code, aim_for, code_words, near_duplicates
 from tests_llm_common import components
 
 SCHEMA = "vec_id long, embedding array<float>, n_links string"
@@ -51,10 +51,26 @@ def test_null_and_repeated_ids(spark):
 
 
 def test_decoding_finds_the_highest_filters():
-    code = Code(16, 6)
-    x = np.random.default_rng(5).normal(size=16)
-    every = []
-    for n in range(6**4):
-        w = [n // 6**3, n // 36 % 6, n // 6 % 6, n % 6]
-        every.append((sum(code.books[b][w[b]] @ x[4 * b : 4 * b + 4] for b in range(4)), n))
-    assert code.decode(x, 20).tolist() == sorted(n for _, n in sorted(every)[-20:])
+    for dim, words in ((16, 6), (14, 5), (3, 6), (2, 6), (1, 6)):
+        code = Code(dim, words)
+        some = np.random.default_rng(5).normal(size=(5, dim))
+        for x, got in zip(some, code.decode(some, 20), strict=True):
+            every = [(sum(book[k] @ x[a:b] for book, k, a, b in zip(code.books, place, code.cuts[:-1], code.cuts[1:])), place) for place in np.ndindex(*map(len, code.books))]
+            best = sorted(every, key=lambda e: e[0])[-20:]
+            assert got.tolist() == sorted(int(np.ravel_multi_index(place, [len(b) for b in code.books])) for _, place in best)
+
+
+def test_recall_at_the_threshold_itself():
+    """The share of pairs at cosine 0.95 exactly that have a filter in common, by number of classes."""
+    rng = np.random.default_rng(9)
+    for dim in (64, 384):
+        x = rng.normal(size=(400, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.normal(size=(400, dim))
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        for classes in (5_000, 50_000, 10**6, 10**8):
+            code, aim = Code(dim, code_words(classes)), aim_for(classes)
+            found = [bool(set(a) & set(b)) for a, b in zip(code.decode(x, aim).tolist(), code.decode(y, aim).tolist())]
+            print(dim, classes, aim, np.mean(found))
+            assert np.mean(found) >= 0.97

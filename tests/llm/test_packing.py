@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+from kinograph.llm import packing
 from kinograph.llm.packing import pack, pack_documents
+from kinograph.llm.simhash import near_duplicates
 from kinograph.llm.token_counts import Counter as Tokens
 from kinograph.llm.token_counts import load_vocabulary
 
@@ -68,3 +70,27 @@ def test_documents(spark):
         bins[r.bin_id].append(r)
     assert all(sum(r.tokens for r in b) <= 32 and sorted(r.position for r in b) == list(range(len(b))) for b in bins.values())
     assert pack_documents(df.limit(0), v).count() == 0
+
+
+def test_near_copies_never_share_a_bin(spark):
+    v, rng = load_vocabulary(), random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+    long = say(400)
+    rows = [(i, f"{long} tail{i}" if i < 12 else say(8), f"s{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    classes = near_duplicates(df)
+    roots = {r.doc_id: r.root for r in classes.collect()}
+    assert len({roots[i] for i in range(12)}) < 12
+    for given in (None, classes):
+        bins = defaultdict(list)
+        for r in pack_documents(df, v, 8000, 10_000, given).collect():
+            bins[r.bin_id].append(r.doc_id)
+        shared = max(Counter(roots[i] for i in b).most_common(1)[0][1] for b in bins.values())
+        assert (shared == 1) == (given is not None)
+
+
+def test_copies_of_one_row_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_COPIES", 7)
+    df = spark.createDataFrame([(1, "a b", "s")] * 50 + [(2, "c", None)], "doc_id long, text string, source string")
+    got = pack_documents(df, load_vocabulary(), 64, 8).collect()
+    assert Counter(r.doc_id for r in got) == {1: 50, 2: 1} and len({r.bin_id for r in got if r.doc_id == 1}) == 50

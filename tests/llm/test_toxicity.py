@@ -1,7 +1,10 @@
+import math
+import zlib
+
 import numpy as np
 
 from kinograph.llm.q_toxicity import op4_toxicity
-from kinograph.llm.toxicity import fit, fit_labels, score
+from kinograph.llm.toxicity import LEAST_G, Machine, choose_bins, drop_toxic, fit_labels, sample, score, word_bins
 
 SF = "/root/testdata/sf0.1"
 
@@ -17,14 +20,64 @@ def test_held_out_accuracy(spark):
     assert np.mean([p for t, p, _ in held if not t]) <= 0.02
 
 
-def test_pairs_matter():
+def rows_of(spark, texts):
+    docs = spark.createDataFrame([(i, t, 0.0) for i, (t, _) in enumerate(texts)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    return docs, labels
+
+
+def test_pairs_matter(spark):
     rng = np.random.default_rng(1)
     rows = []
-    for _ in range(600):
+    for _ in range(900):
         a, b = rng.random(2) < 0.3
         rows.append((" ".join(["plain words here"] + ["alpha"] * int(a) + ["omega"] * int(b)), int(a and not b or b and not a)))
-    m = fit(rows)
-    assert m.score("alpha") > 0.5 and m.score("omega") > 0.5 and m.score("alpha omega") < 0.5
+    m = fit_labels(*rows_of(spark, rows))
+    alpha, omega, both = m.scores(["alpha", "omega", "alpha omega"])
+    assert alpha > 0.5 and omega > 0.5 and both < 0.5
+
+
+def test_score_is_that_of_all_pairs():
+    rng = np.random.default_rng(2)
+    words = [f"term{i}x" for i in range(30)]
+    bins = {b: i for i, b in enumerate(sorted({b for w in words for b in word_bins(w)}))}
+    m = Machine(bins, rng.normal(size=len(bins)) / 9, rng.normal(size=(len(bins), 4)) / 9, -0.3)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(50)] + [None, "", "none of these", " ".join(words * 20_000)]
+    for text, got in zip(texts, m.scores(texts), strict=True):
+        own = sorted({bins[b] for w in set((text or "").split()) for b in word_bins(w) if b in bins})
+        z = m.bias + sum(m.weights[i] for i in own) + sum(m.factors[i] @ m.factors[j] for k, i in enumerate(own) for j in own[k + 1 :])
+        assert math.isclose(got, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_bins_are_those_of_the_largest_g(spark):
+    rng = np.random.default_rng(3)
+    words = [f"q{i}" for i in range(60)]
+    rows = []
+    for _ in range(400):
+        toxic = int(rng.random() < 0.3)
+        rows.append((" ".join(w for i, w in enumerate(words) if rng.random() < (0.1 + 0.4 * toxic * (i % 3 == 0))), toxic))
+    held = sample(*rows_of(spark, rows))
+    ids = {r.doc_id for r in held.collect()}
+    used = [({b for w in set(t.split()) for b in word_bins(w)}, y) for i, (t, y) in enumerate(rows) if i in ids]
+    assert ids == {i for i in range(400) if zlib.crc32(str(i).encode()) % 5}
+    total, positives = len(used), sum(y for _, y in used)
+    g = {}
+    for b in set().union(*(s for s, _ in used)):
+        cells = [(sum(1 for s, y in used if (b in s) == has and y == label), sum(1 for s, _ in used if (b in s) == has) * (positives if label else total - positives) / total) for has in (0, 1) for label in (0, 1)]
+        if sum(1 for s, y in used if b in s and y) >= 3:
+            g[b] = 2 * sum(o * math.log(o / e) for o, e in cells if o)
+    want = sorted((b for b in g if g[b] >= LEAST_G), key=lambda b: (-round(g[b], 6), b))
+    assert len(want) > 12
+    assert choose_bins(held) == sorted(want) and choose_bins(held, 10) == sorted(want[:10])
+
+
+def test_drop_toxic_filters_in_place(spark):
+    docs, labels = rows_of(spark, [("vile thing" if i % 2 else "good thing", i % 2) for i in range(60)])
+    m = fit_labels(docs, labels)
+    kept = drop_toxic(docs.unionByName(spark.createDataFrame([(None, None, 1.0), (7, "vile thing", 2.0)], docs.schema)), m)
+    assert sorted((str(r.doc_id), r.score) for r in kept.collect()) == sorted([(str(i), 0.0) for i in range(0, 60, 2)] + [("None", 1.0)])
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert drop_toxic(docs, None).count() == 60 and drop_toxic(docs.limit(0), m).count() == 0
 
 
 def test_edges(spark):
@@ -35,5 +88,6 @@ def test_edges(spark):
     some = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     many = spark.createDataFrame([(i, "vile thing" if i % 2 else "good thing") for i in range(40)], "doc_id long, text string")
     m = fit_labels(many, some)
-    assert m.score("vile") > 0.5 > m.score("good") and 0 <= m.score(None) <= 1
+    vile, good, none = m.scores(["vile", "good", None])
+    assert vile > 0.5 > good and 0 <= none <= 1
     assert score(docs.limit(0), m).count() == 0
