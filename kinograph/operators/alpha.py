@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The least part of the picture that must shine through, and the alpha from which none does.
 LEAST_THROUGH, SOLID = 0.12, 0.88
 
 
-def variance_alpha(stats: DataFrame, background: DataFrame, *keys: str) -> DataFrame:
-    """1 - std / background std of the key, within 0 to 1; ``stats``: (keys, y, x, std)."""
-    joined = stats.join(F.broadcast(background), list(keys))
-    alpha = 1 - F.coalesce(F.try_divide("std", "background_std"), F.lit(1.0))
-    return joined.withColumn("alpha", F.least(F.greatest(alpha, F.lit(0.0)), F.lit(1.0)))
+#: Fixed value: the contrast, in levels, that ink and background need in each channel for a fit.
+MIN_CONTRAST = 6.0
+
+
+def unit(value: Column) -> Column:
+    """``value`` within 0 to 1."""
+    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+
+
+def variance_alpha(stds: list[Column], around: list[Column]) -> Column:
+    """1 less the least share, over channels, of the background's deviation that a pixel keeps; 0 where the background has none."""
+    kept = [F.coalesce(F.try_divide(s, b), F.lit(1.0)) for s, b in zip(stds, around, strict=True)]
+    return unit(1 - (F.least(*kept) if len(kept) > 1 else kept[0]))
+
+
+def matte_alpha(means: list[Column], around: list[Column], ink: float) -> Column:
+    """Least squares over channels: how far means stand from the background towards the ink; 0 without contrast."""
+    gaps = [F.lit(ink) - b for b in around]
+    top = sum(((m - b) * g for m, b, g in zip(means, around, gaps, strict=True)), F.lit(0.0))
+    bottom = sum((g * g for g in gaps), F.lit(0.0))
+    return unit(F.when(bottom > MIN_CONTRAST**2 * len(gaps), top / bottom).otherwise(0.0))
+
+
+def alpha_bound(leasts: list[Column], ink: float) -> Column:
+    """The most alpha that the darkest moment of a pixel allows in any channel, ``SOLID`` at most."""
+    return F.least(*[v / ink for v in leasts], F.lit(SOLID))
 
 
 def recovered(value, alpha, ink: float):

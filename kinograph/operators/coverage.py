@@ -27,7 +27,7 @@ def ring_pixels(signals: DataFrame, boxes: DataFrame, least_std: float) -> DataF
     outer = c("x").between(c("bx") - c("ring"), c("bx") + c("bw") - 1 + c("ring")) & c("y").between(c("by") - c("ring"), c("by") + c("bh") - 1 + c("ring"))
     met = signals.join(F.broadcast(boxes), outer)
     median = met.groupBy("box").agg(F.expr("percentile(std, 0.5)").alias("median_std"))
-    met = met.join(F.broadcast(median), "box")
+    met = met.join(median, "box")
     in_x, in_y = c("x").between(c("bx"), c("bx") + c("bw") - 1), c("y").between(c("by"), c("by") + c("bh") - 1)
     side = F.when(in_y & (c("x") < c("bx")), "left").when(in_y & ~in_x, "right").when(in_x & (c("y") < c("by")), "top").when(in_x & ~in_y, "bottom")
     far = F.when(c("side") == "left", c("bx") - c("x")).when(c("side") == "right", c("x") - c("bx") - c("bw") + 1).when(c("side") == "top", c("by") - c("y")).when(c("side") == "bottom", c("y") - c("by") - c("bh") + 1)
@@ -60,7 +60,7 @@ def grow(signals: DataFrame, boxes: DataFrame, least_std: float = 0.01) -> DataF
         verdict = measure(signals, boxes, least_std)
         if step == ROUNDS - 1:
             return verdict
-        known = verdict.join(F.broadcast(first), "box")
+        known = verdict.join(first, "box")
         changed = F.struct("sx", "sy", "sw", "sh") != F.struct("bx", "by", "bw", "bh")
         accept = ~F.col("ok") & ~F.col("inconclusive") & changed & (F.col("sw") * F.col("sh") <= GROWTH * F.col("first_area"))
         boxes = written(known.select("box", *[F.when(accept, F.col(s)).otherwise(F.col(b)).alias(b) for b, s in (("bx", "sx"), ("by", "sy"), ("bw", "sw"), ("bh", "sh"))], "ring"), "boxes")

@@ -36,13 +36,13 @@ def locked_edges(graded: DataFrame, threshold: float, *keys: str) -> DataFrame:
     )
 
 
-def sweep(graded: DataFrame, thresholds: list[float], persist: float = PERSIST_FIND) -> DataFrame:
-    """(i, threshold, y, x) of the pixels that each threshold marks; one pass for all thresholds."""
+def sweep(graded: DataFrame, thresholds: list[float], *keys: str, persist: float = PERSIST_FIND) -> DataFrame:
+    """(keys, i, threshold, y, x) of the pixels that each threshold marks; one pass for all thresholds."""
     shares = [F.avg(beyond(t).cast("int")).alias(f"p{i}") for i, t in enumerate(thresholds)]
-    stats = graded.groupBy("y", "x").agg(F.abs(F.avg("dx")).alias("ex"), F.abs(F.avg("dy")).alias("ey"), *shares)
+    stats = graded.groupBy(*keys, "y", "x").agg(F.abs(F.avg("dx")).alias("ex"), F.abs(F.avg("dy")).alias("ey"), *shares)
     each = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(t).alias("threshold"), F.col(f"p{i}").alias("share")) for i, t in enumerate(thresholds)])
-    marked = stats.select("y", "x", "ex", "ey", F.explode(each).alias("s")).select("y", "x", "ex", "ey", "s.*")
-    return marked.where(((F.col("ex") > F.col("threshold")) | (F.col("ey") > F.col("threshold"))) & (F.col("share") >= persist)).select("i", "threshold", "y", "x")
+    marked = stats.select(*keys, "y", "x", "ex", "ey", F.explode(each).alias("s")).select(*keys, "y", "x", "ex", "ey", "s.*")
+    return marked.where(((F.col("ex") > F.col("threshold")) | (F.col("ey") > F.col("threshold"))) & (F.col("share") >= persist)).select(*keys, "i", "threshold", "y", "x")
 
 
 def boxes(marked: DataFrame, *keys: str) -> DataFrame:

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # States that run, states that end, and the state that each outcome leads to (others: failed).
-LIVE = ("preparing", "downloading", "running", "uploading")
-TERMINAL = ("succeeded", "failed", "canceled", "interrupted", "needs_review")
+LIVE = ("preparing", "downloading", "detecting", "running", "uploading")
+TERMINAL = ("succeeded", "failed", "needs_review", "canceled", "interrupted")
 STATE_OF_OUTCOME = {
     "ok": "succeeded",
-    "verify_failed": "needs_review",
-    "coverage_under": "needs_review",
     "coverage_inconclusive": "needs_review",
-    "canceled": "canceled",
+    "coverage_under": "needs_review",
+    "verify_failed": "needs_review",
     "interrupted": "interrupted",
+    "canceled": "canceled",
 }
 # Seconds that outputs stay, that unknown folders stay, and the order in which space is taken back.
 WINDOW_S, ORPHAN_S = 48 * 3600, 3600

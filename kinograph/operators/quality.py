@@ -14,15 +14,35 @@ def psnr(mse: Column, peak: float) -> Column:
     return F.when(F.coalesce(mse, F.lit(0.0)) <= 1e-9, F.lit(float("inf"))).otherwise(10 * F.log10(F.lit(peak * peak) / mse))
 
 
+#: Ranks around the middle, as a share, within which the exact median is looked for, and the sketch's accuracy.
+_AROUND, _ACCURACY = 0.001, 10_000
+
+
+def medians(df: DataFrame, value, *keys: str) -> DataFrame:
+    """(keys, median): the exact median of ``value`` in each key, the mean of the middle two where they are two.
+
+    A sketch, combined before the shuffle, bounds the middle of each key; only values between the bounds
+    are gathered, so a key with very many rows needs a few thousandths of them in one task. Nulls do not count.
+    """
+    rows = df.select(*keys, value.cast("double").alias("of_median")).where("of_median IS NOT NULL")
+    sketch = F.percentile_approx("of_median", [0.5 - _AROUND, 0.5 + _AROUND], _ACCURACY)
+    bounds = rows.groupBy(*keys).agg(sketch.alias("bounds"), F.count("*").alias("n"))
+    both = rows.join(bounds, list(keys)) if keys else rows.crossJoin(F.broadcast(bounds))
+    low, high = F.col("bounds")[0], F.col("bounds")[1]
+    near = F.when(F.col("of_median").between(low, high), F.col("of_median"))
+    found = both.groupBy(*keys).agg(F.any_value("n").alias("n"), F.sum((F.col("of_median") < low).cast("long")).alias("below"), F.array_sort(F.collect_list(near)).alias("near"))
+    at = lambda rank: F.element_at("near", (rank - F.col("below") + 1).cast("int"))
+    return found.select(*keys, ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
 def robust_z(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """``df`` with z: distance from the key's median in scaled median deviations; zero where those vanish.
 
-    Medians are of the groups' values; the two joins are with a row per group.
+    The two joins are with a row per key, which Spark broadcasts only where that is small. A row with a null key has no z.
     """
-    median = df.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5)").alias("med"))
-    off = df.join(F.broadcast(median), list(keys)) if keys else df.crossJoin(F.broadcast(median))
-    spread = off.groupBy(*keys).agg(F.expr(f"percentile(abs({value} - med), 0.5)").alias("mad"))
-    off = off.join(F.broadcast(spread), list(keys)) if keys else off.crossJoin(F.broadcast(spread))
+    met = lambda left, right: left.join(right, list(keys)) if keys else left.crossJoin(F.broadcast(right))
+    off = met(df, medians(df, F.col(value), *keys).withColumnRenamed("median", "med"))
+    off = met(off, medians(off, F.abs(F.col(value) - F.col("med")), *keys).withColumnRenamed("median", "mad"))
     return off.withColumn("z", F.when(F.col("mad") <= 1e-9, F.lit(0.0)).otherwise((F.col(value) - F.col("med")) / (MAD_SCALE * F.col("mad"))))
 
 

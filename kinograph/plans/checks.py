@@ -16,6 +16,8 @@ from kinograph.plans.tiles import _ST, BOX, _alpha, _means
 from kinograph.sources.tables import frames, pixels, table
 
 PAD = 2
+#: The alpha from which a pixel belongs to a stroke; marks are faint in these tiles.
+STROKE = 0.01
 #: Bytes of video memory per pixel and frame, of memory per pixel and frame, and the longest segment.
 PER_PIXEL, PER_PIXEL_RAM, LONGEST = 80, 6, 2000
 
@@ -46,8 +48,8 @@ def box_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = box_clamp(spark, sf_dir).withColumn("ratio", F.col("w") / F.col("h"))
     share = F.col("area") / (FRAME_W * FRAME_H)
     says = F.array_compact(F.array(F.when((F.col("ratio") > 5) | (F.col("ratio") < 0.2), F.lit("long")), F.when(share < 0.0005, F.lit("small")), F.when(share > 0.10, F.lit("large"))))
-    wider = F.col("area") * (1 + F.col("box") % 5)
-    return b.select("box", F.array_join(says, ",").alias("warnings"), ((wider > F.col("area")) & (wider <= 3 * F.col("area"))).alias("widened"))
+    wider = F.least(F.col("w") + F.col("box") % 7 * 12, F.lit(FRAME_W)) * F.least(F.col("h") + F.col("box") % 4 * 9 - 6, F.lit(FRAME_H))  # a second search's box
+    return b.select("box", F.array_join(says, ",").alias("warnings"), wider.alias("retry_area"), ((wider > F.col("area")) & (wider <= 3 * F.col("area"))).alias("widened"))
 
 
 def time_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,27 +77,35 @@ def box_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stroke_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of the box whose alpha is over a third, and their neighbours, per clip."""
+    """Pixels of the box whose alpha is over ``STROKE``, and their neighbours, per clip."""
     fit = _means(spark, sf_dir).where(BOX).select("clip", "y", "x", F.round(_alpha(), 6).alias("a"))
     span = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    wide = fit.where("a > 0.01").select("clip", "y", "x", F.explode(span).alias("dy")).select("clip", "y", "x", "dy", F.explode(span).alias("dx"))
+    wide = fit.where(F.col("a") > STROKE).select("clip", "y", "x", F.explode(span).alias("dy")).select("clip", "y", "x", "dy", F.explode(span).alias("dx"))
     return wide.select("clip", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).where("y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7").distinct()
 
 
 def inverse_distance_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean frames with the box filled from outside, by inverse squared distance."""
+    """Mean frames with the box filled from outside, by inverse squared distance, within each clip's one tile."""
     mean = pixels(frames(spark, sf_dir), "px").groupBy("clip", "y", "x").agg(F.avg("px").alias("v"))
-    hole, known = mean.where(BOX).select("clip", "y", "x"), mean.where(f"NOT ({BOX})").select("clip", F.col("y").alias("ky"), F.col("x").alias("kx"), "v")
-    weight = 1 / (F.pow(F.col("y") - F.col("ky"), F.lit(2)) + F.pow(F.col("x") - F.col("kx"), F.lit(2)))
-    both = hole.join(known, "clip").withColumn("w", weight)
-    return both.groupBy("clip", "y", "x").agg(F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6).alias("v"))
+    tile = mean.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("tile"))  # 64 pixels
+    inside = lambda p: p["x"].between(2, 5) & p["y"].between(2, 5)
+    tile = tile.withColumns({"hole": F.filter("tile", inside), "known": F.filter("tile", lambda p: ~inside(p))})
+
+    def filled(h):
+        weight = lambda k: 1 / (F.pow(h["y"] - k["y"], F.lit(2)) + F.pow(h["x"] - k["x"], F.lit(2)))
+        total = lambda f: F.aggregate("known", F.lit(0.0), lambda s, k: s + f(k))
+        return F.struct(h["y"].alias("y"), h["x"].alias("x"), F.round(total(lambda k: k["v"] * weight(k)) / total(weight), 6).alias("v"))
+
+    return tile.select("clip", F.inline(F.transform("hole", filled)))
 
 
 def tile_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base frames with a tile of the next frame laid over the box, as a left join per pixel."""
-    base = pixels(frames(spark, sf_dir).select("t", "px"), "px")
-    tile = base.where(BOX).select((F.col("t") - 1).alias("t"), "y", "x", F.col("px").alias("over"))
-    return base.join(tile, ["t", "y", "x"], "left").select("t", "y", "x", F.round(F.coalesce("over", "px"), 6).alias("v"))
+    """Base frames with a tile of the frame of the next number laid over the box; frames without one stay as they are."""
+    base = frames(spark, sf_dir).select("t", "px")
+    tiles = base.select((F.col("t") - 1).alias("t"), F.col("px").alias("tile"))
+    inside = lambda p: (p % 8).between(2, 5) & F.floor(p / 8).between(2, 5)
+    over = F.transform("px", lambda v, p: F.when(inside(p), F.coalesce(F.col("tile")[p], v)).otherwise(v))
+    return pixels(base.join(tiles, "t", "left").select("t", over.alias("v")), "v").select("t", "y", "x", F.round("v", 6).alias("v"))
 
 
 def tile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +122,10 @@ def grid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each order, the event nearest to its hour of the month; ties go to the earlier one."""
+    """For each order, the event nearest to its hour of the month; ties go to the earlier one.
+
+    Of the events of one second, the one before a stamp is that of the greatest id, the one after it that of the smallest.
+    """
     e = table(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.lit(1704067200) + F.col("o_orderkey") % 744 * 3600).alias("at_s"))
     # one row per distinct stamp, merged with the events in hourly slices: the last before and the first after
@@ -127,8 +140,8 @@ def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = edges.select("day", F.last("last", ignorenulls=True).over(past).alias("last_before"), F.first("first", ignorenulls=True).over(future).alias("first_after"))
     seen = seen.join(F.broadcast(edges), "day", "left").withColumns({"low": F.coalesce("low", "last_before"), "high": F.coalesce("high", "first_after")})
     low_is = F.col("high").isNull() | (F.col("low").isNotNull() & (F.col("s") - F.col("low.s") <= F.col("high.s") - F.col("s")))
-    found = seen.select(F.col("s").alias("at_s"), F.when(low_is, F.col("low.s")).otherwise(F.col("high.s")).alias("nearest"))
-    return o.join(found, "at_s").select("o_orderkey", F.abs(F.col("nearest") - F.col("at_s")).alias("seconds_off"))
+    found = seen.select(F.col("s").alias("at_s"), F.when(low_is, F.col("low")).otherwise(F.col("high")).alias("nearest"))
+    return o.join(found, "at_s").select("o_orderkey", F.abs(F.col("nearest.s") - F.col("at_s")).alias("seconds_off"), F.col("nearest.s").alias("event_s"), F.col("nearest.event_id").alias("event_id"))
 
 
 def nearest_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,20 +224,22 @@ ORACLES = {
     "kernel_sizes": f"WITH {_C} SELECT box, {_ODD.format('w')} AS odd, greatest(9, {_ODD.format('round_even(0.06::DOUBLE * least(w, h), 0)::BIGINT')}) AS gap, greatest(48, least(w, 200)) AS ring FROM cl",
     "roi_edges_touched": f"WITH {_C} SELECT box, concat_ws(',', CASE WHEN x <= 227 THEN 'left' END, CASE WHEN y + h >= 51 THEN 'bottom' END) AS touched FROM cl",
     "box_warnings": f"""WITH {_C}, a AS (SELECT *, w * h AS area FROM cl) SELECT box, concat_ws(',', CASE WHEN w / h > 5 OR w / h < 0.2::DOUBLE THEN 'long' END, CASE WHEN area / {FRAME_W * FRAME_H} < 0.0005::DOUBLE THEN 'small' END,
-      CASE WHEN area / {FRAME_W * FRAME_H} > 0.1::DOUBLE THEN 'large' END) AS warnings, box % 5 BETWEEN 1 AND 2 AS widened FROM a""",
+      CASE WHEN area / {FRAME_W * FRAME_H} > 0.1::DOUBLE THEN 'large' END) AS warnings, area2 AS retry_area, area2 > area AND area2 <= 3 * area AS widened FROM (SELECT *, least(w + box % 7 * 12, {FRAME_W}) * least(h + box % 4 * 9 - 6, {FRAME_H}) AS area2 FROM a)""",
     "time_base": "WITH p AS (SELECT p_partkey, p_size::BIGINT AS n FROM part WHERE p_size > 0), d AS (SELECT *, CASE WHEN n >= 10000 THEN 1 WHEN n >= 1000 THEN 10 WHEN n >= 100 THEN 100 WHEN n >= 10 THEN 1000 ELSE 10000 END::BIGINT AS den FROM p) SELECT p_partkey, n * den AS num, den FROM d",
     "segment_sizing": f"""WITH {_C}, s AS (SELECT box, CASE WHEN box % 3 <> 0 THEN greatest(32, floor((box + 1) * 3000000 * 0.7::DOUBLE / ({PER_PIXEL} * w * h))) END AS v, greatest(32, floor((box + 1) * 2000000 * 0.25::DOUBLE / ({PER_PIXEL_RAM} * w * h)) - 10) AS r FROM cl),
       m AS (SELECT *, least(v, r, {LONGEST}) AS least FROM s) SELECT box, least::BIGINT AS frames, CASE WHEN v = least THEN 'vram' WHEN r = least THEN 'ram' ELSE 'ceiling' END AS reason FROM m""",
     "box_source": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'given' WHEN o_orderkey % 3 = 0 THEN 'preset' ELSE 'detect' END AS source FROM orders)
       SELECT o_orderkey, source, o_orderkey % 3 = 1 OR (o_orderkey % 3 = 0 AND source = 'detect') AS grows FROM o""",
-    "stroke_mask": f"WITH {_ST}, m AS (SELECT clip, y, x FROM al WHERE round(a, 6) > 0.01) SELECT DISTINCT clip, y + dy AS y, x + dx AS x FROM m, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7",
+    "stroke_mask": f"WITH {_ST}, m AS (SELECT clip, y, x FROM al WHERE round(a, 6) > {STROKE}) SELECT DISTINCT clip, y + dy AS y, x + dx AS x FROM m, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7",
     "inverse_distance_fill": f"""WITH {PX}, m AS (SELECT clip, y, x, avg(v) AS v FROM px GROUP BY ALL), w AS (SELECT h.clip, h.y, h.x, k.v, 1 / ((h.y - k.y) ** 2 + (h.x - k.x) ** 2) AS w FROM m h JOIN m k ON h.clip = k.clip
       WHERE h.x BETWEEN 2 AND 5 AND h.y BETWEEN 2 AND 5 AND NOT (k.x BETWEEN 2 AND 5 AND k.y BETWEEN 2 AND 5)) SELECT clip, y, x, round(sum(v * w) / sum(w), 6) AS v FROM w GROUP BY clip, y, x""",
-    "tile_overlay": f"WITH {PX} SELECT a.t, a.y, a.x, round(coalesce(b.v, a.v), 6) AS v FROM px a LEFT JOIN px b ON b.t = a.t + 1 AND a.y = b.y AND a.x = b.x AND a.x BETWEEN 2 AND 5 AND a.y BETWEEN 2 AND 5",
+    "tile_overlay": f"WITH {PX}, b AS (SELECT t - 1 AS t, y, x, v AS over FROM px WHERE {BOX}) SELECT t, y, x, round(coalesce(over, v), 6) AS v FROM px LEFT JOIN b USING (t, y, x)",
     "tile_scan": f"WITH {PX} SELECT t, round(sum(v), 6) AS total FROM px WHERE t >= 10 AND {BOX} GROUP BY t",
     "grid_pixels": f"WITH {PX} SELECT clip, y, x, round(avg(v), 6) AS v FROM px WHERE x % 3 = 0 OR y % 3 = 0 GROUP BY clip, y, x",
-    "nearest_frame": f"""WITH {_EVV}, st AS (SELECT DISTINCT 1704067200 + o_orderkey % 744 * 3600 AS a FROM orders), n AS (SELECT a, (SELECT min(abs(s - a)) FROM ev0) AS off FROM st)
-      SELECT o_orderkey, off AS seconds_off FROM orders JOIN n ON a = 1704067200 + o_orderkey % 744 * 3600""",
+    "nearest_frame": f"""WITH {_EVV}, st AS (SELECT DISTINCT 1704067200 + o_orderkey % 744 * 3600 AS a FROM orders), lo AS (SELECT a, max(s) AS s FROM st JOIN ev0 ON s <= a GROUP BY a), hi AS (SELECT a, min(s) AS s FROM st JOIN ev0 ON s >= a GROUP BY a),
+      n AS (SELECT a, CASE WHEN hi.s IS NULL OR a - lo.s <= hi.s - a THEN lo.s ELSE hi.s END AS s FROM st LEFT JOIN lo USING (a) LEFT JOIN hi USING (a)),
+      e AS (SELECT s, min(event_id) AS first, max(event_id) AS last FROM ev0 GROUP BY s)
+      SELECT o_orderkey, abs(s - a) AS seconds_off, s AS event_s, CASE WHEN s <= a THEN last ELSE first END AS event_id FROM orders JOIN n ON a = 1704067200 + o_orderkey % 744 * 3600 JOIN e USING (s)""",
     "nearest_cut": f"""WITH {_z('user_id').replace(', md AS', f', nv AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), md AS', 1)},
       c AS (SELECT user_id, i FROM ev JOIN nv USING (event_id) WHERE event_type = '{CUT}') SELECT z.event_id, (SELECT min(abs(nv.i - c.i)) FROM c WHERE c.user_id = z.user_id) AS off FROM z JOIN nv USING (event_id) WHERE abs(z) > 1.5""",
     "config_sweep_table": f"WITH {_z('event_type')} SELECT event_type, round(median(value), 4) AS median, max(value) AS greatest, count(*) FILTER (abs(z) > 2) AS flagged, round(max(z), 4) AS worst FROM z GROUP BY event_type",

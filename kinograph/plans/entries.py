@@ -57,7 +57,7 @@ def detect_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = found.groupBy("clip", "region").count().where("count >= 4").select("clip", "region")
     box = boxes(found.join(large, ["clip", "region"], "left_semi"), "clip")
     std = pixels(frames(spark, sf_dir), "px").groupBy("clip", "y", "x").agg(F.stddev_pop("px").alias("s"))
-    both = std.withColumnsRenamed({"x": "px_x", "y": "px_y"}).join(F.broadcast(box), "clip")
+    both = std.withColumnsRenamed({"x": "px_x", "y": "px_y"}).join(box, "clip")
     inside = F.col("px_x").between(F.col("x"), F.col("x") + F.col("w") - 1) & F.col("px_y").between(F.col("y"), F.col("y") + F.col("h") - 1)
     out = both.groupBy("clip", "x", "y", "w", "h", "n").agg(F.avg(F.when(inside, F.col("s"))).alias("i"), F.avg(F.when(~inside, F.col("s"))).alias("o"))
     ratio = F.try_divide("i", "o")

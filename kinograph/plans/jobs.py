@@ -24,7 +24,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(
         F.col("o_orderkey").alias("job"),
         F.col("o_custkey").alias("host"),
-        F.coalesce(_mapped("o_orderstatus", STATE_OF_STATUS), F.lit("failed")).alias("state"),
+        F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 4 == 0), "detecting").otherwise(F.coalesce(_mapped("o_orderstatus", STATE_OF_STATUS), F.lit("failed"))).alias("state"),
         F.floor("o_totalprice").cast("long").alias("bytes"),
         F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("finished"),
         _mapped("o_orderpriority", OUTCOMES).alias("outcome"),
@@ -123,7 +123,8 @@ def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-_J = f"""j AS (SELECT o_orderkey AS job, o_custkey AS host, {_case('o_orderstatus', STATE_OF_STATUS, "'failed'")} AS state, floor(o_totalprice)::BIGINT AS bytes,
+_J = f"""j AS (SELECT o_orderkey AS job, o_custkey AS host,
+  CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 0 THEN 'detecting' ELSE {_case('o_orderstatus', STATE_OF_STATUS, "'failed'")} END AS state, floor(o_totalprice)::BIGINT AS bytes,
   epoch(o_orderdate)::BIGINT AS finished, {_case('o_orderpriority', OUTCOMES)} AS outcome, o_orderpriority AS priority FROM orders)"""
 _CAP = f"cap AS (SELECT host, count(*) FILTER (state IN {_in(LIVE)}) AS live, count(*) FILTER (state IN {_in(LIVE)}) < 3 AS free FROM j GROUP BY host)"
 _RET = f"""ret AS (SELECT job, bytes, CASE WHEN priority = '1-URGENT' THEN 'delivered' ELSE 'window' END AS reason, {NOW} - finished AS age FROM j

@@ -13,8 +13,12 @@ from kinograph.sources.tables import frames, pixels
 EDGE = 0.1
 #: Thresholds of the sweep, in thousandths here because pixels are about 0.1.
 SWEEP = [t / 1000 for t in (10.0, 7.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.5)]
-#: A box is plausible within these shares of the tile; neighbours in the sweep agree within a tenth.
-LEAST_AREA, MOST_SPAN, AGREE = 0.02, 0.999, 0.10
+#: A box is plausible within these shares of the frame, of the searched region's area and of its sides;
+#: neighbours in the sweep agree within a tenth.
+LEAST_SHARE, MOST_SHARE, MOST_OF_ROI, MOST_SPAN, AGREE = 0.0005, 0.10, 0.35, 0.75, 0.10
+#: The tile is the searched region, a quarter of its frame; one clip's mean gradients are larger than all clips'.
+ROI, FRAME_AREA = (8, 8), 256
+CLIP_SWEEP = [t / 1000 for t in (54.0, 50.0, 46.0, 43.0, 40.0, 37.0, 34.0, 31.0)]
 #: A mark is opaque or see-through by its deviation against the background's.
 OPAQUE, SEE_THROUGH = 0.15, 0.40
 BOX = (2, 2, 4, 4)
@@ -39,15 +43,23 @@ def overlay_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("area", F.col("w") * F.col("h"))
 
 
+def plausible(area, w, h):
+    """Whether a box can be a mark: neither a speck nor too much of the frame or of the region searched, nor as wide or high as that."""
+    shares = (area >= LEAST_SHARE * FRAME_AREA) & (area <= MOST_SHARE * FRAME_AREA) & (area <= MOST_OF_ROI * ROI[0] * ROI[1])
+    return shares & (w <= MOST_SPAN * ROI[0]) & (h <= MOST_SPAN * ROI[1])
+
+
 def overlay_stable_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest plausible box that a neighbour in the sweep confirms, else the first plausible one."""
-    each = overlay_threshold_sweep(spark, sf_dir).where((F.col("area") >= LEAST_AREA * 64) & (F.col("area") <= MOST_SPAN * 64))
-    other = each.select(F.col("i").alias("j"), F.col("area").alias("other"))
-    near = (F.abs(F.col("i") - F.col("j")) == 1) & (F.abs(F.col("area") - F.col("other")) <= AGREE * F.greatest("area", "other"))
-    stable = each.join(F.broadcast(other), near, "left_semi").withColumn("stable", F.lit(1))
-    ranked = each.join(F.broadcast(stable.select("i", "stable")), "i", "left").select("*", F.coalesce("stable", F.lit(0)).alias("is_stable")).drop("stable")
-    order = [F.desc("is_stable"), F.desc(F.when(F.col("is_stable") == 1, F.col("area")).otherwise(0)), F.asc("i")]
-    return ranked.orderBy(*order).limit(1).select("i", "threshold", "x", "y", "w", "h", "area", (F.col("is_stable") == 1).alias("is_stable"))
+    """For each clip, the largest plausible box that a neighbour in the sweep confirms (of equals the first), else the first plausible one."""
+    each = boxes(sweep(with_gradients(frames(spark, sf_dir)), CLIP_SWEEP, "clip"), "clip", "i", "threshold").withColumn("area", F.col("w") * F.col("h"))
+    found = each.where(plausible(F.col("area"), F.col("w"), F.col("h")))
+    # a clip's boxes are one per threshold, eight at most
+    listed = found.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("i", "threshold", "x", "y", "w", "h", "area"))).alias("boxes"))
+    agrees = lambda a, b: (F.abs(a["i"] - b["i"]) == 1) & (F.abs(a["area"] - b["area"]) <= AGREE * F.greatest(a["area"], b["area"]))
+    stable = F.filter("boxes", lambda a: F.exists("boxes", lambda b: agrees(a, b)))
+    best = F.aggregate(stable, stable[0], lambda m, a: F.when(a["area"] > m["area"], a).otherwise(m))
+    chosen = listed.select("clip", F.when(F.size(stable) > 0, best).otherwise(F.col("boxes")[0]).alias("b"), (F.size(stable) > 0).alias("is_stable"))
+    return chosen.select("clip", "b.*", "is_stable")
 
 
 def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +84,7 @@ def overlay_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak regions (over 0.06 of the strongest edge) that touch a strong pixel (over 0.20)."""
     stats = locked_edges(with_gradients(frames(spark, sf_dir)), SHOW, "clip").select("clip", "y", "x", F.greatest("edge_x", "edge_y").alias("e"))
     top = stats.groupBy("clip").agg(F.max("e").alias("top"))
-    scaled = stats.join(F.broadcast(top), "clip").select("clip", "y", "x", (F.col("e") / F.col("top")).alias("s"))
+    scaled = stats.join(top, "clip").select("clip", "y", "x", (F.col("e") / F.col("top")).alias("s"))
     weak = regions(scaled.where("s > 0.35"), "clip")
     strong = weak.join(scaled.where("s > 0.8"), ["clip", "y", "x"], "left_semi").select("clip", "region").distinct()
     return boxes(weak.join(strong, ["clip", "region"], "left_semi"), "clip", "region")
@@ -125,9 +137,15 @@ ORACLES = {
     "overlay_locked_edges": f"WITH {GR} SELECT y, x, {_STATS.format(t=EDGE)} FROM gr GROUP BY y, x",
     "overlay_locked_edges_by_clip": f"WITH {GR} SELECT clip, y, x, {_STATS.format(t=EDGE)} FROM gr GROUP BY clip, y, x",
     "overlay_threshold_sweep": f"WITH {_SWEPT} SELECT * FROM swept",
-    "overlay_stable_box": f"""WITH {_SWEPT}, ok AS (SELECT * FROM swept WHERE area BETWEEN {LEAST_AREA * 64} AND {MOST_SPAN * 64}),
-      judged AS (SELECT a.*, EXISTS (SELECT 1 FROM ok b WHERE abs(a.i - b.i) = 1 AND abs(a.area - b.area) <= {AGREE} * greatest(a.area, b.area)) AS is_stable FROM ok a)
-      SELECT i, threshold, x, y, w, h, area, is_stable FROM judged ORDER BY is_stable DESC, CASE WHEN is_stable THEN area ELSE 0 END DESC, i LIMIT 1""",
+    "overlay_stable_box": f"""WITH {GR}, th AS (SELECT * FROM (VALUES {', '.join(f'({i}::BIGINT, {t}::DOUBLE)' for i, t in enumerate(CLIP_SWEEP))}) v(i, threshold)),
+      marked AS (SELECT clip, i, threshold, y, x FROM gr, th GROUP BY ALL HAVING (abs(avg(dx)) > threshold OR abs(avg(dy)) > threshold)
+        AND avg(CASE WHEN abs(dx) > threshold OR abs(dy) > threshold THEN 1 ELSE 0 END) >= {PERSIST_FIND}),
+      swept AS (SELECT clip, i, threshold, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM marked GROUP BY ALL),
+      ok AS (SELECT *, w * h AS area FROM swept WHERE w * h >= {LEAST_SHARE * FRAME_AREA} AND w * h <= {MOST_SHARE * FRAME_AREA} AND w * h <= {MOST_OF_ROI * ROI[0] * ROI[1]}
+        AND w <= {MOST_SPAN * ROI[0]} AND h <= {MOST_SPAN * ROI[1]}),
+      judged AS (SELECT a.*, EXISTS (SELECT 1 FROM ok b WHERE b.clip = a.clip AND abs(a.i - b.i) = 1 AND abs(a.area - b.area) <= {AGREE} * greatest(a.area, b.area)) AS is_stable FROM ok a),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY is_stable DESC, CASE WHEN is_stable THEN area ELSE 0 END DESC, i) AS n FROM judged)
+      SELECT clip, i, threshold, x, y, w, h, area, is_stable FROM ranked WHERE n = 1""",
     "overlay_components": f"WITH RECURSIVE {GR}, {_SHOWN}, {_regions('shown')} SELECT clip, region, {_BOXED}, count(*) >= 4 AS counts FROM region GROUP BY clip, region",
     "overlay_union_box": f"WITH RECURSIVE {GR}, {_SHOWN}, {_regions('shown')}, large AS (SELECT clip, region FROM region GROUP BY ALL HAVING count(*) >= 4) SELECT clip, {_BOXED} FROM region SEMI JOIN large USING (clip, region) GROUP BY clip",
     "overlay_hysteresis": f"""WITH RECURSIVE {GR}, st AS (SELECT clip, y, x, greatest(abs(avg(dx)), abs(avg(dy))) AS e FROM gr GROUP BY ALL),

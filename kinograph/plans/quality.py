@@ -14,25 +14,30 @@ PEAK = 1.0
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    later = frames(spark, sf_dir).select((F.col("t") - 1).alias("t"), F.col("px").alias("qx"))
-    return frames(spark, sf_dir).join(later, "t").select("clip", "t", "px", "qx")
+    """(clip, t, px, qx): each frame with the next one of its clip; a clip's last frame has none and is left out."""
+    later = F.lead("px").over(Window.partitionBy("clip").orderBy("t"))
+    return frames(spark, sf_dir).withColumn("qx", later).where("qx IS NOT NULL").select("clip", "t", "px", "qx")
+
+
+def _zone_psnr(pairs: DataFrame) -> DataFrame:
+    error = pixels(pairs.select("clip", "t", "px", "qx"), "px", "qx").withColumn("e", F.pow(F.col("px") - F.col("qx"), F.lit(2)))
+    zones = {"inside": INSIDE, "outside": f"NOT ({NEAR})", "near": f"NOT ({NEAR}) AND {FAR}", "far": f"NOT ({FAR})"}
+    mse = error.groupBy("clip", "t").agg(*[F.avg(F.when(F.expr(c), F.col("e"))).alias(z) for z, c in zones.items()])
+    return mse.select("clip", "t", *[F.round(psnr(F.col(z), PEAK), 5).alias(f"psnr_{z}") for z in zones])
 
 
 def psnr_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSNR of each pair of frames inside the box, outside it, near it and far from it."""
-    error = pixels(_pairs(spark, sf_dir), "px", "qx").withColumn("e", F.pow(F.col("px") - F.col("qx"), F.lit(2)))
-    zones = {"inside": INSIDE, "outside": f"NOT ({NEAR})", "near": f"NOT ({NEAR}) AND {FAR}", "far": f"NOT ({FAR})"}
-    mse = error.groupBy("t").agg(*[F.avg(F.when(F.expr(c), F.col("e"))).alias(z) for z, c in zones.items()])
-    return mse.select("t", *[F.round(psnr(F.col(z), PEAK), 5).alias(f"psnr_{z}") for z in zones])
+    return _zone_psnr(_pairs(spark, sf_dir))
 
 
 def verify_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians of nine samples of each clip against the limits (lowered by 30 dB for these pixels)."""
+    """Medians of nine samples of each clip against the limits (lowered by 30 dB for these pixels); only samples are scored."""
     shot = Window.partitionBy("clip").orderBy("t")
-    ordered = _pairs(spark, sf_dir).select("clip", "t").withColumns({"i": F.row_number().over(shot) - 1, "n": F.count("*").over(Window.partitionBy("clip"))})
+    ordered = _pairs(spark, sf_dir).withColumns({"i": F.row_number().over(shot) - 1, "n": F.count("*").over(Window.partitionBy("clip"))})
     step = F.greatest(F.floor(F.col("n") / 9), F.lit(1))
-    sampled = ordered.where((F.col("i") % step == 0) & (F.col("i") < 9 * step)).select("clip", "t")
-    med = sampled.join(psnr_zones(spark, sf_dir), "t").groupBy("clip").agg(F.count("*").alias("samples"), F.expr("percentile(psnr_outside, 0.5)").alias("outside"), F.expr("percentile(psnr_inside, 0.5)").alias("inside"))
+    sampled = ordered.where((F.col("i") % step == 0) & (F.col("i") < 9 * step))
+    med = _zone_psnr(sampled).groupBy("clip").agg(F.count("*").alias("samples"), F.expr("percentile(psnr_outside, 0.5)").alias("outside"), F.expr("percentile(psnr_inside, 0.5)").alias("inside"))
     outside_ok, inside_ok = F.col("outside") >= OUTSIDE_DB - 30, F.col("inside") <= INSIDE_DB - 30
     return med.select("clip", "samples", F.round("outside", 4).alias("outside"), F.round("inside", 4).alias("inside"), outside_ok.alias("outside_ok"), inside_ok.alias("inside_ok"), (outside_ok & inside_ok).alias("ok"))
 
@@ -106,10 +111,10 @@ def _db(mse: str) -> str:
     return f"CASE WHEN coalesce({mse}, 0) <= 1e-9 THEN 'inf'::DOUBLE ELSE 10 * log10({PEAK * PEAK} / {mse}) END"
 
 
-_PAIR = f"{PX}, pr AS (SELECT a.clip, a.t, a.y, a.x, a.v AS p, b.v AS q FROM px a JOIN px b ON b.t = a.t + 1 AND a.y = b.y AND a.x = b.x)"
-_ZONES = f"""{_PAIR}, ms AS (SELECT t, avg((p - q) ** 2) FILTER ({INSIDE}) AS i, avg((p - q) ** 2) FILTER (NOT ({NEAR})) AS o,
-  avg((p - q) ** 2) FILTER (NOT ({NEAR}) AND {FAR}) AS n, avg((p - q) ** 2) FILTER (NOT ({FAR})) AS f FROM pr GROUP BY t),
-  zn AS (SELECT t, round({_db('i')}, 5) AS psnr_inside, round({_db('o')}, 5) AS psnr_outside, round({_db('n')}, 5) AS psnr_near, round({_db('f')}, 5) AS psnr_far FROM ms)"""
+_PAIR = f"""{PX}, pr AS (SELECT clip, t, y, x, v AS p, q FROM (SELECT *, lead(v) OVER (PARTITION BY clip, y, x ORDER BY t) AS q FROM px) WHERE q IS NOT NULL)"""
+_ZONES = f"""{_PAIR}, ms AS (SELECT clip, t, avg((p - q) ** 2) FILTER ({INSIDE}) AS i, avg((p - q) ** 2) FILTER (NOT ({NEAR})) AS o,
+  avg((p - q) ** 2) FILTER (NOT ({NEAR}) AND {FAR}) AS n, avg((p - q) ** 2) FILTER (NOT ({FAR})) AS f FROM pr GROUP BY clip, t),
+  zn AS (SELECT clip, t, round({_db('i')}, 5) AS psnr_inside, round({_db('o')}, 5) AS psnr_outside, round({_db('n')}, 5) AS psnr_near, round({_db('f')}, 5) AS psnr_far FROM ms)"""
 _CHANGE = f"""{_PAIR}, ch AS (SELECT * FROM (SELECT clip, t, p - lag(p) OVER w AS a, q - lag(q) OVER w AS b FROM pr WINDOW w AS (PARTITION BY clip, y, x ORDER BY t)) WHERE a IS NOT NULL)"""
 _EV = "ev AS (SELECT * FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL)"
 
@@ -123,7 +128,7 @@ ORACLES = {
     "psnr_zones": f"WITH {_ZONES} SELECT * FROM zn",
     "verify_checks": f"""WITH {_ZONES}, f AS (SELECT DISTINCT clip, t FROM pr), o AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY clip) AS n FROM f),
       s AS (SELECT clip, t FROM o WHERE i % greatest(n // 9, 1) = 0 AND i < 9 * greatest(n // 9, 1)),
-      m AS (SELECT clip, count(*) AS samples, median(psnr_outside) AS o, median(psnr_inside) AS i FROM s JOIN zn USING (t) GROUP BY clip)
+      m AS (SELECT clip, count(*) AS samples, median(psnr_outside) AS o, median(psnr_inside) AS i FROM s JOIN zn USING (clip, t) GROUP BY clip)
       SELECT clip, samples, round(o, 4) AS outside, round(i, 4) AS inside, o >= 8 AS outside_ok, i <= 10 AS inside_ok, o >= 8 AND i <= 10 AS ok FROM m""",
     "fill_jump": f"""WITH {_PAIR}, d AS (SELECT clip, t, abs(p - q) AS fill, coalesce(abs(p - lag(p) OVER (PARTITION BY clip, y, x ORDER BY t)), 0) AS jump FROM pr)
       SELECT clip, t, round(avg(fill), 6) AS fill, round(avg(jump), 6) AS jump FROM d GROUP BY clip, t""",

@@ -115,7 +115,7 @@ def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = (own.agg(F.max("t")).first()[0] or -1) + 1
     bad = incomplete_parts(back, 12, total).select("part", F.lit(True).alias("bad"))
     out = back.groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("counted"), F.min("t").alias("first"), F.max("t").alias("last"))
-    return out.join(F.broadcast(bad), "part", "left").select("part", "counted", "first", "last", F.coalesce("bad", F.lit(False)).alias("incomplete"))
+    return out.join(bad, "part", "left").select("part", "counted", "first", "last", F.coalesce("bad", F.lit(False)).alias("incomplete"))
 
 
 def upload_resume_match(spark: SparkSession, sf_dir: str) -> DataFrame:

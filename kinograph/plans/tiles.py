@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinograph.functions.frames import BLUR, SOBEL_X, SOBEL_Y, convolve, neighbourhood
-from kinograph.operators.alpha import SOLID, recovered, variance_alpha
+from kinograph.functions.frames import BLUR, SOBEL_X, SOBEL_Y, convolve, neighbourhood, positions
+from kinograph.operators.alpha import LEAST_THROUGH, MIN_CONTRAST, SOLID, matte_alpha, recovered, variance_alpha
+from kinograph.operators.alpha import alpha_bound as bounded
 from kinograph.plans.oracle import PX, WHOLE, mirrored
 from kinograph.sources.tables import frames, pixels
 
 #: The mark's box in the queries, and levels: pixels are mapped to 0..255.
 BOX = "x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5"
 INK = 255.0
+#: Channels blue, green and red: where in the tile each begins, and (fixed values) their weights in gray.
+CHANNELS, TURNS, GRAY = ("c0", "c1", "c2"), (0, 21, 42), (0.114, 0.587, 0.299)
 LEVEL = "least(greatest((v + 1) * 127.5, 0), 255)"
 
 
@@ -40,27 +43,41 @@ def sobel_locked_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.groupBy("clip").agg(F.round(F.avg(F.when(F.expr(BOX), F.col("ex") + F.col("ey"))), 6).alias("energy"))
 
 
+def _colour_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, t, c0, c1, c2): frames in three channels of levels; a channel is the tile read from another pixel on."""
+    turned = lambda by: F.transform(positions(), lambda p: F.least(F.greatest((F.col("px")[(p + by) % 64] + 1) * 127.5, F.lit(0.0)), F.lit(255.0)))
+    return frames(spark, sf_dir).select("clip", "t", *[turned(by).alias(f"c{k}") for k, by in enumerate(TURNS)])
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(frames(spark, sf_dir).withColumnRenamed("px", "v"), "v").select("clip", "t", "y", "x", F.expr(LEVEL).alias("c"))
+    """One row per pixel of a frame: its levels c0, c1 and c2."""
+    return pixels(_colour_frames(spark, sf_dir), *CHANNELS)
 
 
 def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per pixel of a clip: mean, deviation, least value, and the mean and deviation of what surrounds the box."""
-    stats = _levels(spark, sf_dir).groupBy("clip", "y", "x").agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.min("c").alias("least"))
-    around = stats.where(~F.expr(BOX)).groupBy("clip").agg(F.avg("mean").alias("background"), F.avg("std").alias("background_std"))
-    return stats.join(F.broadcast(around), "clip")
+    """Per pixel of a clip and channel: mean, deviation and least value, and mean and deviation of what surrounds the box."""
+    each = [f(c).alias(f"{name}_{c}") for c in CHANNELS for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("least", F.min))]
+    stats = _levels(spark, sf_dir).groupBy("clip", "y", "x").agg(*each)
+    around = stats.where(~F.expr(BOX)).groupBy("clip").agg(*[F.avg(f"{name}_{c}").alias(f"around_{name}_{c}") for c in CHANNELS for name in ("mean", "std")])
+    return stats.join(around, "clip")
+
+
+def _each(name: str) -> list:
+    return [F.col(f"{name}_{c}") for c in CHANNELS]
 
 
 def alpha_variance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = _means(spark, sf_dir)
-    out = variance_alpha(stats.drop("background_std"), stats.select("clip", "background_std").distinct(), "clip")
-    return out.where(BOX).select("clip", "y", "x", F.round("alpha", 6).alias("alpha"))
+    """Alpha of each pixel of the box by how much less it moves than its surroundings."""
+    alpha = variance_alpha(_each("std"), _each("around_std"))
+    return _means(spark, sf_dir).where(BOX).select("clip", "y", "x", F.round(alpha, 6).alias("alpha"))
 
 
 def _alpha():
-    gap = F.lit(INK) - F.col("background")
-    fit = F.when(gap * gap > 108, (F.col("mean") - F.col("background")) * gap / (gap * gap)).otherwise(0.0)
-    return F.least(F.greatest(fit, F.lit(0.0)), F.lit(1.0))
+    return matte_alpha(_each("mean"), _each("around_mean"), INK)
+
+
+def _bound():
+    return bounded(_each("least"), INK)
 
 
 def alpha_matte_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,24 +87,46 @@ def alpha_matte_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alpha_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most alpha that the darkest moment of a pixel allows."""
-    return _means(spark, sf_dir).where(BOX).select("clip", "y", "x", F.round(F.least(F.col("least") / INK, F.lit(SOLID)), 6).alias("bound"))
+    return _means(spark, sf_dir).where(BOX).select("clip", "y", "x", F.round(_bound(), 6).alias("bound"))
 
 
 def alpha_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame's pixels with the fitted alpha taken out."""
-    fit = _means(spark, sf_dir).where(BOX).select("clip", "y", "x", F.least(_alpha(), F.col("least") / INK, F.lit(SOLID)).alias("a"))
-    both = _levels(spark, sf_dir).join(F.broadcast(fit), ["clip", "y", "x"])
-    return both.select("t", "y", "x", recovered(F.col("c"), F.round("a", 6), INK).cast("long").alias("level"))
+    fit = _means(spark, sf_dir).where(BOX).select("clip", "y", "x", F.round(F.least(_alpha(), _bound()), 6).alias("a"))
+    both = _levels(spark, sf_dir).join(fit, ["clip", "y", "x"])
+    return both.select("t", "y", "x", *[recovered(F.col(c), F.col("a"), INK).cast("long").alias(c) for c in CHANNELS])
+
+
+def _scale_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, s, energy): locked edges left in the box when alphas are scaled by s tenths, over all frames of a clip.
+
+    Each scale's frames are made and graded within their row; gradients are averaged over time before their size is taken.
+    """
+    fit = _means(spark, sf_dir).select("clip", "y", "x", F.when(F.expr(BOX), F.round(_alpha(), 6)).otherwise(0.0).alias("a"), F.when(F.expr(BOX), F.round(_bound(), 6)).otherwise(0.0).alias("bound"))
+    maps = fit.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("y", "x", "a", "bound"))).alias("map"))  # 64 of a tile
+    scaled = _colour_frames(spark, sf_dir).join(maps, "clip").withColumn("s", F.explode(F.sequence(F.lit(10).cast("long"), F.lit(40).cast("long"))))
+    alpha = F.transform("map", lambda m: F.least(F.greatest(m["a"] * F.col("s") / 10, F.lit(0.0)), F.lit(1 - LEAST_THROUGH), m["bound"]))
+    scaled = scaled.withColumn("alpha", alpha)
+    gray = F.lit(0.0)
+    out = F.transform(positions(), lambda p: sum((w * recovered(F.col(c)[p], F.col("alpha")[p], INK) for c, w in zip(CHANNELS, GRAY, strict=True)), gray))
+    graded = scaled.select("clip", "t", "s", out.alias("gray")).select("clip", "s", convolve(F.col("gray"), SOBEL_X).alias("sx"), convolve(F.col("gray"), SOBEL_Y).alias("sy"))
+    still = pixels(graded, "sx", "sy").where(BOX).groupBy("clip", "s", "y", "x").agg((F.abs(F.avg("sx")) + F.abs(F.avg("sy"))).alias("e"))
+    return still.groupBy("clip", "s").agg(F.round(F.avg("e"), 5).alias("energy"))
 
 
 def alpha_scale_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each scale of the alpha, what deviates in the recovered box; the first least one is chosen."""
-    fit = _means(spark, sf_dir).where(BOX).select("clip", "y", "x", "mean", "background", _alpha().alias("a"), F.least(F.col("least") / INK, F.lit(SOLID)).alias("bound"))
-    scaled = fit.withColumn("s", F.explode(F.array(*[F.lit(s).cast("long") for s in range(10, 41)])))
-    a = F.least(F.col("a") * F.col("s") / 10, F.col("bound"))
-    left = scaled.select("clip", "s", F.abs((F.col("mean") - a * INK) / F.greatest(1 - a, F.lit(0.12)) - F.col("background")).alias("left"))
-    energy = left.groupBy("clip", "s").agg(F.round(F.avg("left"), 6).alias("energy"))
-    return energy.groupBy("clip").agg(F.min(F.struct("energy", "s")).alias("m")).select("clip", (F.col("m.s") / 10).alias("scale"), F.col("m.energy").alias("energy"))
+    """The first scale of the alpha that leaves the least locked edges in the box, what it leaves, and what scale 1 does."""
+    energy = _scale_energies(spark, sf_dir)
+    best = energy.groupBy("clip").agg(F.min(F.struct("energy", "s")).alias("m"), F.max(F.when(F.col("s") == 10, F.col("energy"))).alias("unscaled"))
+    return best.select("clip", (F.col("m.s") / 10).alias("scale"), F.col("m.energy").alias("energy"), "unscaled")
+
+
+def alpha_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole fit per pixel of the box: the matte's shape, scaled as the sweep found, within its bound, and whether it is opaque."""
+    shape = _means(spark, sf_dir).where(BOX).select("clip", "y", "x", F.round(_alpha(), 6).alias("a"), F.round(_bound(), 6).alias("bound"))
+    both = shape.join(alpha_scale_sweep(spark, sf_dir).select("clip", "scale"), "clip")
+    alpha = F.least(F.col("a") * F.col("scale"), F.lit(1 - LEAST_THROUGH), F.col("bound"))
+    return both.select("clip", "y", "x", F.round(alpha, 6).alias("alpha"), (F.round(alpha, 6) >= SOLID).alias("opaque"))
 
 
 def composite_feather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +139,7 @@ def composite_feather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dark_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that are dark around the box and too bright in it get the surroundings' median there."""
-    level = _levels(spark, sf_dir).select("t", F.floor("c").alias("c"), F.expr(BOX).alias("hole"))
+    level = _levels(spark, sf_dir).select("t", F.floor(F.greatest(*CHANNELS)).alias("c"), F.expr(BOX).alias("hole"))
     ring = F.when(~F.col("hole"), F.col("c"))
     out = level.groupBy("t").agg(F.expr("percentile(CASE WHEN NOT hole THEN c END, 0.99)").alias("p99"), F.expr("percentile(CASE WHEN NOT hole THEN c END, 0.5)").alias("median"), F.max(F.when(F.col("hole"), F.col("c"))).alias("top"), F.max(ring).alias("around"))
     # pixels are mid-grey here, so the guard's 24 and 8 of 255 become 170 and 8
@@ -108,18 +147,29 @@ def dark_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("t", F.round("p99", 6).alias("p99"), F.round("median", 6).alias("median"), F.col("top").cast("long").alias("top"), guarded.alias("replaced"))
 
 
-QUERIES = {f.__name__: f for f in (gaussian_blur_tile, dilate_tile, close_tile, sobel_locked_energy, alpha_variance_ratio, alpha_matte_fit, alpha_bound, alpha_recover, alpha_scale_sweep, composite_feather, dark_guard)}
+QUERIES = {f.__name__: f for f in (gaussian_blur_tile, dilate_tile, close_tile, sobel_locked_energy, alpha_variance_ratio, alpha_matte_fit, alpha_bound, alpha_recover, alpha_scale_sweep, alpha_fit, composite_feather, dark_guard)}
 
 
 def _conv(kernel, name):
     return f"SELECT vec_id AS t, ((i - 1) // 8)::BIGINT AS y, ((i - 1) % 8)::BIGINT AS x, round({mirrored(kernel)}, 6) AS {name} FROM embeddings, range(1, 65) r(i) WHERE {WHOLE}"
 
 
-_LV = f"{PX}, lv AS (SELECT clip, t, y, x, {LEVEL} AS c FROM px)"
-_ST = f"""{_LV}, st AS (SELECT clip, y, x, avg(c) AS mean, stddev_pop(c) AS std, min(c) AS least FROM lv GROUP BY ALL),
-  ar AS (SELECT clip, avg(mean) AS background, avg(std) AS background_std FROM st WHERE NOT ({BOX}) GROUP BY clip),
-  al AS (SELECT st.*, ar.background, ar.background_std, least(greatest(CASE WHEN ({INK} - background) * ({INK} - background) > 108
-    THEN (mean - background) * ({INK} - background) / (({INK} - background) * ({INK} - background)) ELSE 0 END, 0), 1) AS a FROM st JOIN ar USING (clip) WHERE {BOX})"""
+_LV = f"""lv AS (SELECT label::BIGINT AS clip, vec_id AS t, ((i - 1) // 8)::BIGINT AS y, ((i - 1) % 8)::BIGINT AS x,
+  {', '.join(f"least(greatest((embedding[((i - 1 + {by}) % 64 + 1)::INT]::DOUBLE + 1) * 127.5, 0), 255) AS c{k}" for k, by in enumerate(TURNS))}
+  FROM embeddings, range(1, 65) r(i) WHERE {WHOLE})"""
+_ST = f"""{_LV}, st AS (SELECT clip, y, x, {', '.join(f'avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}, min({c}) AS least_{c}' for c in CHANNELS)} FROM lv GROUP BY ALL),
+  ar AS (SELECT clip, {', '.join(f'avg(mean_{c}) AS am_{c}, avg(std_{c}) AS as_{c}' for c in CHANNELS)} FROM st WHERE NOT ({BOX}) GROUP BY clip),
+  gp AS (SELECT st.*, ar.* EXCLUDE (clip), {' + '.join(f'(mean_{c} - am_{c}) * ({INK} - am_{c})' for c in CHANNELS)} AS top,
+    {' + '.join(f'({INK} - am_{c}) ** 2' for c in CHANNELS)} AS bottom FROM st JOIN ar USING (clip) WHERE {BOX}),
+  al AS (SELECT *, least(greatest(CASE WHEN bottom > {MIN_CONTRAST**2 * 3} THEN top / bottom ELSE 0 END, 0), 1) AS a,
+    least({', '.join(f'least_{c} / {INK}' for c in CHANNELS)}, {SOLID}) AS bound FROM gp)"""
+_REC = lambda c, a: f"floor(least(greatest(({c} - {a} * {INK}) / greatest(1 - {a}, {LEAST_THROUGH}), 0), 255))"
+_SWEEP = f"""{_ST}, sc AS (SELECT lv.clip, t, s, y, x, CASE WHEN a IS NULL THEN 0 ELSE least(greatest(round(a, 6) * s / 10, 0), {1 - LEAST_THROUGH}, round(bound, 6)) END AS a, c0, c1, c2
+    FROM lv LEFT JOIN al USING (clip, y, x), range(10, 41) r(s)),
+  gy AS (SELECT clip, t, s, list({' + '.join(f'{w}::DOUBLE * {_REC(c, "a")}' for c, w in zip(CHANNELS, GRAY, strict=True))} ORDER BY y, x) AS gray FROM sc GROUP BY clip, t, s),
+  gr AS (SELECT clip, s, (i - 1) // 8 AS y, (i - 1) % 8 AS x, {mirrored(SOBEL_X, "gray")} AS sx, {mirrored(SOBEL_Y, "gray")} AS sy FROM gy, range(1, 65) r(i)),
+  en AS (SELECT clip, s, round(avg(e), 5) AS energy FROM (SELECT clip, s, y, x, abs(avg(sx)) + abs(avg(sy)) AS e FROM gr WHERE {BOX} GROUP BY ALL) GROUP BY ALL),
+  bs AS (SELECT clip, min_by(s, (energy, s)) / 10 AS scale, min(energy) AS energy, max(energy) FILTER (s = 10) AS unscaled FROM en GROUP BY clip)"""
 _NEAR = "a.t = b.t AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1"
 ORACLES = {
     "gaussian_blur_tile": _conv(BLUR, "blur"),
@@ -127,17 +177,18 @@ ORACLES = {
     "close_tile": f"WITH {PX}, d AS (SELECT a.t, a.y, a.x, max(b.v) AS v FROM px a JOIN px b ON {_NEAR} GROUP BY ALL) SELECT a.t, a.y, a.x, round(min(b.v), 6) AS closed FROM d a JOIN d b ON {_NEAR} GROUP BY ALL",
     "sobel_locked_energy": f"""WITH s AS (SELECT label::BIGINT AS clip, (i - 1) // 8 AS y, (i - 1) % 8 AS x, {mirrored(SOBEL_X)} AS sx, {mirrored(SOBEL_Y)} AS sy FROM embeddings, range(1, 65) r(i) WHERE {WHOLE}),
       p AS (SELECT clip, y, x, abs(avg(sx)) + abs(avg(sy)) AS e FROM s GROUP BY ALL) SELECT clip, round(avg(e) FILTER ({BOX}), 6) AS energy FROM p GROUP BY clip""",
-    "alpha_variance_ratio": f"WITH {_ST} SELECT clip, y, x, round(least(greatest(1 - std / background_std, 0), 1), 6) AS alpha FROM al",
+    "alpha_variance_ratio": f"WITH {_ST} SELECT clip, y, x, round(least(greatest(1 - least({', '.join(f'std_{c} / as_{c}' for c in CHANNELS)}), 0), 1), 6) AS alpha FROM al",
     "alpha_matte_fit": f"WITH {_ST} SELECT clip, y, x, round(a, 6) AS alpha FROM al",
-    "alpha_bound": f"WITH {_ST} SELECT clip, y, x, round(least(least / {INK}, {SOLID}), 6) AS bound FROM al",
-    "alpha_recover": f"""WITH {_ST}, f AS (SELECT clip, y, x, round(least(a, least / {INK}, {SOLID}), 6) AS a FROM al)
-      SELECT t, y, x, floor(least(greatest((c - a * {INK}) / greatest(1 - a, 0.12), 0), 255))::BIGINT AS level FROM lv JOIN f USING (clip, y, x)""",
-    "alpha_scale_sweep": f"""WITH {_ST}, sc AS (SELECT clip, s, mean, background, least(a * s / 10, least(least / {INK}, {SOLID})) AS a FROM al, range(10, 41) r(s)),
-      e AS (SELECT clip, s, round(avg(abs((mean - a * {INK}) / greatest(1 - a, 0.12) - background)), 6) AS energy FROM sc GROUP BY ALL)
-      SELECT clip, min_by(s, (energy, s)) / 10 AS scale, min(energy) AS energy FROM e GROUP BY clip""",
+    "alpha_bound": f"WITH {_ST} SELECT clip, y, x, round(bound, 6) AS bound FROM al",
+    "alpha_recover": f"""WITH {_ST}, f AS (SELECT clip, y, x, round(least(a, bound), 6) AS a FROM al)
+      SELECT t, y, x, {', '.join(f'{_REC(c, "a")}::BIGINT AS {c}' for c in CHANNELS)} FROM lv JOIN f USING (clip, y, x)""",
+    "alpha_scale_sweep": f"WITH {_SWEEP} SELECT * FROM bs",
+    "alpha_fit": f"""WITH {_SWEEP}, f AS (SELECT clip, y, x, round(least(round(a, 6) * scale, {1 - LEAST_THROUGH}, round(bound, 6)), 6) AS alpha FROM al JOIN bs USING (clip))
+      SELECT *, alpha >= {SOLID} AS opaque FROM f""",
     "composite_feather": f"""WITH s AS (SELECT vec_id AS t, ((i - 1) // 8)::BIGINT AS y, ((i - 1) % 8)::BIGINT AS x, embedding[i]::DOUBLE AS v, {mirrored(BLUR)} AS b FROM embeddings, range(1, 65) r(i) WHERE {WHOLE}),
       w AS (SELECT *, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 THEN 1 WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN 0.5 ELSE 0 END AS w FROM s)
       SELECT t, y, x, round(v * (1 - w) + b * w, 6) AS out FROM w""",
-    "dark_guard": f"""WITH {_LV}, g AS (SELECT t, quantile_cont(floor(c), 0.99) FILTER (NOT ({BOX})) AS p99, median(floor(c)) FILTER (NOT ({BOX})) AS median, max(floor(c)) FILTER ({BOX}) AS top FROM lv GROUP BY t)
+    "dark_guard": f"""WITH {_LV}, mx AS (SELECT t, y, x, floor(greatest(c0, c1, c2)) AS c FROM lv),
+      g AS (SELECT t, quantile_cont(c, 0.99) FILTER (NOT ({BOX})) AS p99, median(c) FILTER (NOT ({BOX})) AS median, max(c) FILTER ({BOX}) AS top FROM mx GROUP BY t)
       SELECT t, round(p99, 6) AS p99, round(median, 6) AS median, top::BIGINT AS top, p99 <= 170 AND top > greatest(150, median + 8) AS replaced FROM g""",
 }
