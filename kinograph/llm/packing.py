@@ -6,11 +6,11 @@ a document may not share a bin with its source or its cluster. The search begins
 smallest residual that holds the document and goes on to the next, until the tightest compatible
 bin is found; without one a new bin opens. Bins are built in shards of about ``SHARD`` documents
 of equal size whatever their sources, so that no task grows with the input; a shard leaves a few bins
-open at its end. Clusters are texts with equal folded words, or, where a table of near-duplicate classes is given,
-those classes.
+open at its end. Clusters are near-duplicate classes: what links of at most 3 bits join between SimHash fingerprints of
+three-word shingles, made here from hashes of words in the pass that counts tokens.
 
-Defined results: a null or empty text is one end token; a null source or cluster conflicts with
-nothing; repeated rows are packed each; equal lengths go in the order of their row keys; an empty table
+Defined results: a null or empty text is one end token; a null source conflicts with nothing, nor does a text without
+words by its cluster; repeated rows are packed each; equal lengths go in the order of their row keys; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -19,12 +19,15 @@ from __future__ import annotations
 from bisect import insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinograph.llm import simhash
 from kinograph.llm.common import LOWER, map_arrow, materialize, row_key, slices, strings
+from kinograph.llm.components import connected_components
 from kinograph.llm.token_counts import Counter
 
 CAPACITY = 4096
@@ -32,6 +35,7 @@ CAPACITY = 4096
 SHARD = 4096
 #: Equal rows that are numbered in one task.
 _COPIES = 1 << 16
+_MEMO = 300_000
 
 
 class Bins:
@@ -94,32 +98,51 @@ def pack(items: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
     return out + [(first + k, 0, *piece) for k, piece in enumerate(full)]
 
 
+_MIX = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def fingerprint(words: list[bytes], memo: dict) -> int | None:
+    """SimHash of the three-word shingles (of a shorter text as a whole) over hashes of words; None without words."""
+    if not words:
+        return None
+    if len(memo) > _MEMO:
+        memo.clear()
+    for w in words:
+        if w not in memo:
+            memo[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    size = min(3, len(h))
+    mixed = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ h[k : len(h) - size + 1 + k]) * _MIX[k]
+        mixed ^= mixed >> np.uint64(32)
+    return simhash.majority(mixed)
+
+
 def measure(docs: DataFrame, vocabulary: tuple) -> DataFrame:
-    """(row, doc, doc_id, source, cluster, tokens) for each row: cluster is a digest of the folded words, doc the key of (doc_id, text)."""
+    """(row, doc_id, source, fp, tokens) for each row; fp is null for a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(Counter(vocabulary))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for batch in slices(batches, "text", 2 << 20):
             tokens = [n + 1 for n in shared.value.texts(batch.column("text").to_pylist())]
-            folded = [b" ".join((t or b"").translate(LOWER).split()) for t in strings(batch.column("text"))]
-            clusters = [xxhash.xxh3_64_intdigest(t) - (1 << 63) if t else None for t in folded]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc", "doc_id", "source")], pa.array(clusters, pa.int64()), pa.array(tokens, pa.int64())], ["row", "doc", "doc_id", "source", "cluster", "tokens"])
-
-    rows = docs.select(row_key("doc_id", "text", "source").alias("row"), row_key("doc_id", "text").alias("doc"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return map_arrow(rows, measured, "row long, doc long, doc_id long, source string, cluster long, tokens long")
+            prints = [fingerprint((t or b"").translate(LOWER).split(), memo) for t in strings(batch.column("text"))]
+            signed = [None if p is None else p - (1 << 64) if p >> 63 else p for p in prints]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "source")], pa.array(signed, pa.int64()), pa.array(tokens, pa.int64())], ["row", "doc_id", "source", "fp", "tokens"])
 
+    rows = docs.select(row_key("doc_id", "text", "source").alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return map_arrow(rows, measured, "row long, doc_id long, source string, fp long, tokens long")
 
-def pack_documents(docs: DataFrame, vocabulary: tuple, capacity: int = CAPACITY, shard: int = SHARD, classes: DataFrame | None = None) -> DataFrame:
-    """(bin_id, position, doc_id, piece, begin, tokens) for each piece of each row of ``docs`` (doc_id, text, source).
 
-    ``classes`` (row, root), as ``simhash.near_duplicates`` gives them, tells the cluster of each text with words.
-    """
+def pack_documents(docs: DataFrame, vocabulary: tuple, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """(bin_id, position, doc_id, piece, begin, tokens) for each piece of each row of ``docs`` (doc_id, text, source)."""
     # equal rows become one with a number, and each copy then goes to a shard of its own
-    each = measure(docs, vocabulary).groupBy("row", "doc", "doc_id", "source", "cluster", "tokens").agg(F.count("*").alias("n"))
-    if classes is not None:
-        roots = classes.groupBy(F.col("row").alias("doc")).agg(F.min("root").alias("root"))
-        each = each.join(roots, "doc", "left").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("root", "cluster"))).drop("root")
-    each = materialize(each.drop("doc"), "items")
+    each = measure(docs, vocabulary).groupBy("row", "doc_id", "source", "fp", "tokens").agg(F.count("*").alias("n"))
+    each = materialize(each, "items")
+    prints = materialize(each.where("fp IS NOT NULL").select("fp").distinct(), "prints")
+    roots = materialize(connected_components(simhash.links(prints)).select(F.col("node").alias("fp"), "root"), "roots")
+    each = each.join(roots, "fp", "left").withColumn("cluster", F.coalesce("root", "fp")).drop("root", "fp")
     total, most = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     shards = 1 + total // shard
     if most > _COPIES:  # the copies of one row are numbered in several tasks

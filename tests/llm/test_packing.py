@@ -2,8 +2,8 @@ import random
 from collections import Counter, defaultdict
 
 from kinograph.llm import packing
-from kinograph.llm.packing import pack, pack_documents
-from kinograph.llm.simhash import near_duplicates
+from tests_llm_common import components
+from kinograph.llm.packing import fingerprint, pack, pack_documents
 from kinograph.llm.token_counts import Counter as Tokens
 from kinograph.llm.token_counts import load_vocabulary
 
@@ -78,15 +78,15 @@ def test_near_copies_never_share_a_bin(spark):
     long = say(400)
     rows = [(i, f"{long} tail{i}" if i < 12 else say(8), f"s{i}") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    classes = near_duplicates(df)
-    roots = {r.doc_id: r.root for r in classes.collect()}
-    assert len({roots[i] for i in range(12)}) < 12
-    for given in (None, classes):
-        bins = defaultdict(list)
-        for r in pack_documents(df, v, 8000, 10_000, given).collect():
-            bins[r.bin_id].append(r.doc_id)
-        shared = max(Counter(roots[i] for i in b).most_common(1)[0][1] for b in bins.values())
-        assert (shared == 1) == (given is not None)
+    prints = {i: fingerprint(t.encode().split(), {}) for i, t, _ in rows}
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    roots = components(prints, links)
+    assert len({roots[i] for i in range(12)}) < 12 and len({roots[i] for i in range(12, 120)}) == 108
+    bins = defaultdict(list)
+    for r in pack_documents(df, v, 8000, 10_000).collect():
+        bins[r.bin_id].append(roots[r.doc_id])
+    assert all(len(set(b)) == len(b) for b in bins.values()) and max(map(len, bins.values())) > 20
+    assert fingerprint([], {}) is None and fingerprint([b"a"], {}) != fingerprint([b"b"], {}) is not None
 
 
 def test_copies_of_one_row_are_numbered_in_parts(spark, monkeypatch):
