@@ -10,7 +10,7 @@ meet in the filters they share, and a pair counts where its cosine, in double pr
 threshold, in the first of its common filters only; so no pair is counted twice and none is written
 out. A pair that shares no filter is missed; how rarely, the tests measure at the threshold itself.
 
-Equal directions are one class first. A filter with more members than ``BLOCK`` is searched in
+Equal directions are one class first, and of filters with the same members one is searched. A filter with more members than ``BLOCK`` is searched in
 pairs of blocks, so a task's work is bounded and nothing is left out. The numbers of code words and of filters a
 vector is in grow with the number of classes.
 
@@ -244,7 +244,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, aim: int |
     many = classes.count()
     entered = map_arrow(classes.select("class", "dim", "vector"), _filters(code_words(many), aim or aim_for(many)), "class long, dim int, filters array<long>")
     entered = materialize(entered, "entered").select("class", "dim", F.explode("filters").alias("filter"))
-    sizes = entered.groupBy("dim", "filter").agg(F.count("*").alias("size")).where("size > 1")
+    members = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"members{k}") for k in (0, 1)]
+    sizes = entered.groupBy("dim", "filter").agg(F.count("*").alias("size"), *members).where("size > 1")
+    # of filters with the same members the first is enough
+    sizes = sizes.groupBy("dim", "size", "members0", "members1").agg(F.min("filter").alias("filter")).select("dim", "filter", "size")
     sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "filters")
     shared = entered.join(sizes, ["dim", "filter"]).groupBy("class").agg(F.collect_list(F.struct("filter", "blocks")).alias("shared"))
     met = classes.join(shared, "class").withColumn("filters", F.array_sort(F.transform("shared", lambda s: s["filter"])))
