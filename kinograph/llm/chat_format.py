@@ -3,8 +3,8 @@ template, segments with loss flags, and the way back from formatted text to turn
 
 A control string never stands in an escaped text: the escape character goes first (``\\`` becomes
 ``\\0``), then each control string becomes ``\\`` and its own letter. No control string holds the
-escape character, so none can form across a replacement, and undoing the letters before ``\\0``
-gives back every text.
+escape character or begins with what follows it, so none can form across a replacement, and undoing the letters before ``\\0``
+gives back every text. A template whose control strings break this, or are more than there are letters, is an error.
 
 Defined results: a null text or role counts as empty; a role without markers of its own is
 written with the open template's markers and its (escaped) name; rows with a null turn come first;
@@ -21,6 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+ESCAPE = "\\"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 @dataclass(frozen=True)
 class Template:
     """Markers by role, the roles whose text carries loss, and the machine of allowed role orders.
@@ -42,14 +46,18 @@ class Template:
     )
     final: tuple = ("answered",)
 
+    def __post_init__(self):
+        if len(self.controls) > len(LETTERS):
+            raise ValueError(f"a template has {len(LETTERS)} control strings at most")
+        if any(not c or ESCAPE in c or c[0] in LETTERS + "0" for c in self.controls):
+            raise ValueError("a control string is not empty, holds no escape character and does not begin with a lower-case letter or 0")
+
     @property
     def controls(self) -> list[str]:
         return [*dict.fromkeys([s for pair in self.markers.values() for s in pair] + list(self.other))]
 
 
 DEFAULT = Template()
-ESCAPE = "\\"
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def escape(text: Column, template: Template = DEFAULT) -> Column:
@@ -87,9 +95,10 @@ def validate(roles: Column, template: Template = DEFAULT) -> Column:
 
 
 def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, valid, segments, formatted.
+    """One row per conversation: conv_id, n_turns, valid, segments, formatted, loss_spans.
 
-    ``segments`` is an array of (text, loss); their texts in order are ``formatted``.
+    ``segments`` is an array of (text, loss); their texts in order are ``formatted``. ``loss_spans`` says where in
+    ``formatted`` those with loss stand, as an array of (begin, length) in characters.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     ordered = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("turn"))
@@ -108,7 +117,25 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
         F.size("turns").cast("long").alias("n_turns"),
         validate(F.transform("turns", lambda t: t["role"]), template).alias("valid"),
         F.flatten(F.transform("turns", segments)).alias("segments"),
-    ).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    ).withColumns({"formatted": F.array_join(F.transform("segments", lambda s: s["text"]), ""), "loss_spans": _spans(F.col("segments"))})
+
+
+def _spans(segments: Column) -> Column:
+    """(begin, length) of the segments with loss."""
+    none = F.array().cast("array<struct<begin:int,length:int>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def add(state: Column, segment: Column) -> Column:
+        size = F.length(segment["text"])
+        own = F.array(F.struct(state["at"].alias("begin"), size.alias("length")))
+        return F.struct((state["at"] + size).alias("at"), F.when(segment["loss"], F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans"))
+
+    return F.aggregate(segments, start, add, lambda state: state["spans"])
+
+
+def masked(formatted: Column, spans: Column) -> Column:
+    """The pieces of a formatted text that ``spans`` cover, still escaped."""
+    return F.transform(spans, lambda s: F.substr(formatted, s["begin"] + 1, s["length"]))
 
 
 def parse_formatted(formatted: Column, template: Template = DEFAULT) -> Column:

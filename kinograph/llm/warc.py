@@ -2,7 +2,7 @@
 
 Writing is one text write: a record per row, revisit records for repeated payloads. Reading splits
 archives anywhere: Hadoop's line reader cuts them at every line ``WARC/1.0``, real or inside a
-payload, and each task emits for every such candidate the offset of its successor, from the
+payload (a ``.gz`` archive is one split, of however many members it is made), and each task emits for every such candidate the offset of its successor, from the
 Content-Length of what would be its header. Chains are first shortened within a split to where
 they leave it; pointer jumping from the start of each file over what is left, one row a split, then
 tells the splits' true entries. Only candidates on the chain from an entry are records, so a magic
@@ -51,8 +51,8 @@ def decide_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return joined.select("page_id", "url", "payload", "bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
-    """One WARC record per row of ``pages`` (page_id, url, html) into archives under ``path``."""
+def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES, compression: str = "none") -> None:
+    """One WARC record per row of ``pages`` (page_id, url, html) into archives under ``path``, plain or ``gzip``."""
     rows = decide_revisits(pages, least)
     revisit = F.col("refers_to").isNotNull()
     header = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -75,7 +75,7 @@ def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
         F.when(revisit, "").otherwise(F.col("payload").cast("string")),
         F.lit("\r\n\r"),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\n").text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\n").option("compression", compression).text(path)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

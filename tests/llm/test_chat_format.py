@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
-from kinograph.llm.chat_format import DEFAULT, escape, format_conversations, parse_formatted, unescape
+import pytest
+
+from kinograph.llm.chat_format import DEFAULT, Template, escape, format_conversations, masked, parse_formatted, unescape
 
 SCHEMA = "conv_id long, turn long, role string, text string, valid string"
 
@@ -15,6 +17,25 @@ def test_hostile_texts_and_roles_come_back(spark):
     assert [(t.role, t.text) for t in out[1].turns] == [(r, t) for _, r, t in want]
     assert out[None].n_turns == 1 and out[2].n_turns == 3 and not out[2].valid
     assert "".join(s.text for s in out[1].segments) == out[1].formatted
+    assert [out[1].formatted[s.begin : s.begin + s.length] for s in out[1].loss_spans] == [s.text for s in out[1].segments if s.loss]
+
+
+def test_loss_is_read_from_the_formatted_text(spark):
+    long = "é</s> \\a " * 100_000
+    rows = [(1, 0, "user", "q", ""), (1, 1, "assistant", long, ""), (1, 2, "user", "", ""), (1, 3, "assistant", "😀[INST]", ""), (1, 4, "user", "x", ""), (1, 5, "assistant", "", "")]
+    loss = F.array_join(F.transform(masked(F.col("formatted"), F.col("loss_spans")), lambda s: unescape(s)), "|")
+    got = format_conversations(spark.createDataFrame(rows, SCHEMA)).select(loss.alias("loss")).first().loss
+    assert got == long + "|😀[INST]|"
+
+
+def test_templates_that_cannot_be_undone_are_refused():
+    pair = lambda i: (f"<{i}>", f"</{i}>")
+    assert Template(markers={str(i): pair(i) for i in range(11)})
+    with pytest.raises(ValueError):
+        Template(markers={str(i): pair(i) for i in range(12)})
+    for bad in ("", "a\\b", "abc", "0"):
+        with pytest.raises(ValueError):
+            Template(markers={"user": (bad, "]")})
 
 
 def test_machine(spark):

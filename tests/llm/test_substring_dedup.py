@@ -81,6 +81,71 @@ def test_phrases_from_different_documents_are_no_passage(spark):
     assert all(text[g.begin : g.end] in docs[100].encode() for g in removed[101].gone)
 
 
+def plain_spans(docs, least):
+    """For each row number: shared and removed runs and their first documents, by one table of all windows' texts."""
+    order = lambda i: (i is None, i or 0)
+    found, owners = [], {}
+    for i, t in docs:
+        data, own = (t or "").encode(), set()
+        ends = [int(c) for c in cuts([data])[0]] if data else []
+        starts = [0, *ends[:-1]]
+        for k, a in enumerate(starts if ends else []):
+            own |= {(a, e) for e in [next((e for e in ends[k:] if e - a >= least), None)] if e}
+        for k, e in enumerate(ends):
+            own |= {(s, e) for s in [next((s for s in reversed(starts[: k + 1]) if e - s >= least), None)] if s is not None}
+        found.append((i, data, own))
+        for a, e in own:
+            owners.setdefault(data[a:e], set()).add(i)
+
+    def runs(spans):
+        out = []
+        for a, e in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([a, e])
+        return [tuple(r) for r in out]
+
+    result = []
+    for i, data, own in found:
+        shared = [(a, e) for a, e in own if len(owners[data[a:e]]) > 1]
+        first = {s: min(owners[data[s[0] : s[1]]], key=order) for s in shared}
+        gone = [s for s in shared if first[s] != i]
+        result.append((i, sum(e - a for a, e in runs(shared)), runs(gone), sorted({first[s] for s in gone})))
+    return result
+
+
+def spans_of(spark, docs, least, **columns):
+    df = spark.createDataFrame([(i, t, 7, "z") for i, t in docs], SCHEMA)
+    got = {r.row: (r.shared, [(g.begin, g.end) for g in r.gone], r.first_ids) for r in repeated_spans(df, least).collect()}
+    rows = df.select("doc_id", "text", row_key("doc_id", "text").alias("row")).collect()
+    return sorted([(r.doc_id, *got.get(r.row, (0, [], []))) for r in rows], key=str)
+
+
+def test_spans_match_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = plain_spans(docs, 90)
+    assert sum(bool(g) for _, _, g, _ in want) > 100
+    assert spans_of(spark, docs, 90) == sorted(want, key=str)
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"w{rng.randint(0, 60)}" for _ in range(n))
+    shared, long = say(50), say(60_000)
+    docs = [(i, say(rng.randint(0, 40)) + " " + rng.choice([shared, "", say(9)])) for i in range(150)]
+    docs += [(200, None), (201, ""), (None, shared), (202, long), (203, long[1000:]), (3, shared + " more"), (3, shared + " more")] + [(204, shared)] * 40
+    assert spans_of(spark, docs, 40) == sorted(plain_spans(docs, 40), key=str)
+
+
+def test_lists_too_long_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("kinograph.llm.substring_dedup.BROADCAST_SPANS", -1)
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    shared = say(60)
+    df = spark.createDataFrame([(i, say(20) + (" " + shared if i % 5 == 0 else ""), 7, "z") for i in range(100)], SCHEMA)
+    got = {r.doc_id: r for r in remove_repeats(df).collect()}
+    assert len(got) == 100 and sum(len(r.text) < 250 for r in got.values() if r.doc_id % 5 == 0 and r.doc_id) == 19
+    assert all(r.n_chars == 7 for r in got.values() if r.doc_id % 5)
+
+
 def test_passages_in_text_without_ascii_spaces(spark):
     rng = random.Random(8)
     for letters, gap in ((range(0x4E00, 0x5E00), 0), (range(0x430, 0x450), 7)):

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 from kinograph.llm.common import scratch_path
@@ -59,3 +60,24 @@ def test_long_urls_lose_no_page(spark):
         assert got == [(f"<urn:page:{i}>", u, t) for i, u, t, _ in rows], split
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_gzip_archives(spark, tmp_path):
+    rows = [(i, "u", f"page {i} " * 40 + FORGED, "z") for i in range(30)]
+    path = scratch_path(spark, "warc")
+    write_warc(spark.createDataFrame(rows, SCHEMA), path, compression="gzip")
+    read = lambda where: sorted((r.headers["warc-record-id"], bytes(r.payload).decode()) for r in read_warc(spark, where).collect())
+    want = sorted((f"<urn:page:{i}>", t) for i, _, t, _ in rows)
+    assert read(path) == want
+    members = b""
+    for i, _, t, _ in rows:  # one member a record, as crawls have them
+        members += gzip.compress(f"{MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(t.encode())}\r\n\r\n{t}\r\n\r\n".encode())
+    (tmp_path / "crawl.warc.gz").write_bytes(members)
+    assert read(f"file://{tmp_path}") == want
+
+
+def test_many_copies_shuffle_their_payloads_only(spark, monkeypatch):
+    monkeypatch.setattr("kinograph.llm.warc.BROADCAST_ROWS", 0)
+    rows = [(i, "u", "same " * 50 if i % 3 == 0 else f"own {i} " * 50, "z") for i in range(60)]
+    got = sorted((r[0], r[1], r[2]) for r in back(spark, rows))
+    assert got == sorted((f"<urn:page:{i}>", "revisit" if i % 3 == 0 and i else "response", "<urn:page:0>" if i % 3 == 0 and i else None) for i in range(60))
