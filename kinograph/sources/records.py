@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Versions of the documents.
@@ -40,3 +40,50 @@ def incomplete_parts(stored: DataFrame, part_frames: int, total: int) -> DataFra
     counted = stored.groupBy("part").agg(F.count("*").alias("counted"))
     both = expected.join(counted.withColumn("part", F.col("part").cast("long")), "part", "left").withColumn("counted", F.coalesce("counted", F.lit(0)))
     return both.where("counted <> expected").select("part", "counted", "expected")
+
+
+def part_states(spark: SparkSession, path: str) -> DataFrame:
+    """(part, counted, first, last, written) of the parts under ``path``; ``written`` is when a part's files were written."""
+    stored = spark.read.parquet(path).select("part", "t", F.col("_metadata.file_modification_time").alias("at"))
+    return stored.groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("counted"), F.min("t").alias("first"), F.max("t").alias("last"), F.max("at").alias("written"))
+
+
+def resume_parts(frames: DataFrame, path: str, part_frames: int, fingerprint: str) -> int:
+    """Write ``frames`` (with t) in parts of ``part_frames`` under ``path``, but for those that are whole there already; how many were written.
+
+    A part is whole if it holds as many frames as it should. Parts of another fingerprint count for nothing. A part replaces what
+    stood in its folder when the whole write succeeds, so that a run which breaks off leaves whole parts or none.
+    """
+    spark, manifest = frames.sparkSession, f"{path}-manifest"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = files.exists(where) and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest))
+    if known:
+        doc = spark.read.text(manifest).select(parsed(F.col("value"), MANIFEST, MANIFEST_VERSION).alias("d")).first()
+        known = doc is not None and doc.d is not None and (doc.d.fingerprint, doc.d.part_frames) == (fingerprint, part_frames)
+    placed = frames.withColumn("part", F.floor(F.col("t") / part_frames).cast("long"))
+    wanted = placed.groupBy("part").agg(F.count("*").alias("expected"))
+    if known:
+        stored = part_states(spark, path).select("part", "counted")
+        todo = wanted.join(stored, "part", "left").where("counted IS NULL OR counted <> expected").select("part")
+    else:
+        files.delete(where, True)
+        text = F.to_json(F.struct(F.lit(MANIFEST_VERSION).alias("version"), F.lit(fingerprint).alias("fingerprint"), F.lit(part_frames).cast("long").alias("part_frames")))
+        spark.range(1).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(manifest)
+        todo = wanted.select("part")
+    parts = [r.part for r in todo.collect()]  # numbers of parts only
+    if parts:
+        some = placed.where(F.col("part").isin(parts)).repartition("part").sortWithinPartitions("part", "t")
+        some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return len(parts)
+
+
+def read_whole(spark: SparkSession, path: str, part_frames: int) -> DataFrame:
+    """The frames of all parts under ``path``, after proof that parts follow each other without a gap, each full but the last."""
+    odd = part_states(spark, path).withColumn("last_part", F.max("part").over(Window.partitionBy(F.lit(0)))).where(
+        (F.col("first") != F.col("part") * part_frames) | (F.col("last") - F.col("first") + 1 != F.col("counted")) | ((F.col("part") < F.col("last_part")) & (F.col("counted") != part_frames))
+    )
+    states = part_states(spark, path).agg(F.count("*").alias("n"), F.max("part").alias("most")).first()
+    if states.n and states.n != states.most + 1 or not odd.isEmpty():
+        raise ValueError(f"the parts under {path} are not contiguous")
+    return spark.read.parquet(path).orderBy("t")

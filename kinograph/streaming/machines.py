@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kinograph.operators.folds import fold_sorted
+
 #: The order of states, the event that leads to each, and the one that ends a job.
 STEPS = ("signup", "view", "click", "purchase")
 ENDS = "error"
@@ -38,15 +40,15 @@ def job_states(events: DataFrame) -> DataFrame:
 def patch_cache(frames: DataFrame, tolerance: float, hold: int) -> DataFrame:
     """(clip, t, hit, age): a frame reuses the last computed patch while that is young or the frame hardly differs from it.
 
-    The comparison is with the frame of the last miss, so each depends on those before: a fold per clip.
+    The comparison is with the frame of the last miss, so each depends on those before: a fold that holds one anchor.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, anchor, age, out = rows.sort_values("t"), None, 0, []
-        for t, px in zip(rows["t"], rows["px"], strict=True):
-            hit = anchor is not None and (age < hold or np.abs(px - anchor).mean() <= tolerance)
-            anchor, age = (anchor, age + 1) if hit else (px, 1)
-            out.append((rows["clip"].iloc[0], t, hit, age))
-        return pd.DataFrame(out, columns=["clip", "t", "hit", "age"])
+    def step(state, row):
+        px = np.array(row["px"])
+        anchor, age = state or (None, 0)
+        hit = anchor is not None and bool(age < hold or np.abs(px - anchor).mean() <= tolerance)
+        anchor, age = (anchor, age + 1) if hit else (px, 1)
+        return (anchor, age), (hit, age)
 
-    return frames.select("clip", "t", "px").groupBy("clip").applyInPandas(fold, "clip long, t long, hit boolean, age long")
+    schema = "clip long, t long, px array<double>, hit boolean, age long"
+    return fold_sorted(frames.select("clip", "t", "px"), ["clip"], ["t"], step, schema, ["hit", "age"]).drop("px")

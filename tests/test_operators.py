@@ -12,7 +12,10 @@ from kinograph.operators.coverage import grow, measure
 from kinograph.operators.grid import regions
 from kinograph.operators.jobs import decide, state_of
 from kinograph.operators.quality import psnr, robust_z
-from kinograph.operators.repair import repair, surroundings
+from kinograph.operators.quality import medians
+from kinograph.operators.delivery import deliver
+from kinograph.operators.folds import fold_sorted
+from kinograph.operators.repair import REPAIRERS, register, repair, repair_blocks, repairer_of, surroundings
 from kinograph.operators.shots import split_segments, thin_bounds
 from kinograph.streaming.machines import patch_cache, step
 
@@ -138,3 +141,61 @@ def test_repair_leaves_the_rest_alone(spark):
     want = np.array(px).reshape(8, 8)
     assert (got[~mask] == want[~mask]).all() and (got[mask] == want[mask] + 1).all()
     assert np.isclose(surroundings(want[None], mask)[0][2, 2], want[~mask].mean())
+
+
+def test_medians_are_exact_whatever_the_number_of_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v)) for k, n in ((1, 30_001), (2, 30_000), (3, 1), (4, 2), (5, 7)) for v, k in zip(np.round(rng.normal(size=n), 3), [k] * n)] + [(3, None), (6, None)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    got = {r.k: r.median for r in medians(df, F.col("v"), "k").collect()}
+    want = {k: float(np.median([v for a, v in rows if a == k and v is not None])) for k in range(1, 6)}
+    assert got == pytest.approx(want)
+    assert medians(df, F.col("v")).first().median == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_delivery_repeats_what_may_change_only(spark):
+    def send(name, body):
+        with open(f"{body}/{name}", "a+") as f:
+            f.write("x")
+            f.seek(0)
+            tries = len(f.read())
+        answers = {1: [200], 2: [503, 429, 204], 3: [404], 4: [500] * 9, 5: [OSError(), 200]}[name]
+        if isinstance(answers[tries - 1], OSError):
+            raise answers[tries - 1]
+        return answers[tries - 1]
+
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    got = deliver(spark.createDataFrame([(i, folder) for i in range(1, 6)], "id long, body string"), send, wait=lambda s: None).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, True), (2, 3, True), (3, 1, False), (4, 4, False), (5, 2, True)]
+
+
+def test_folds_run_in_order_within_each_key(spark):
+    rows = [(k, t, (t * 7 + k) % 5) for k in range(6) for t in range(50)]
+    df = spark.createDataFrame(rows[::-1], "k long, t long, v long")
+    got = fold_sorted(df, ["k"], ["t"], lambda s, r: ((s or 0) + r["v"], ((s or 0) + r["v"],)), "k long, t long, v long, total long", ["total"])
+    want = {(k, t): sum(v for a, b, v in rows if a == k and b <= t) for k, t, _ in rows}
+    assert {(r.k, r.t): r.total for r in got.collect()} == want
+
+
+def test_blocks_see_their_context_in_order(spark):
+    seen = []
+
+    def order(px, mask):
+        out = px.copy()
+        out[:, mask] = px[:, 0, 1:2]  # the frame's number, out of the mask
+        assert (np.diff(px[:, 0, 1]) == 1).all()
+        out[:, mask] += len(px) / 100
+        return out
+
+    register("order", order)
+    mask = np.zeros((2, 2), bool)
+    mask[1, 1] = True
+    frames = [(c, 10 + i, [0.0, float(i), 0.0, -1.0]) for c in (1, 2) for i in range(20)]
+    got = {(r.clip, r.t - 10): r.px[3] for r in repair_blocks(spark.createDataFrame(frames, "clip long, t long, px array<double>"), mask, "order", block=8, overlap=3).collect()}
+    size = [11] * 8 + [14 - 1] * 0 + [14] * 8 + [7] * 4
+    assert len(got) == 40 and all(got[c, i] == pytest.approx(i + size[i] / 100) for c in (1, 2) for i in range(20))
+    assert repairer_of("surroundings") is surroundings and "order" in REPAIRERS and not seen
+    with pytest.raises(ValueError):
+        repairer_of("none of these")
