@@ -18,21 +18,26 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: Temporary folders of applications with a local master.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where it is unset, a local master gets a temporary folder; a cluster is refused, because
+    Where it is unset, a local master gets a temporary folder for the application; a cluster is refused, because
     its machines do not share one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="kinograph-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    delete_on_exit(spark, base)
-    return base
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="kinograph-")
+        delete_on_exit(spark, _LOCAL[context.applicationId])
+    return _LOCAL[context.applicationId]
 
 
 def delete_on_exit(spark: SparkSession, path: str) -> None:
@@ -125,7 +130,10 @@ _UNBOUNDED = 64 << 20
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes, however long the texts are."""
+    """``mapInArrow`` with batches bounded in bytes, however long the texts are.
+
+    The bound is a setting of the session: it is set here, once, unless the session has one of its own.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     try:
         bound = int(conf.get(name).rstrip("b"))

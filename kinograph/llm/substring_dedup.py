@@ -132,7 +132,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row, own, found in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found")), strict=True):
-            first = {f["span"]: f["first"] for f in found}  # rows repeated as a whole give each span again
+            first = {f["span"]: f["first"] for f in found}
             order = [(span >> 32, span & 0xFFFFFFFF, first[span]) for span in sorted(first)]
             shared = sum(b - a for a, b, _ in _runs(order))
             gone = _runs([x for x in order if x[2] is not None and x[2] != own])
@@ -152,8 +152,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.count("doc_id").alias("named"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     counted = counted.where("first < last OR named BETWEEN 1 AND n - 1").select("digest", "first")
     repeated = materialize(counted, "windows")
-    met = found.join(repeated, "digest")
-    of_row = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("span", "first")).alias("found"))
+    met = found.join(repeated, "digest")  # rows repeated as a whole give each span again: a set holds it once
+    of_row = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_set(F.struct("span", "first")).alias("found"))
     return map_arrow(of_row, _passages, "row long, shared long, gone array<struct<begin:long,end:long>>, first_ids array<long>").where("shared > 0")
 
 

@@ -33,6 +33,12 @@ def test_public_vocabulary_counts_like_the_exact_tokenizer(vocabulary, spark):
         assert c.texts([text]) == [len(enc.ids)], repr(text)
 
 
+def test_very_long_texts(vocabulary):
+    rng = random.Random(10)
+    text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(120_000)) + "x" * 50_000
+    assert list(Counter(vocabulary).texts([text, "a", text])) == [n := len(exact(vocabulary).encode(text, add_special_tokens=False).ids), 1, n]
+
+
 def test_ties_follow_the_exact_tokenizer():
     rng = random.Random(9)
     for _ in range(60):
