@@ -24,8 +24,10 @@ def pixel_signals(graded: DataFrame, threshold: float) -> DataFrame:
 def ring_pixels(signals: DataFrame, boxes: DataFrame, least_std: float) -> DataFrame:
     """Pixels of each box's surroundings with marklike, side and distance; ``boxes``: (box, bx, by, bw, bh, ring)."""
     c = F.col
-    outer = c("x").between(c("bx") - c("ring"), c("bx") + c("bw") - 1 + c("ring")) & c("y").between(c("by") - c("ring"), c("by") + c("bh") - 1 + c("ring"))
-    met = signals.join(F.broadcast(boxes), outer)
+    # a box and its ring are unfolded to pixels, so that boxes meet signals in an equi join
+    rows = boxes.withColumn("y", F.explode(F.sequence(c("by") - c("ring"), c("by") + c("bh") - 1 + c("ring"))))
+    covered = rows.withColumn("x", F.explode(F.sequence(c("bx") - c("ring"), c("bx") + c("bw") - 1 + c("ring"))))
+    met = signals.join(covered, ["y", "x"])
     median = met.groupBy("box").agg(F.expr("percentile(std, 0.5)").alias("median_std"))
     met = met.join(median, "box")
     in_x, in_y = c("x").between(c("bx"), c("bx") + c("bw") - 1), c("y").between(c("by"), c("by") + c("bh") - 1)

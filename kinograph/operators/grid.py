@@ -13,10 +13,11 @@ def regions(marked: DataFrame, key: str) -> DataFrame:
     """(key, y, x, region) of 8-connected regions; region is the smallest y * 2^20 + x in it."""
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(rows["y"], rows["x"], strict=True))
-        out = []
-        while left:
-            seed = min(left)
+        order = sorted(set(zip(rows["y"], rows["x"], strict=True)))
+        left, out = set(order), []
+        for seed in order:  # a region's first pixel names it
+            if seed not in left:
+                continue
             left.discard(seed)
             front, region = [seed], seed[0] * (1 << 20) + seed[1]
             while front:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinograph.functions.signing import hmac_sha256
 from kinograph.operators.delivery import MAX_ATTEMPTS
 from kinograph.operators.folds import fold_sorted
 from kinograph.operators.repair import repair_blocks
@@ -157,6 +160,16 @@ def heartbeat_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_sorted(e, ["user_id"], ["us", "event_id"], step, schema, ["said"]).where("said").select("user_id", "event_id", "done")
 
 
+def webhook_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Received messages whose signature is that of their time and body under a derived key; every fifth was tampered with."""
+    key = hashlib.sha256(b"kinograph" + b"hooks").digest()
+    j = _jobs(spark, sf_dir)
+    body = F.concat(F.lit('{"job":'), F.col("job"), F.lit("}"))
+    signed = lambda b: hmac_sha256(key, F.concat(F.lit("v1:"), F.col("finished").cast("string"), F.lit(":"), b))
+    received = j.select("job", "finished", F.when(F.col("job") % 5 == 0, F.concat(body, F.lit(" "))).otherwise(body).alias("body"), signed(body).alias("signature"))
+    return received.select("job", (signed(F.col("body")) == F.col("signature")).alias("valid"))
+
+
 def parts_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames written in parts; a run that broke off after two parts and a half is taken up again: what was there is not written twice."""
     own, path = frames(spark, sf_dir), scratch(spark, "resumed")
@@ -177,7 +190,7 @@ def repair_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(done, "px").select("t", "y", "x", F.round("px", 6).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (options_argv, merged_knobs, data_uri, full_report, aborted_uploads, delivery_attempts, progress_deltas, heartbeat_echo, parts_resumed, repair_in_context)}
+QUERIES = {f.__name__: f for f in (options_argv, merged_knobs, data_uri, full_report, aborted_uploads, delivery_attempts, progress_deltas, heartbeat_echo, webhook_verified, parts_resumed, repair_in_context)}
 
 _FLAGS = ", ".join(f"({i}, '{n}', '{f}', {'true' if n in VALUE_FLAGS else 'false'})" for i, (n, f) in enumerate({**VALUE_FLAGS, **NEGATIVE_FLAGS}.items()))
 _LINES = "ln AS (SELECT l_orderkey AS key, l_linenumber AS i, min({value}) AS v FROM lineitem GROUP BY l_orderkey, l_linenumber)"
@@ -219,6 +232,7 @@ ORACLES = {
           CASE WHEN ev.done <> fo.said AND ev.us - fo.at > {ECHO_S * 1_000_000} THEN ev.done ELSE fo.said END, ev.event_id, ev.done <> fo.said AND ev.us - fo.at > {ECHO_S * 1_000_000}
         FROM fo JOIN ev ON ev.user_id = fo.user_id AND ev.i = fo.i + 1)
       SELECT user_id, event_id, said AS done FROM fo WHERE is_said""",
+    "webhook_verified": "SELECT o_orderkey AS job, o_orderkey % 5 <> 0 AS valid FROM orders",
     "parts_resumed": f"""WITH f AS (SELECT vec_id AS t, vec_id // {PART_FRAMES} AS part FROM embeddings WHERE len(embedding) = 64)
       SELECT part, count(*) AS counted, min(t) AS first, max(t) AS last, part < 2 AND count(*) = {PART_FRAMES} AS reused FROM f GROUP BY part""",
     "repair_in_context": f"""WITH {PX}, m AS (SELECT clip, t, avg(v) FILTER (NOT (x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5)) AS m FROM px GROUP BY clip, t),

@@ -8,15 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where all is local."""
+    """A new path in the folder that driver and executors share, dropped when the application ends; a temporary one only where all is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="kinograph-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if context.applicationId not in _LOCAL:  # one folder an application
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="kinograph-")
+        base = _LOCAL[context.applicationId]
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
