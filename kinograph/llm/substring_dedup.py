@@ -7,7 +7,8 @@ any character, as densely in bytes as after words, so texts without such spaces
 an insertion shifts nothing beyond the next cut. From each chunk on, and up to each chunk, the shortest
 run of consecutive chunks of at least ``least`` bytes is a window. Windows are counted by the 64-bit digest
 of their whole text; one that stands in another document too is repeated, and repeated windows that meet
-or overlap are a passage. A window goes where it stands in a document of a smaller id, so that the first copy stays.
+or overlap are a passage, if they cover ``passage`` bytes. A window goes where it stands in a document of a smaller id, so that the first
+copy stays, and where windows that go cover as much.
 Repeats within one document stay. Short chunks that many texts share cannot make a window unless they
 stand together elsewhere.
 
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from kinograph.llm.common import keyed, map_arrow, materialize, row_key, slices, split_rows, strings
 
-#: Bytes that a repeated passage has at least.
-LEAST_BYTES = 90
+#: Bytes that a window has at least, and bytes that windows which meet or overlap cover where they are a repeated passage: some
+#: 35 words, what the chunks within a passage of over 50 words nearly always come to.
+LEAST_BYTES, PASSAGE_BYTES = 90, 210
 #: Spans up to which the rows that lose text are broadcast rather than shuffled with the texts.
 BROADCAST_SPANS = 500_000
 
@@ -127,22 +129,30 @@ def _runs(spans: list[tuple]) -> list[tuple]:
     return [tuple(r) for r in runs]
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passages(passage: int):
     """Per row with repeats: the spans that go, and the documents that hold the first copies."""
-    for batch in batches:
-        out = []
-        for row, own, found in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found")), strict=True):
-            first = {f["span"]: f["first"] for f in found}
-            order = [(span >> 32, span & 0xFFFFFFFF, first[span]) for span in sorted(first)]
-            shared = sum(b - a for a, b, _ in _runs(order))
-            gone = _runs([x for x in order if x[2] is not None and x[2] != own])
-            out.append((row, shared, [{"begin": a, "end": b} for a, b, _ in gone], sorted({x for *_, ids in gone for x in ids})))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "shared", "gone", "first_ids"])
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (_passages_of(batch, lambda spans: [r for r in _runs(spans) if r[1] - r[0] >= passage]) for batch in batches)
+
+    return passages
+
+
+def _passages_of(batch: pa.RecordBatch, runs) -> pa.RecordBatch:
+    """One row for each of ``batch`` (row, doc_id, found)."""
+    out = []
+    for row, own, found in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found")), strict=True):
+        first = {f["span"]: f["first"] for f in found}
+        order = [(span >> 32, span & 0xFFFFFFFF, first[span]) for span in sorted(first)]
+        shared = sum(b - a for a, b, _ in runs(order))
+        gone = runs([x for x in order if x[2] is not None and x[2] != own])
+        out.append((row, shared, [{"begin": a, "end": b} for a, b, _ in gone], sorted({x for *_, ids in gone for x in ids})))
+    columns = list(zip(*out, strict=True)) or [()] * 4
+    types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "shared", "gone", "first_ids"])
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES, passage: int = PASSAGE_BYTES) -> DataFrame:
     """(row, shared, gone, first_ids) for each row key with a repeated passage.
 
     ``shared``: bytes in passages that stand elsewhere too; ``gone``: spans of bytes to remove;
@@ -154,7 +164,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     repeated = materialize(counted, "windows")
     met = found.join(repeated, "digest")  # rows repeated as a whole give each span again: a set holds it once
     of_row = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_set(F.struct("span", "first")).alias("found"))
-    return map_arrow(of_row, _passages, "row long, shared long, gone array<struct<begin:long,end:long>>, first_ids array<long>").where("shared > 0")
+    return map_arrow(of_row, _passages(passage), "row long, shared long, gone array<struct<begin:long,end:long>>, first_ids array<long>").where("shared > 0")
 
 
 def without(text, gone):
@@ -166,9 +176,9 @@ def without(text, gone):
     return F.aggregate(kept, F.lit(b""), lambda x, y: F.concat(x, y)).cast("string")
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST_BYTES, passage: int = PASSAGE_BYTES) -> DataFrame:
     """``docs`` with its columns, its texts without repeated passages (and n_chars, if there, to match)."""
-    spans = materialize(repeated_spans(docs, least).where("size(gone) > 0").select("row", "gone"), "spans")
+    spans = materialize(repeated_spans(docs, least, passage).where("size(gone) > 0").select("row", "gone"), "spans")
     size = spans.agg(F.sum(F.size("gone") + 1)).first()[0] or 0
     if size <= BROADCAST_SPANS:
         marked = keyed(docs).join(F.broadcast(spans), "row", "left")

@@ -10,6 +10,7 @@ import corpus_pipeline
 from kinograph.llm.common import drop_rows
 from kinograph.llm.decontaminate import WINDOW
 from kinograph.llm.packing import CAPACITY
+from kinograph.llm.substring_dedup import PASSAGE_BYTES
 from kinograph.llm.token_counts import Counter as Tokens
 from kinograph.llm.token_counts import load_vocabulary
 from kinograph.llm.toxicity import fit_labels
@@ -65,7 +66,7 @@ def test_near_dedup(stages):
 
 def test_substring_dedup(stages):
     before, after, _ = stages["substring_dedup"]
-    spans = plain_spans([(r.doc_id, r.text) for r in before], 90)
+    spans = plain_spans([(r.doc_id, r.text) for r in before], 90, PASSAGE_BYTES)
     want = []
     for r, (_, _, gone, _) in zip(before, spans, strict=True):
         text = r.text

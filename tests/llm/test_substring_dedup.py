@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from kinograph.llm.common import row_key
-from kinograph.llm.substring_dedup import GEAR, WINDOW, cuts, gear_hashes, remove_repeats, repeated_spans
+from kinograph.llm.substring_dedup import GEAR, PASSAGE_BYTES, WINDOW, cuts, gear_hashes, remove_repeats, repeated_spans
 
 SCHEMA = "doc_id long, text string, n_chars long, gone string"
 
@@ -58,7 +58,7 @@ def test_passages_go_but_for_the_first(spark):
     assert passages[0][80:-80] not in got[None][0].text
     assert all(r.text == rows[11][1] for r in got[11]) and len(got[11]) == 2
     spans = repeated_spans(df)
-    assert spans.where("shared > 0").count() >= 50
+    assert spans.where("shared > 0").count() >= 48
     assert remove_repeats(df.limit(0)).count() == 0
 
 
@@ -72,7 +72,7 @@ def test_phrases_from_different_documents_are_no_passage(spark):
     rows = [(i, own[i] + p + say(40), 7, "z") for i, p in enumerate(phrases)]
     rows += [(100, "".join(phrases) + say(40), 7, "z"), (101, own[0] + "".join(phrases[2:8]) + say(40), 7, "z")]
     docs = {i: t for i, t, *_ in rows}
-    found = repeated_spans(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("gone", "z"), 90)
+    found = repeated_spans(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("gone", "z"), 90, 90)
     got = {r.row: r for r in found.collect()}
     keys = {r.row: r.doc_id for r in spark.createDataFrame(rows, SCHEMA).select("doc_id", row_key("doc_id", "text").alias("row")).collect()}
     removed = {keys[k]: r for k, r in got.items() if r.gone}
@@ -81,7 +81,7 @@ def test_phrases_from_different_documents_are_no_passage(spark):
     assert all(text[g.begin : g.end] in docs[100].encode() for g in removed[101].gone)
 
 
-def plain_spans(docs, least):
+def plain_spans(docs, least, passage):
     """For each row number: shared and removed runs and their first documents, by one table of all windows' texts."""
     order = lambda i: (i is None, i or 0)
     found, owners = [], {}
@@ -104,35 +104,37 @@ def plain_spans(docs, least):
                 out[-1][1] = max(out[-1][1], e)
             else:
                 out.append([a, e])
-        return [tuple(r) for r in out]
+        return [(a, e) for a, e in out if e - a >= passage]
 
     result = []
     for i, data, own in found:
         shared = [(a, e) for a, e in own if len(owners[data[a:e]]) > 1]
         first = {s: min(owners[data[s[0] : s[1]]], key=order) for s in shared}
         gone = [s for s in shared if first[s] != i]
-        result.append((i, sum(e - a for a, e in runs(shared)), runs(gone), sorted({first[s] for s in gone})))
+        cut = runs(gone)
+        result.append((i, sum(e - a for a, e in runs(shared)), cut, sorted({first[s] for s in gone if any(a <= s[0] and s[1] <= e for a, e in cut)})))
     return result
 
 
-def spans_of(spark, docs, least, **columns):
+def spans_of(spark, docs, least, passage):
     df = spark.createDataFrame([(i, t, 7, "z") for i, t in docs], SCHEMA)
-    got = {r.row: (r.shared, [(g.begin, g.end) for g in r.gone], r.first_ids) for r in repeated_spans(df, least).collect()}
+    got = {r.row: (r.shared, [(g.begin, g.end) for g in r.gone], r.first_ids) for r in repeated_spans(df, least, passage).collect()}
     rows = df.select("doc_id", "text", row_key("doc_id", "text").alias("row")).collect()
     return sorted([(r.doc_id, *got.get(r.row, (0, [], []))) for r in rows], key=str)
 
 
 def test_spans_match_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    want = plain_spans(docs, 90)
+    want = plain_spans(docs, 90, PASSAGE_BYTES)
     assert sum(bool(g) for _, _, g, _ in want) > 100
-    assert spans_of(spark, docs, 90) == sorted(want, key=str)
+    assert spans_of(spark, docs, 90, PASSAGE_BYTES) == sorted(want, key=str)
     rng = random.Random(11)
     say = lambda n: " ".join(f"w{rng.randint(0, 60)}" for _ in range(n))
     shared, long = say(50), say(60_000)
     docs = [(i, say(rng.randint(0, 40)) + " " + rng.choice([shared, "", say(9)])) for i in range(150)]
     docs += [(200, None), (201, ""), (None, shared), (202, long), (203, long[1000:]), (3, shared + " more"), (3, shared + " more")] + [(204, shared)] * 40
-    assert spans_of(spark, docs, 40) == sorted(plain_spans(docs, 40), key=str)
+    for passage in (40, 120):
+        assert spans_of(spark, docs, 40, passage) == sorted(plain_spans(docs, 40, passage), key=str)
 
 
 def test_lists_too_long_to_broadcast(spark, monkeypatch):
@@ -152,7 +154,7 @@ def test_passages_in_text_without_ascii_spaces(spark):
         say = lambda n: "".join("\u3000" if gap and k % gap == gap - 1 else chr(rng.choice(letters)) for k in range(n))  # noqa: E731, B023
         passages = [say(150) for _ in range(20)]
         rows = [(i, say(rng.randint(0, 300)) + passages[i % 20] + say(rng.randint(0, 300)), 7, "z") for i in range(40)]
-        texts = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+        texts = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, SCHEMA), passage=90).collect()}
         assert all(texts[i] == t for i, t, *_ in rows[:20])
         lost = [len(t) - len(texts[i]) for i, t, *_ in rows[20:]]
         assert sum(n > 60 for n in lost) == 20 and sum(lost) > 0.6 * 20 * 150 and max(lost) <= 150
