@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kinograph.llm.components import connected_components
-from kinograph.llm.simhash import MASKS, fingerprint, near_duplicates
+from kinograph.llm.simhash import MASKS, fingerprint, keep_one, near_duplicates
 
 
 def plain(text):
@@ -82,3 +82,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {n: 0 for n in range(400)} | {n: 1000 for n in range(1000, 1100)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert connected_components(spark.range(1).select(F.lit(None).cast("long").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_one_of_each_component_stays(spark):
+    rows = [(5, "a b c d e", 1), (2, "A b  c d e", 2), (9, "other words than these", 3), (9, "other words than these", 3), (None, None, 4), (7, "", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    kept = keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(2, "A b  c d e", 2), (7, "", 5), (9, "other words than these", 3)]
+    assert keep_one(df.limit(0)).count() == 0
