@@ -10,7 +10,10 @@ from kinograph.functions.frames import gradient_x, gradient_y
 from kinograph.functions.geometry import clamp, clock, human_bytes, parse_box, snap
 from kinograph.operators.coverage import grow, measure
 from kinograph.operators.grid import regions
-from kinograph.operators.jobs import decide, state_of
+from kinograph.operators.alpha import alpha_bound, matte_alpha, variance_alpha
+from kinograph.operators.jobs import LIVE, STATE_OF_OUTCOME, TERMINAL, decide, state_of
+from kinograph.plans.overlay import plausible
+from kinograph.plans.service import argv
 from kinograph.operators.quality import psnr, robust_z
 from kinograph.operators.quality import medians
 from kinograph.operators.delivery import deliver
@@ -199,3 +202,33 @@ def test_blocks_see_their_context_in_order(spark):
     assert repairer_of("surroundings") is surroundings and "order" in REPAIRERS and not seen
     with pytest.raises(ValueError):
         repairer_of("none of these")
+
+
+def test_alphas_over_channels(spark):
+    lit = lambda *values: [F.lit(float(v)) for v in values]
+    assert one(spark, matte_alpha(lit(155, 155, 155), lit(55, 55, 55), 255.0)) == pytest.approx(0.5)
+    assert one(spark, matte_alpha(lit(100, 60, 250), lit(100, 20, 250), 255.0)) == pytest.approx(40 * 235 / (155**2 + 235**2 + 5**2))
+    assert one(spark, matte_alpha(lit(255, 255, 255), lit(249, 249, 249), 255.0)) == 0.0  # 108 is not more than 108
+    assert one(spark, matte_alpha(lit(255, 255, 255), lit(248, 249, 249), 255.0)) == pytest.approx(1.0)
+    assert one(spark, variance_alpha(lit(5, 2, 8), lit(10, 10, 10))) == pytest.approx(0.8)
+    assert one(spark, variance_alpha(lit(5, 0, 8), lit(0, 0, 0))) == 0.0
+    assert one(spark, alpha_bound(lit(255, 51, 102), 255.0)) == pytest.approx(0.2) and one(spark, alpha_bound(lit(255, 255, 255), 255.0)) == 0.88
+
+
+def test_boxes_are_plausible_within_every_bound(spark):
+    ok = lambda area, w, h: one(spark, plausible(F.lit(area), F.lit(w), F.lit(h)))
+    assert ok(4, 2, 2) and ok(20, 5, 4) and ok(6, 6, 1)
+    assert not ok(24, 6, 4)  # over 35 % of the region
+    assert not ok(7, 7, 1) and not ok(7, 1, 7)  # over three quarters of a side
+    assert not ok(0, 0, 0)
+
+
+def test_states_that_run_are_live():
+    assert LIVE == ("preparing", "downloading", "detecting", "running", "uploading")
+    assert not set(LIVE) & set(TERMINAL) and set(STATE_OF_OUTCOME.values()) <= set(TERMINAL)
+
+
+def test_options_become_arguments(spark):
+    given = F.create_map(*[F.lit(x) for x in ("corner", "tl", "crf", "18", "fp16", "false", "verify", "true", "resume", "false", "samples", "true", "colour", "red")])
+    assert one(spark, argv(given)) == "--corner tl --crf 18 --no-fp16 --no-resume"
+    assert one(spark, argv(F.create_map(F.lit("crf"), F.lit(None).cast("string")))) == ""
