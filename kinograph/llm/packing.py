@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -107,10 +108,9 @@ def fingerprint(words: list[bytes], memo: dict) -> int | None:
         return None
     if len(memo) > _MEMO:
         memo.clear()
-    for w in words:
-        if w not in memo:
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(memo.get, words, repeat(0)), np.uint64, len(words))
+    for i in np.flatnonzero(h == 0).tolist():
+        h[i] = memo[words[i]] = xxhash.xxh3_64_intdigest(words[i])
     size = min(3, len(h))
     mixed = np.zeros(len(h) - size + 1, np.uint64)
     for k in range(size):

@@ -52,8 +52,10 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def majority(hashes: np.ndarray) -> int:
     """The number whose bits are set in over half of ``hashes`` (64 bits each)."""
     votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 4096):
-        votes += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for i in range(0, len(hashes), 4080):
+        bits = np.unpackbits(hashes[i : i + 4080].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255  # bytes hold the sums of 255 bits
+        votes += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.uint8)
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
