@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each hold QUERIES and ORACLES.
-MODULES = ("q_warc", "q_substring", "q_decontaminate", "q_toxicity", "q_simhash", "q_embedding", "q_token_counts", "q_packing", "q_chat", "q_suffix_tree", "q_vector_codes", "q_trie")
+MODULES = ("q_warc", "q_substring", "q_decontaminate", "q_toxicity", "q_simhash", "q_embedding", "q_token_counts", "q_packing", "q_chat", "q_suffix_tree", "q_vector_codes", "q_trie", "q_retrieval")
 
 
 def queries() -> dict:
