@@ -22,14 +22,12 @@ table gives no rows; other columns are ignored. A document longer than a shard i
 from __future__ import annotations
 
 import base64
-import heapq
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,17 +44,20 @@ QUERY_TERMS = 32
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
 #: Words that a worker remembers, and characters of one it remembers.
-MEMO, SHORT = 400_000, 64
+MEMO, SHORT = 800_000, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_UNSAFE = re.compile(r"\s |<\|")
+#: White space before a space, or what might be a special token.
+_UNSAFE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |<\|"
 _LONG_TEXT = 1 << 20
+#: Neighbours that are put in order at once.
+_BEST = 64
 
 
 class Ids:
     """Token ids of texts under a byte-level BPE file of ``tokenizers`` whose ids fit in 16 bits; built again where it arrives."""
 
     def __init__(self, path: str, pattern: str):
-        self.made_of = path, pattern
+        self.made_of, self.memo = (path, pattern), {}
 
     def __getstate__(self):
         return self.made_of
@@ -65,6 +66,9 @@ class Ids:
         self.__init__(*state)
 
     def open(self) -> Ids:
+        """Ready for texts; a worker keeps it, and the words it has met, from task to task."""
+        if hasattr(self, "spaced"):
+            return self
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -78,38 +82,59 @@ class Ids:
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         size = max(self.exact.get_vocab(with_added_tokens=True).values()) + 1
-        self.begins = np.zeros(size, bool)  # ids that begin a word
-        self.begins[[i for token, i in ranks.items() if token[:1].isspace()]] = True
-        self.memo: dict = {}
+        self.begins, self.spaced = np.zeros(size, bool), np.zeros(size, bool)  # ids that begin a word, by any space or by U+0020
+        for token, i in ranks.items():
+            self.begins[i], self.spaced[i] = token[:1].isspace(), token[:1] == b" "
         return self
 
-    def text(self, text: str | None) -> bytes:
-        """The ids of a text as 16-bit numbers, little-endian, the end after them."""
-        if not text:
-            return END.to_bytes(2, "little")
-        if len(text) > _LONG_TEXT or _UNSAFE.search(text):
-            return np.array([*self.exact.encode(text, add_special_tokens=False).ids, END], "<u2").tobytes()
-        words = text.split(" ")
-        # the first word stands without a space
-        ids = list(map(self.memo.get, words[1:], repeat(None)))
-        if None in ids:
-            for i, found in enumerate(ids):
-                if found is None:
-                    ids[i] = self._word(words[i + 1])
-        return b"".join([self._plain(words[0]), *ids, END.to_bytes(2, "little")])
-
-    def _word(self, word: str) -> bytes:
-        out = self.memo.get(word)
-        if out is None:
-            out = self._plain(" " + word)
-            if len(word) <= SHORT:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[word] = out
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, each with the end after it, and how many each has."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        odd = pc.or_(pc.match_substring_regex(column, _UNSAFE), pc.greater(pc.utf8_length(column), _LONG_TEXT)).to_numpy(zero_copy_only=False)
+        whole = {k: self.exact.encode(column[k].as_py(), add_special_tokens=False).ids for k in np.flatnonzero(odd).tolist()}
+        words = pc.split_pattern(pc.if_else(pa.array(odd), "", column), " ")
+        begins = words.offsets.to_numpy() - words.offsets[0].as_py()
+        told = words.flatten().dictionary_encode()
+        known = self._known(told.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # a text's first word stands without a space
+        first = words.flatten().take(pa.array(begins[:-1])).to_pylist()
+        known += [_bytes(whole[k] if k in whole else self.fast.encode_ordinary(w)) for k, w in enumerate(first)] + [_bytes([END])]
+        at = told.indices.to_numpy().astype(np.int64)
+        at[begins[:-1]] = len(told.dictionary) + np.arange(len(first))
+        at = np.insert(at, begins[1:], len(known) - 1)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        starts, long = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.cumsum(long)
+        ids = np.frombuffer(b"".join(known), "<u2")[np.repeat(starts[at] - ends + long, long) + np.arange(ends[-1])]
+        return ids, np.diff(np.append(0, ends[begins[1:] + np.arange(len(first))]))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words with a space before it."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        out = list(map(self.memo.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if new:
+            fresh = [words[k] for k in new]
+            found = self._words(fresh)
+            for k, ids in zip(new, found, strict=True):
+                out[k] = ids
+            short = max(map(len, fresh)) <= SHORT
+            self.memo.update(zip(fresh, found, strict=True) if short else [(w, i) for w, i in zip(fresh, found, strict=True) if len(w) <= SHORT])
         return out
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it, all words in one text: an id that begins with a space begins a word."""
+        if not words:
+            return []
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(words)), "<u2")
+        at = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * 2
+        data, at = ids.tobytes(), at.tolist()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u2").tobytes()
 
 
 def byte_letters() -> dict[str, int]:
@@ -135,8 +160,9 @@ def terms(ids: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.nd
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * (_MIX + (place.astype(np.uint64) << np.uint64(1)))
     mixed ^= mixed >> np.uint64(29)
     words = np.add.reduceat(mixed * _MIX, starts) >> np.uint64(64 - TERM_BITS)
-    both, times = np.unique((docs[starts].astype(np.uint64) << np.uint64(TERM_BITS)) | words, return_counts=True)
-    return (both >> np.uint64(TERM_BITS)).astype(np.int64), (both & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64), times
+    kind = np.uint32 if len(sizes) <= 1 << 32 - TERM_BITS else np.uint64  # sorts faster
+    both, times = np.unique((docs[starts].astype(kind) << kind(TERM_BITS)) | words.astype(kind), return_counts=True)
+    return (both >> kind(TERM_BITS)).astype(np.int64), (both & kind((1 << TERM_BITS) - 1)).astype(np.int64), times
 
 
 def inverse_frequency(holding: np.ndarray, total: int) -> np.ndarray:
@@ -146,34 +172,40 @@ def inverse_frequency(holding: np.ndarray, total: int) -> np.ndarray:
 
 def routes(doc: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
     """The heaviest term of each of ``n`` documents, the smallest of equals; 0 where it has none. Terms that only one document holds lead nowhere: their weight is 0."""
-    weight = times * idf[term]
-    order = np.lexsort((term, -weight, doc))
     out = np.zeros(n, np.int64)
-    first = np.flatnonzero(np.diff(doc[order], prepend=-1))
-    out[doc[order][first]] = term[order][first]
+    if len(doc):
+        weight, begins = times * idf[term], np.flatnonzero(np.diff(doc, prepend=-1))
+        most = np.repeat(np.maximum.reduceat(weight, begins), np.diff(np.append(begins, len(doc))))
+        at = np.flatnonzero(weight == most)
+        at = at[np.flatnonzero(np.diff(doc[at], prepend=-1))]
+        out[doc[at]] = term[at]
     return out
 
 
 class Index:
-    """An inverted index of a shard: postings of each term, as BM25 scores under statistics of all documents."""
+    """An inverted index of a shard: postings of each term that several of its documents hold, as BM25 scores under statistics of all documents."""
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, words: np.ndarray, idf: np.ndarray, mean: float):
-        score = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * words[doc] / max(mean, 1e-9)))
-        order = np.argsort(term, kind="stable")
+        shared = np.bincount(term, minlength=1)[term] > 1
+        doc, term, times = doc[shared], term[shared], times[shared]
+        self.weight = times * idf[term]
+        score = self.weight * (K1 + 1) / (times + K1 * (1 - B + B * words[doc] / max(mean, 1e-9)))
+        order = (np.sort((term.astype(np.uint64) << np.uint64(32)) | np.arange(len(term), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.doc, self.score, sorted_terms = doc[order], score[order], term[order]
-        self.terms, begins = np.unique(sorted_terms, return_index=True)
-        self.begins = np.append(begins, len(order))
-        # of each document, its terms by place in ``self.terms``, heaviest first
-        weight = times * idf[term]
-        by_doc = np.lexsort((term, -weight, doc))
-        self.own, self.own_begins = np.searchsorted(self.terms, term[by_doc]), np.searchsorted(doc[by_doc], np.arange(len(words) + 1))
+        first = np.diff(sorted_terms, prepend=-1) > 0
+        self.begins = np.append(np.flatnonzero(first), len(order))
+        self.own = np.empty(len(order), np.int64)  # the place of each document's terms in ``begins``
+        self.own[order] = np.cumsum(first) - 1
+        self.own_begins = np.searchsorted(doc, np.arange(len(words) + 1))
         self.n = len(words)
 
     def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) that share a term with the seed's heaviest, in no order."""
-        asked = self.own[self.own_begins[seed] : self.own_begins[seed + 1]][:QUERY_TERMS]
+        a, b = self.own_begins[seed], self.own_begins[seed + 1]
+        asked = self.own[a:b][np.argsort(-self.weight[a:b], kind="stable")[:QUERY_TERMS]]
         begins, sizes = self.begins[asked], self.begins[asked + 1] - self.begins[asked]
-        at = np.arange(sizes.sum()) + np.repeat(begins - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
         scores = np.bincount(self.doc[at], self.score[at], self.n)
         found = np.flatnonzero(scores)
         return found, scores[found]
@@ -215,10 +247,13 @@ def fill(sizes: list[int], neighbours, window: int = WINDOW) -> list[tuple[int,
 def _ranked(found: np.ndarray, scores: np.ndarray, used: np.ndarray) -> Iterator[int]:
     """Unused documents by score, best first, drawn as far as they are asked for."""
     free = ~used[found]
-    heap = list(zip((-scores[free]).tolist(), found[free].tolist(), strict=True))
-    heapq.heapify(heap)
-    while heap:
-        yield heapq.heappop(heap)[1]
+    found, scores = found[free], scores[free]
+    if len(found) > 2 * _BEST:  # most windows ask for few
+        bound = np.partition(scores, len(scores) - _BEST)[len(scores) - _BEST]
+        top = scores >= bound
+        yield from found[top][np.argsort(-scores[top], kind="stable")].tolist()
+        found, scores = found[~top], scores[~top]
+    yield from found[np.argsort(-scores, kind="stable")].tolist()
 
 
 def _tail(pieces: list[tuple], sequence: int, left: int) -> list[tuple]:
@@ -238,6 +273,26 @@ def _tail(pieces: list[tuple], sequence: int, left: int) -> list[tuple]:
     return out
 
 
+_TOKENS = ["row", "doc_id", "n", "ids", "terms", "held"]
+
+
+def _packed_terms(doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> list[bytes]:
+    """Each document's terms, as steps from one to the next, then how often each stands in it."""
+    at = np.searchsorted(doc, np.arange(n + 1))
+    steps, times = np.diff(term, prepend=0), times.astype("<u4")
+    steps[at[:-1][at[:-1] < len(term)]] = term[at[:-1][at[:-1] < len(term)]]
+    steps = steps.astype("<u4")
+    return [steps[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _unpacked_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times), as ``terms`` gives them."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    both = [np.frombuffer(unpack(t), "<u4").reshape(2, -1) for t in column.to_pylist()]
+    sizes = [b.shape[1] for b in both]
+    return np.repeat(np.arange(len(both)), sizes), np.concatenate([b[0].cumsum(dtype=np.int64) for b in both]), np.concatenate([b[1] for b in both]).astype(np.int64)
+
+
 def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(row, doc_id, n, ids) of each row of ``docs``, and rows with ``held`` alone: counts of documents by term, for each part of the table."""
     shared = docs.sparkSession.sparkContext.broadcast(Ids(path, pattern))
@@ -245,22 +300,23 @@ def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, held, total, words = shared.value.open(), np.zeros(1 << TERM_BITS, np.int32), 0, 0
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "text", 2 << 20):
-            ids = [tool.text(t) for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(i) // 2 for i in ids], np.int64)
-            _, term, times = terms(np.frombuffer(b"".join(ids), "<u2"), sizes, tool.begins)
+        for batch in slices(batches, "text", 4 << 20):
+            ids, sizes = tool.texts(batch.column("text"))
+            doc, term, times = terms(ids, sizes, tool.begins)
+            ids = [i.tobytes() for i in np.split(ids, np.cumsum(sizes)[:-1])]
+            own = [pack(i) for i in _packed_terms(doc, term, times, len(ids))]
             held += np.bincount(term, minlength=len(held)).astype(np.int32)
             total, words = total + len(ids), words + int(times.sum())
             empty = pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(sizes), pa.array(map(pack, ids), pa.binary()), empty], ["row", "doc_id", "n", "ids", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(sizes), pa.array(map(pack, ids), pa.binary()), pa.array(own, pa.binary()), empty], _TOKENS)
         if total:
             at = np.flatnonzero(held)
             told = pack(np.array([total, words, *at.tolist(), *held[at].tolist()], np.int64).tobytes())
-            one = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([told], pa.binary())]
-            yield pa.RecordBatch.from_arrays(one, ["row", "doc_id", "n", "ids", "held"])
+            one = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary())] * 2 + [pa.array([told], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, _TOKENS)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(rows, run, "row long, doc_id long, n long, ids binary, held binary")
+    return map_arrow(rows, run, "row long, doc_id long, n long, ids binary, terms binary, held binary")
 
 
 def statistics(table: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -286,7 +342,7 @@ def _dense(rows: DataFrame, more: int) -> tuple:
     return (*(int(x) for x in out[:more]), out[more:])
 
 
-def _read(batch: pa.RecordBatch | pa.Table, begins: np.ndarray) -> tuple:
+def _read(batch: pa.Table, begins: np.ndarray) -> tuple:
     """The ids of each row, and the terms of all."""
     unpack = zstandard.ZstdDecompressor().decompress
     ids = [np.frombuffer(unpack(i), "<u2") for i in batch.column("ids").to_pylist()]
@@ -316,29 +372,28 @@ def pack_by_retrieval(docs: DataFrame, path: str, pattern: str, window: int = WI
     total, words, holding = statistics(table)
     idf = np.where(holding > 1, inverse_frequency(holding, total), 0.0)
     told = context.broadcast((Ids(path, pattern).open().begins, idf))
-    rows = table.where("ids IS NOT NULL").select("row", "doc_id", "n", "ids")
+    rows = table.where("ids IS NOT NULL").select("row", "doc_id", "n", "ids", "terms")
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begins, idf = told.value
+        _, idf = told.value
         lengths = np.zeros(1 << TERM_BITS, np.int64)
         for batch in batches:
             for part in _sized(batch):
-                _, found = _read(part, begins)
-                np.add.at(lengths, routes(*found, idf, part.num_rows), part.column("n").to_numpy())
+                np.add.at(lengths, routes(*_unpacked_terms(part.column("terms")), idf, part.num_rows), part.column("n").to_numpy())
         at = np.flatnonzero(lengths)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lengths[at])], ["term", "n"])
 
-    (lengths,) = _dense(map_arrow(rows.select("n", "ids"), routed, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), 0)
+    (lengths,) = _dense(map_arrow(rows.select("n", "terms"), routed, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), 0)
     line = context.broadcast((np.cumsum(lengths) - lengths, lengths))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (begins, idf), (starts, lengths) = told.value, line.value
+        (_, idf), (starts, lengths) = told.value, line.value
         for batch in batches:
             for part in _sized(batch):
-                _, found = _read(part, begins)
-                route, row = routes(*found, idf, part.num_rows), part.column("row").to_numpy().astype(np.uint64)
+                route, row = routes(*_unpacked_terms(part.column("terms")), idf, part.num_rows), part.column("row").to_numpy().astype(np.uint64)
                 share = ((row + np.uint64(1)) * _MIX >> np.uint64(11)).astype(np.float64) / (1 << 53)
                 shards = ((starts[route] + share * lengths[route]) // shard).astype(np.int64)
+                part = part.drop_columns(["terms"])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shards)], [*part.schema.names, "shard"])
 
     def packed(group: pa.Table) -> pa.Table:

@@ -5,9 +5,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
+from kinograph.llm import retrieval_packing
 from kinograph.llm.retrieval_packing import K1, QUERY_TERMS, RESULT, B, Ids, Index, fill, inverse_frequency, pack_by_retrieval, routes, terms
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -25,8 +28,11 @@ def test_ids_are_the_tokenizers(exact):
     tool, rng = Ids(PATH, PATTERN).open(), random.Random(3)
     letters = "ab é\n\t,.'s1  　<|>ß你  -"
     texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    for text in texts * 2:
-        assert np.frombuffer(tool.text(text), "<u2").tolist() == exact(text), repr(text)
+    for some in (texts[:50], texts, ["one  two", None, "x" * 70 + " b"]):
+        ids, sizes = tool.texts(pa.array(["left out", *some])[1:])
+        assert len(sizes) == len(some)
+        for text, own in zip(some, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert own.tolist() == exact(text), repr(text)
 
 
 def check(rows, got, exact, window):
@@ -74,6 +80,8 @@ def test_terms_and_routes():
     doc, term, times = terms(ids, np.array([6, 4, 1]), begins)
     # words 12, 122 | 2, 12 | none
     assert doc.tolist() == [0, 0, 1, 1] and times.tolist() == [1, 1, 1, 1] and len(set(term[:2]) & set(term[2:])) == 1
+    back = retrieval_packing._unpacked_terms(pa.array([zstandard.compress(t) for t in retrieval_packing._packed_terms(doc, term, times, 3)]))
+    assert all((a == b).all() for a, b in zip(back, (doc, term, times), strict=True))
     idf = np.zeros(1 << 20)
     idf[term[2:]] = [1.0, 2.0]
     assert routes(doc, term, times, idf, 3).tolist()[1:] == [int(term[2:][np.argmax(idf[term[2:]])]), 0]
@@ -88,7 +96,7 @@ def test_neighbours_are_those_of_plain_bm25():
     doc, term, times = (np.array(x) for x in zip(*((i, t, n) for i, d in enumerate(docs) for t, n in sorted(d.items())), strict=True))
     index = Index(doc, term, times, np.array(sizes), idf, mean)
     for seed, own in enumerate(docs):
-        asked = sorted(own, key=lambda t: (-own[t] * idf[t], t))[:QUERY_TERMS]
+        asked = sorted((t for t in own if holding[t] > 1), key=lambda t: (-own[t] * idf[t], t))[:QUERY_TERMS]
         want = {}
         for i, d in enumerate(docs):
             score = sum(idf[t] * d[t] * (K1 + 1) / (d[t] + K1 * (1 - B + B * sizes[i] / mean)) for t in asked if t in d)
