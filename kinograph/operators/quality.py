@@ -21,18 +21,20 @@ _AROUND, _ACCURACY = 0.001, 10_000
 def medians(df: DataFrame, value, *keys: str) -> DataFrame:
     """(keys, median): the exact median of ``value`` in each key, the mean of the middle two where they are two.
 
-    A sketch, combined before the shuffle, bounds the middle of each key; only values between the bounds
-    are gathered, so a key with very many rows needs a few thousandths of them in one task. Nulls do not count.
+    A sketch, combined before the shuffle, bounds the middle of each key. All below it are one count, and values between the bounds
+    are counted, not gathered: a value that many rows share, at the middle or not, is one row of the running count that finds the rank. Nulls do not count.
     """
     rows = df.select(*keys, value.cast("double").alias("of_median")).where("of_median IS NOT NULL")
     sketch = F.percentile_approx("of_median", [0.5 - _AROUND, 0.5 + _AROUND], _ACCURACY)
     bounds = rows.groupBy(*keys).agg(sketch.alias("bounds"), F.count("*").alias("n"))
     both = rows.join(bounds, list(keys)) if keys else rows.crossJoin(F.broadcast(bounds))
     low, high = F.col("bounds")[0], F.col("bounds")[1]
-    near = F.when(F.col("of_median").between(low, high), F.col("of_median"))
-    found = both.groupBy(*keys).agg(F.any_value("n").alias("n"), F.sum((F.col("of_median") < low).cast("long")).alias("below"), F.array_sort(F.collect_list(near)).alias("near"))
-    at = lambda rank: F.element_at("near", (rank - F.col("below") + 1).cast("int"))
-    return found.select(*keys, ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+    level = F.when(F.col("of_median") < low, F.lit(float("-inf"))).otherwise(F.col("of_median"))
+    counted = both.where(F.col("of_median") <= high).groupBy(*keys, level.alias("level")).agg(F.count("*").alias("c"), F.any_value("n").alias("n"))
+    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("level")))
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("level")))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    return upto.groupBy(*keys).agg(middle.alias("median"))
 
 
 def robust_z(df: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinograph.operators.quality import robust_z
 from kinograph.plans.geometry import _C, FRAME_H, FRAME_W, box_clamp
 from kinograph.plans.jobs import _J, _jobs
-from kinograph.plans.oracle import PX
+from kinograph.plans.oracle import PX, WHOLE
 from kinograph.plans.quality import _events, _z
 from kinograph.plans.shots import _PLAN, CUT, _numbered
 from kinograph.plans.shots import segment_plan as _plan
@@ -233,7 +233,9 @@ ORACLES = {
     "stroke_mask": f"WITH {_ST}, m AS (SELECT clip, y, x FROM al WHERE round(a, 6) > {STROKE}) SELECT DISTINCT clip, y + dy AS y, x + dx AS x FROM m, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7",
     "inverse_distance_fill": f"""WITH {PX}, m AS (SELECT clip, y, x, avg(v) AS v FROM px GROUP BY ALL), w AS (SELECT h.clip, h.y, h.x, k.v, 1 / ((h.y - k.y) ** 2 + (h.x - k.x) ** 2) AS w FROM m h JOIN m k ON h.clip = k.clip
       WHERE h.x BETWEEN 2 AND 5 AND h.y BETWEEN 2 AND 5 AND NOT (k.x BETWEEN 2 AND 5 AND k.y BETWEEN 2 AND 5)) SELECT clip, y, x, round(sum(v * w) / sum(w), 6) AS v FROM w GROUP BY clip, y, x""",
-    "tile_overlay": f"WITH {PX}, b AS (SELECT t - 1 AS t, y, x, v AS over FROM px WHERE {BOX}) SELECT t, y, x, round(coalesce(over, v), 6) AS v FROM px LEFT JOIN b USING (t, y, x)",
+    "tile_overlay": f"""WITH f AS (SELECT vec_id AS t, embedding AS e FROM embeddings WHERE {WHOLE}),
+      p AS (SELECT a.t, ((i - 1) // 8)::BIGINT AS y, ((i - 1) % 8)::BIGINT AS x, a.e[i]::DOUBLE AS v, b.e[i]::DOUBLE AS over FROM f a LEFT JOIN f b ON b.t = a.t + 1, range(1, 65) r(i))
+      SELECT t, y, x, round(CASE WHEN {BOX} THEN coalesce(over, v) ELSE v END, 6) AS v FROM p""",
     "tile_scan": f"WITH {PX} SELECT t, round(sum(v), 6) AS total FROM px WHERE t >= 10 AND {BOX} GROUP BY t",
     "grid_pixels": f"WITH {PX} SELECT clip, y, x, round(avg(v), 6) AS v FROM px WHERE x % 3 = 0 OR y % 3 = 0 GROUP BY clip, y, x",
     "nearest_frame": f"""WITH {_EVV}, st AS (SELECT DISTINCT 1704067200 + o_orderkey % 744 * 3600 AS a FROM orders), lo AS (SELECT a, max(s) AS s FROM st JOIN ev0 ON s <= a GROUP BY a), hi AS (SELECT a, min(s) AS s FROM st JOIN ev0 ON s >= a GROUP BY a),

@@ -25,10 +25,11 @@ def collect_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A clip made from nothing but row numbers: a brightening field with a mark that stays; sums of each frame inside and outside it."""
-    px = spark.range(60).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    """A clip of a frame for each part, its field as bright as the part's size says, with a mark that stays; sums of each frame inside and outside it."""
+    frame = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("t"), F.col("p_size").cast("long").alias("size"))
+    px = frame.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
     x, y = F.col("p") % 8, F.floor(F.col("p") / 8)
-    level = F.when(x.between(2, 4) & y.between(2, 4), 200).otherwise(4 * F.col("t") + x + y) % 256
+    level = F.when(x.between(2, 4) & y.between(2, 4), 200).otherwise(4 * F.col("size") + x + y) % 256
     return px.select("t", level.alias("v"), (x.between(2, 4) & y.between(2, 4)).alias("mark")).groupBy("t").agg(F.sum(F.when(F.col("mark"), F.col("v"))).alias("inside"), F.sum(F.when(~F.col("mark"), F.col("v"))).alias("outside"))
 
 
@@ -71,7 +72,7 @@ _HEX = [p.hex() for p in pads(KEY)]
 _INSIDE = "s.x BETWEEN b.x AND b.x + w - 1 AND s.y BETWEEN b.y AND b.y + h - 1"
 ORACLES = {
     "collect_inputs": r"SELECT DISTINCT page_id, url FROM pages WHERE page_id % 50 = 0 OR regexp_matches(url, '/\d+$')",
-    "fixture_frames": """WITH p AS (SELECT t, p % 8 AS x, p // 8 AS y FROM range(60) a(t), range(64) b(p)), v AS (SELECT t, x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4 AS m, CASE WHEN x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4 THEN 200 ELSE (4 * t + x + y) END % 256 AS v FROM p)
+    "fixture_frames": """WITH p AS (SELECT p_partkey AS t, p_size::BIGINT AS size, p % 8 AS x, p // 8 AS y FROM part, range(64) b(p)), v AS (SELECT t, x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4 AS m, CASE WHEN x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4 THEN 200 ELSE (4 * size + x + y) END % 256 AS v FROM p)
       SELECT t, sum(v) FILTER (m)::BIGINT AS inside, sum(v) FILTER (NOT m)::BIGINT AS outside FROM v GROUP BY t""",
     "job_lookup": f"WITH {_J} SELECT job, state, outcome FROM j WHERE job = 77",
     "job_delete": f"WITH {_J} SELECT state, count(*) AS jobs FROM j WHERE NOT coalesce(priority = '1-URGENT' AND state = 'succeeded', false) GROUP BY state",

@@ -68,9 +68,9 @@ def emergency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts without any job, an hour old at least (their balance in cents, here)."""
+    """Hosts' folders without any live job, an hour old at least (their balance in cents, here)."""
     folders = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("host"), F.floor(F.col("c_acctbal")).cast("long").alias("age"))
-    return folders.where(F.col("age") >= ORPHAN_S).join(_jobs(spark, sf_dir), "host", "left_anti")
+    return folders.where(F.col("age") >= ORPHAN_S).join(_jobs(spark, sf_dir).where(F.col("state").isin(*LIVE)), "host", "left_anti")
 
 
 def held_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ ORACLES = {
     "emergency_order": f"""WITH {_J}, r AS (SELECT host, job, list_position([{_in(TAKE_BACK)[1:-1]}], state)::BIGINT AS rank, bytes, finished FROM j WHERE state IN {_in(TERMINAL)}),
       f AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY host ORDER BY rank, finished, job ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS freed_before FROM r)
       SELECT host, job, rank, bytes, freed_before FROM f WHERE freed_before < 500000""",
-    "orphans": f"WITH {_J} SELECT c_custkey AS host, floor(c_acctbal)::BIGINT AS age FROM customer WHERE floor(c_acctbal) >= {ORPHAN_S} AND NOT EXISTS (SELECT 1 FROM j WHERE host = c_custkey)",
+    "orphans": f"WITH {_J} SELECT c_custkey AS host, floor(c_acctbal)::BIGINT AS age FROM customer WHERE floor(c_acctbal) >= {ORPHAN_S} AND NOT EXISTS (SELECT 1 FROM j WHERE host = c_custkey AND state IN {_in(LIVE)})",
     "held_bytes": f"WITH {_J} SELECT host, sum(bytes)::BIGINT AS held, sum(CASE WHEN state IN {_in(TERMINAL)} THEN bytes ELSE 0 END)::BIGINT AS ended FROM j GROUP BY host",
     "sweep_summary": f"WITH {_J}, {_RET} SELECT coalesce(reason, 'kept') AS reason, count(*) AS jobs, sum(j.bytes)::BIGINT AS bytes FROM j LEFT JOIN ret USING (job) GROUP BY 1",
     "batch_summary": f"""WITH {_J}, v AS (SELECT *, CASE state WHEN 'succeeded' THEN 'processed' WHEN 'interrupted' THEN 'failed' ELSE 'blocked' END AS verdict FROM j)

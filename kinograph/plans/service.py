@@ -57,9 +57,13 @@ PART_FRAMES = 12
 
 def argv(options: Column) -> Column:
     """A map of options as command-line arguments, in the order of the flag tables: null values and unknown names are dropped, and booleans of value flags."""
-    takes = [F.when(~F.coalesce(options[name], F.lit("true")).isin("true", "false"), F.concat(F.lit(flag + " "), options[name])) for name, flag in VALUE_FLAGS.items()]
-    offs = [F.when(options[name] == "false", F.lit(flag)) for name, flag in NEGATIVE_FLAGS.items()]
-    return F.array_join(F.array_compact(F.array(*takes, *offs)), " ")
+
+    def joined(m: Column) -> Column:  # a variable of the function, so that the map is made once a row and not once a flag
+        takes = [F.when(~m[name].isin("true", "false"), F.concat(F.lit(flag + " "), m[name])) for name, flag in VALUE_FLAGS.items()]
+        offs = [F.when(m[name] == "false", F.lit(flag)) for name, flag in NEGATIVE_FLAGS.items()]
+        return F.array_join(F.array(*takes, *offs), " ")  # nulls are left out
+
+    return F.transform(F.array(options), joined)[0]
 
 
 def options_argv(spark: SparkSession, sf_dir: str) -> DataFrame:

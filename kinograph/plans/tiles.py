@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinograph.functions.frames import BLUR, SOBEL_X, SOBEL_Y, convolve, neighbourhood, positions
-from kinograph.operators.alpha import LEAST_THROUGH, MIN_CONTRAST, SOLID, matte_alpha, recovered, variance_alpha
+from kinograph.operators.alpha import LEAST_THROUGH, MIN_CONTRAST, SOLID, matte_alpha, recovered, scaled_means, variance_alpha
 from kinograph.operators.alpha import alpha_bound as bounded
 from kinograph.plans.oracle import PX, WHOLE, mirrored
+from kinograph.sources.scratch import written
 from kinograph.sources.tables import frames, pixels
 
 #: The mark's box in the queries, and levels: pixels are mapped to 0..255.
@@ -97,34 +98,40 @@ def alpha_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("t", "y", "x", *[recovered(F.col(c), F.col("a"), INK).cast("long").alias(c) for c in CHANNELS])
 
 
-def _scale_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, y, x, a, bound) of every pixel, nothing outside the box; a row per pixel of a clip, written once for all that read it."""
+    within = lambda v: F.when(F.expr(BOX), F.round(v, 6)).otherwise(0.0)
+    return written(_means(spark, sf_dir).select("clip", "y", "x", within(_alpha()).alias("a"), within(_bound()).alias("bound")), "fit")
+
+
+def _scale_energies(spark: SparkSession, sf_dir: str, fit: DataFrame) -> DataFrame:
     """(clip, s, energy): locked edges left in the box when alphas are scaled by s tenths, over all frames of a clip.
 
-    Each scale's frames are made and graded within their row; gradients are averaged over time before their size is taken.
+    Gradients and means over time are linear: the frames are averaged first, then one tile of a clip and scale is graded.
     """
-    fit = _means(spark, sf_dir).select("clip", "y", "x", F.when(F.expr(BOX), F.round(_alpha(), 6)).otherwise(0.0).alias("a"), F.when(F.expr(BOX), F.round(_bound(), 6)).otherwise(0.0).alias("bound"))
     maps = fit.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("y", "x", "a", "bound"))).alias("map"))  # 64 of a tile
-    scaled = _colour_frames(spark, sf_dir).join(maps, "clip").withColumn("s", F.explode(F.sequence(F.lit(10).cast("long"), F.lit(40).cast("long"))))
-    alpha = F.transform("map", lambda m: F.least(F.greatest(m["a"] * F.col("s") / 10, F.lit(0.0)), F.lit(1 - LEAST_THROUGH), m["bound"]))
-    scaled = scaled.withColumn("alpha", alpha)
-    gray = F.lit(0.0)
-    out = F.transform(positions(), lambda p: sum((w * recovered(F.col(c)[p], F.col("alpha")[p], INK) for c, w in zip(CHANNELS, GRAY, strict=True)), gray))
-    graded = scaled.select("clip", "t", "s", out.alias("gray")).select("clip", "s", convolve(F.col("gray"), SOBEL_X).alias("sx"), convolve(F.col("gray"), SOBEL_Y).alias("sy"))
-    still = pixels(graded, "sx", "sy").where(BOX).groupBy("clip", "s", "y", "x").agg((F.abs(F.avg("sx")) + F.abs(F.avg("sy"))).alias("e"))
-    return still.groupBy("clip", "s").agg(F.round(F.avg("e"), 5).alias("energy"))
+    maps = maps.select("clip", F.transform("map", lambda m: m["a"]).alias("a"), F.transform("map", lambda m: m["bound"]).alias("bound"))
+    gray = scaled_means(_colour_frames(spark, sf_dir).join(maps, "clip"), list(range(10, 41)), GRAY, INK)
+    tiles = gray.groupBy("clip", "s").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "gray"))), lambda v: v["gray"]).alias("gray"))
+    graded = tiles.select("clip", "s", convolve(F.col("gray"), SOBEL_X).alias("sx"), convolve(F.col("gray"), SOBEL_Y).alias("sy"))
+    still = pixels(graded, "sx", "sy").where(BOX)
+    return still.groupBy("clip", "s").agg(F.round(F.avg(F.abs("sx") + F.abs("sy")), 5).alias("energy"))
 
 
-def alpha_scale_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first scale of the alpha that leaves the least locked edges in the box, what it leaves, and what scale 1 does."""
-    energy = _scale_energies(spark, sf_dir)
+def _best_scales(energy: DataFrame) -> DataFrame:
     best = energy.groupBy("clip").agg(F.min(F.struct("energy", "s")).alias("m"), F.max(F.when(F.col("s") == 10, F.col("energy"))).alias("unscaled"))
     return best.select("clip", (F.col("m.s") / 10).alias("scale"), F.col("m.energy").alias("energy"), "unscaled")
 
 
+def alpha_scale_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first scale of the alpha that leaves the least locked edges in the box, what it leaves, and what scale 1 does."""
+    return _best_scales(_scale_energies(spark, sf_dir, _fitted(spark, sf_dir)))
+
+
 def alpha_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fit per pixel of the box: the matte's shape, scaled as the sweep found, within its bound, and whether it is opaque."""
-    shape = _means(spark, sf_dir).where(BOX).select("clip", "y", "x", F.round(_alpha(), 6).alias("a"), F.round(_bound(), 6).alias("bound"))
-    both = shape.join(alpha_scale_sweep(spark, sf_dir).select("clip", "scale"), "clip")
+    fit = _fitted(spark, sf_dir)
+    both = fit.where(BOX).join(_best_scales(_scale_energies(spark, sf_dir, fit)).select("clip", "scale"), "clip")
     alpha = F.least(F.col("a") * F.col("scale"), F.lit(1 - LEAST_THROUGH), F.col("bound"))
     return both.select("clip", "y", "x", F.round(alpha, 6).alias("alpha"), (F.round(alpha, 6) >= SOLID).alias("opaque"))
 
