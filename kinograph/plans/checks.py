@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinograph.functions.frames import SIDE
+from kinograph.functions.marching import fill
 from kinograph.operators.quality import robust_z
 from kinograph.plans.geometry import _C, FRAME_H, FRAME_W, box_clamp
 from kinograph.plans.jobs import _J, _jobs
@@ -16,6 +20,8 @@ from kinograph.plans.tiles import _ST, BOX, _alpha, _means
 from kinograph.sources.tables import frames, pixels, table
 
 PAD = 2
+#: Fixed value: how far the marching fill looks.
+FILL_RADIUS = 5
 #: The alpha from which a pixel belongs to a stroke; marks are faint in these tiles.
 STROKE = 0.01
 #: Bytes of video memory per pixel and frame, of memory per pixel and frame, and the longest segment.
@@ -99,6 +105,21 @@ def inverse_distance_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tile.select("clip", F.inline(F.transform("hole", filled)))
 
 
+def marching_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean frames with the box filled by a front that marches in from its rim; a task holds one clip's tile."""
+    mean = pixels(frames(spark, sf_dir), "px").groupBy("clip", "y", "x").agg(F.avg("px").alias("v"))
+
+    def filled(tile: pa.Table) -> pa.Table:
+        y, x, v = (tile.column(c).to_numpy() for c in ("y", "x", "v"))
+        a, hole = np.zeros((SIDE, SIDE)), np.zeros((SIDE, SIDE), bool)
+        a[y, x] = v
+        hole[2:6, 2:6] = True
+        out, (y, x) = fill(a, hole, FILL_RADIUS), np.nonzero(hole)
+        return pa.table([pa.array([tile.column("clip")[0].as_py()] * len(y), pa.int64()), pa.array(y), pa.array(x), pa.array(out[y, x].round(6))], ["clip", "y", "x", "v"])
+
+    return mean.groupBy("clip").applyInArrow(filled, "clip long, y long, x long, v double")
+
+
 def tile_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base frames with a tile of the frame of the next number laid over the box; frames without one stay as they are."""
     base = frames(spark, sf_dir).select("t", "px")
@@ -215,7 +236,7 @@ def head_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ",").alias("samples"))
 
 
-QUERIES = {f.__name__: f for f in (kernel_sizes, roi_edges_touched, box_warnings, time_base, segment_sizing, box_source, stroke_mask, inverse_distance_fill, tile_overlay, tile_scan, grid_pixels, nearest_frame, nearest_cut, config_sweep_table, segment_lengths, free_space, job_id_valid, usable_engines, oom_split, failure_class, progress_rollback, head_samples)}
+QUERIES = {f.__name__: f for f in (kernel_sizes, roi_edges_touched, box_warnings, time_base, segment_sizing, box_source, stroke_mask, inverse_distance_fill, marching_fill, tile_overlay, tile_scan, grid_pixels, nearest_frame, nearest_cut, config_sweep_table, segment_lengths, free_space, job_id_valid, usable_engines, oom_split, failure_class, progress_rollback, head_samples)}
 
 _SEG = f'WITH RECURSIVE {_PLAN} SELECT user_id, min(e - s) AS shortest, max(e - s) AS longest, count(*) AS segments FROM pl GROUP BY user_id'
 _ODD = "({0}) + (1 - ({0}) % 2)"

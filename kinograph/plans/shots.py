@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinograph.operators.shots import islands, split_segments, thin_bounds
+from kinograph.operators.shots import islands, segments, thinned
 from kinograph.sources.tables import table
 
 CUT, BLACK = "purchase", "view"
@@ -55,8 +55,12 @@ def boundary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of_user = _numbered(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("event_type") == CUT, F.col("i")))).alias("cuts"))
-    return of_user.select("user_id", "total", F.inline(split_segments(thin_bounds(F.col("cuts"), F.col("total"), LEAST), SEGMENT, OVERLAP)))
+    """(user_id, total, s, e, left, right), written once for what reads it."""
+    numbered = _numbered(spark, sf_dir)
+    totals = _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("total"))
+    starts = totals.select("user_id", F.lit(0).cast("long").alias("i"))
+    bounds = thinned(numbered.where(F.col("event_type") == CUT).select("user_id", "i").union(starts), "user_id", "i", LEAST)
+    return segments(bounds, totals, "user_id", LEAST, SEGMENT, OVERLAP)
 
 
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

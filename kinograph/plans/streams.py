@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from kinograph.operators.repair import repair
 from kinograph.plans.oracle import PX
-from kinograph.sources.tables import frames, pixels
+from kinograph.sources.tables import frames, pixels, table
 from kinograph.streaming.machines import STEPS, job_states, patch_cache
+from kinograph.streaming.processors import context_blocks, silences
 from kinograph.streaming.runs import drain, event_stream
 
 HOLD, TOLERANCE = 2, 0.142
+SEGMENT, OVERLAP = 8, 3
+#: Milliseconds of silence until a heartbeat is due, a job counts as interrupted, and what is kept of it goes.
+AFTER_MS = {"silent": 6 * 3_600_000, "interrupted": 24 * 3_600_000, "removed": 48 * 3_600_000}
 BOX = "x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5"
 
 
@@ -53,6 +57,34 @@ def cache_hit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("ratio"), F.count("*").alias("frames"))
 
 
+def stream_context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events in blocks with context on both sides, as far as the look-ahead has come; the state is a list of the last few."""
+    out = drain(context_blocks(event_stream(spark, sf_dir), SEGMENT, OVERLAP), "context", "append")
+    return out.withColumn("body_value", F.round("body_value", 4))
+
+
+def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each user's silence made a heartbeat due, an interruption, and the end of what was kept of it, by timers."""
+    return drain(silences(event_stream(spark, sf_dir).withWatermark("ts", "1 day"), AFTER_MS), "silences", "append")
+
+
+def stream_first_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each signup with the user's first purchase within two days, or none: two streams, whose state is bounded by the interval.
+
+    Signups so late that the watermark has not closed their interval are not told of.
+    """
+    rows = lambda kind: event_stream(spark, sf_dir).where(F.col("event_type") == kind).select("user_id", "event_id", "ts").withWatermark("ts", "1 day")
+    left = rows("signup").select("user_id", "event_id", F.col("ts").alias("signed"))
+    right = rows("purchase").select(F.col("user_id").alias("buyer"), F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
+    within = (F.col("user_id") == F.col("buyer")) & (F.col("bought") >= F.col("signed")) & (F.col("bought") <= F.col("signed") + F.expr("INTERVAL 2 DAYS"))
+    met = drain(left.join(right, within, "leftOuter").select("user_id", "event_id", "signed", "bought", "purchase_id"), "purchases", "append")
+    first = met.groupBy("user_id", "event_id", "signed").agg(F.min(F.when(F.col("purchase_id").isNotNull(), F.struct("bought", "purchase_id"))).alias("p"))
+    ends = [table(spark, sf_dir, "events").where((F.col("event_type") == kind) & F.col("user_id").isNotNull()).agg(F.max(F.col("ts").cast("timestamp")).alias(kind)) for kind in ("signup", "purchase")]
+    closed = ends[0].crossJoin(F.broadcast(ends[1])).select((F.least("signup", "purchase") - F.expr("INTERVAL 74 HOURS")).alias("closed"))  # one row
+    told = first.crossJoin(F.broadcast(closed)).where(F.col("signed") < F.col("closed"))
+    return told.select("user_id", "event_id", F.col("p.purchase_id").alias("purchase_id"), F.unix_micros("p.bought").alias("bought_us"))
+
+
 def repair_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with a box filled from its surroundings."""
     mask = np.zeros((8, 8), bool)
@@ -60,7 +92,7 @@ def repair_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(repair(frames(spark, sf_dir), mask), "px").select("t", "y", "x", F.round("px", 6).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_sessions, stream_job_state, stream_first_of_day, cached_patch_fold, cache_hit_ratio, repair_stub)}
+QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_sessions, stream_job_state, stream_first_of_day, cached_patch_fold, cache_hit_ratio, stream_context_blocks, stream_silences, stream_first_purchase, repair_stub)}
 
 _EV = "ev AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
 _DUE = "CASE r.rank " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(STEPS)) + " END"
@@ -81,5 +113,16 @@ ORACLES = {
     "stream_first_of_day": "SELECT DISTINCT user_id, epoch(date_trunc('day', ts))::BIGINT AS day FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL",
     "cached_patch_fold": f"WITH RECURSIVE {_FOLD} SELECT clip, t, hit, age FROM fo",
     "cache_hit_ratio": f"WITH RECURSIVE {_FOLD} SELECT clip, round(avg(hit::INT), 6) AS ratio, count(*) AS frames FROM fo GROUP BY clip",
+    "stream_context_blocks": f"""WITH {_EV}, n AS (SELECT user_id, count(*) AS total FROM ev GROUP BY user_id),
+      b AS (SELECT user_id, unnest(range(0, total - {SEGMENT + OVERLAP} + 1, {SEGMENT})) AS s FROM n)
+      SELECT b.user_id, s, count(*) AS frames, count(*) FILTER (i - 1 >= s AND i - 1 < s + {SEGMENT}) AS body, round(coalesce(sum(value) FILTER (i - 1 >= s AND i - 1 < s + {SEGMENT}), 0), 4) AS body_value
+      FROM b JOIN ev ON ev.user_id = b.user_id AND i - 1 >= s - {OVERLAP} AND i - 1 < s + {SEGMENT + OVERLAP} GROUP BY b.user_id, s""",
+    "stream_silences": f"""WITH {_EV}, g AS (SELECT user_id, us // 1000 AS ms, lead(us) OVER (PARTITION BY user_id ORDER BY i) // 1000 AS after, max(us) OVER () // 1000 - 86400000 AS mark FROM ev),
+      k AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}::BIGINT)" for k, v in AFTER_MS.items())}) v(kind, due))
+      SELECT user_id, kind, ms + due AS at_ms FROM g, k WHERE after - ms > due OR (after IS NULL AND ms + due <= mark)""",
+    "stream_first_purchase": f"""WITH {_EV}, c AS (SELECT least(max(ts) FILTER (event_type = 'signup'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 74 HOURS AS closed FROM ev),
+      s AS (SELECT user_id, event_id, ts FROM ev, c WHERE event_type = 'signup' AND ts < closed),
+      p AS (SELECT s.event_id, min_by(ev.event_id, (ev.us, ev.event_id)) AS purchase_id, min(us) AS bought_us FROM s JOIN ev ON ev.user_id = s.user_id AND event_type = 'purchase' AND ev.ts BETWEEN s.ts AND s.ts + INTERVAL 2 DAYS GROUP BY s.event_id)
+      SELECT user_id, event_id, purchase_id, bought_us FROM s LEFT JOIN p USING (event_id)""",
     "repair_stub": f"WITH {PX}, m AS (SELECT t, avg(v) FILTER (NOT ({BOX})) AS m FROM px GROUP BY t) SELECT t, y, x, round(CASE WHEN {BOX} THEN m ELSE v END, 6) AS v FROM px JOIN m USING (t)",
 }

@@ -19,7 +19,7 @@ from kinograph.operators.quality import medians
 from kinograph.operators.delivery import deliver
 from kinograph.operators.folds import fold_sorted
 from kinograph.operators.repair import REPAIRERS, register, repair, repair_blocks, repairer_of, surroundings
-from kinograph.operators.shots import split_segments, thin_bounds
+from kinograph.operators.shots import segments, thinned
 from kinograph.streaming.machines import patch_cache, step
 
 
@@ -36,17 +36,30 @@ def test_gradients_are_one_sided_at_borders(spark):
 
 
 def test_bounds_are_thinned_greedily(spark):
-    def bounds(cuts, total, least):
-        return one(spark, thin_bounds(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(total).cast("long"), least))
-
-    assert bounds([3, 20, 30, 60, 61, 95], 100, 16) == [0, 20, 60, 100]
-    assert bounds([20, 60], 100, 16) == [0, 20, 60, 100]
-    assert bounds([10], 12, 16) == [0, 12]
+    rng = np.random.default_rng(2)
+    cases = {1: ([3, 20, 30, 60, 61, 95], 100), 2: ([20, 60], 100), 3: ([10], 12), 4: ([], 7), 5: (sorted({int(c) for c in rng.integers(0, 4000, 900)}), 4000), 6: ([5, 5, 40], 40), 7: (list(range(200)), 200)}
+    rows = [(k, c) for k, (cuts, _) in cases.items() for c in [0, *cuts]]
+    want = {}
+    for k, (cuts, _) in cases.items():
+        want[k] = [0]
+        for c in cuts:
+            if c > 0 and c - want[k][-1] >= 16:
+                want[k].append(c)
+    for stretch in (10, 300, 1 << 16):
+        found, got = thinned(spark.createDataFrame(rows, "k long, c long"), "k", "c", 16, stretch), {}
+        for r in found.collect():
+            got.setdefault(r.k, []).append(r.at)
+        assert {k: sorted(v) for k, v in got.items()} == want
+    totals = spark.createDataFrame([(k, n) for k, (_, n) in cases.items()], "k long, total long")
+    plan = segments(found, totals, "k", 16, 1000, 5).orderBy("k", "s").collect()
+    assert [(r.s, r.e) for r in plan if r.k == 1] == [(0, 20), (20, 60), (60, 100)] == [(r.s, r.e) for r in plan if r.k == 2][:0] + [(0, 20), (20, 60), (60, 100)]
+    assert [(r.s, r.e) for r in plan if r.k in (3, 4)] == [(0, 12), (0, 7)] and [(r.s, r.e) for r in plan if r.k == 6] == [(0, 40)]
 
 
 def test_segments_keep_context_inside_the_shot(spark):
-    got = one(spark, split_segments(F.array(*[F.lit(c).cast("long") for c in (0, 41)]), 17, 5))
-    assert [tuple(s) for s in got] == [(0, 17, 0, 5), (17, 34, 5, 5), (34, 41, 5, 0)]
+    bounds, totals = spark.createDataFrame([(1, 0)], "k long, at long"), spark.createDataFrame([(1, 41)], "k long, total long")
+    got = segments(bounds, totals, "k", 16, 17, 5).orderBy("s").collect()
+    assert [(r.s, r.e, r.left, r.right) for r in got] == [(0, 17, 0, 5), (17, 34, 5, 5), (34, 41, 5, 0)]
 
 
 @pytest.mark.parametrize(("delta", "db"), [(2, 42.1), (8, 30.1), (26, 19.8)])

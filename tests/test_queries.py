@@ -10,10 +10,10 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == {"marching_fill"}  # an ordered front: tests/test_marching.py
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     assert differences(spark, QUERIES[name], ORACLES[name], SF) == ""
 
