@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its words and the words' beginnings of 3 to 8 characters, hashed to 2^26 bins, present or
-not. A G-test on the training sample picks the bins that go with the label; the machine learns
+not. A G-test on the training sample picks the bins that go with the label, by themselves or, among the most frequent, in pairs; the machine learns
 a weight for each and a short vector, whose products weigh pairs (an insult with a group, a word that
 is harmless beside another). Learning takes labelled rows up to a documented bound, chosen by a hash of
 their ids; scoring reads every text whole. Tasks find and count the bins; the driver gets the chosen
@@ -32,6 +32,8 @@ SAMPLE_ROWS = 12_000
 #: Bins that it has weights for, those of the largest G, and the positive rows and the G that a bin needs.
 TERMS = 2048
 LEAST_ROWS, LEAST_G = 3, 12.0
+#: Most frequent bins whose pairs are tested, and the G, beyond that of its two bins, that a pair needs.
+FREQUENT, LEAST_PAIR_G = 512, 40.0
 FACTORS = 8
 STEPS = 300
 BINS = 1 << 26
@@ -124,23 +126,66 @@ def g_test(k, n, positives: int, rows: int):
     return 2 * (part(k, n * positives / rows) + part(n - k, n * negatives / rows) + part(positives - k, m * positives / rows) + part(m - (positives - k), m * negatives / rows))
 
 
-def fit(rows: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS) -> Machine | None:
-    """The machine for ``rows`` (doc_id, label, bins); None without rows."""
-    best = choose_bins(rows, terms)
-    chosen = np.array(best, np.int32)
+def _held(rows: DataFrame, bins: list[int]) -> pa.Table:
+    """(doc_id, label, own): which of ``bins`` (sorted) each row has, in the order of the ids; bounded as the sample is."""
+    chosen = np.array(bins, np.int32)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.flatnonzero(np.isin(chosen, b, assume_unique=True)) for b in batch.column("bins").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "label", "own"])
 
-    got = map_arrow(rows, rows_of, "doc_id long, label boolean, own array<int>").toArrow().sort_by("doc_id")
-    if not got.num_rows:
+    return map_arrow(rows, rows_of, "doc_id long, label boolean, own array<int>").toArrow().sort_by("doc_id")
+
+
+def _matrix(held: pa.Table, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by bins, and the labels."""
+    x = np.zeros((held.num_rows, bins), np.float32)
+    if held.num_rows:
+        own = held.column("own").combine_chunks()
+        x[np.repeat(np.arange(len(x)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = 1
+    return x, held.column("label").to_numpy().astype(np.float32)
+
+
+def pair_bins(rows: DataFrame, frequent: int = FREQUENT) -> list[int]:
+    """The bins of pairs that go with the label far more than either does: a word that is harmless alone, and one that is harmless without it.
+
+    Pairs are those of the ``frequent`` bins that most rows have and some rows lack.
+    """
+    total = rows.count()
+    counts = rows.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).where(f"n >= {LEAST_ROWS} AND n < {total}")
+    bins = sorted(r.bin for r in counts.orderBy(F.desc("n"), "bin").limit(frequent).collect())
+    if not bins:
+        return []
+    x, y = _matrix(_held(rows, bins), len(bins))
+    gain = pair_gains(x.astype(np.float64), y.astype(np.float64))
+    return [bins[i] for i in np.flatnonzero(gain.max(axis=1) >= LEAST_PAIR_G)]
+
+
+def pair_gains(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each two columns of ``x`` (0 or 1), G of the label ``y`` over the four kinds of rows, less G over either column alone, those added up."""
+
+    def g(both: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        out = np.zeros(both.shape)
+        for seen, share in ((hits, y.mean()), (both - hits, 1 - y.mean())):
+            ok = (seen > 0) & (both > 0)
+            out[ok] += 2 * seen[ok] * np.log(seen[ok] / (both[ok] * share))
+        return out
+
+    z = 1 - x
+    cells = sum(g(a.T @ b, a.T @ (b * y[:, None])) for a in (x, z) for b in (x, z))
+    alone = sum(g(a.sum(0), a.T @ y) for a in (x, z))
+    return cells - alone[:, None] - alone[None, :]
+
+
+def fit(rows: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS) -> Machine | None:
+    """The machine for ``rows`` (doc_id, label, bins); None without rows."""
+    best = choose_bins(rows, terms)
+    best = sorted({*best, *pair_bins(rows)})
+    held = _held(rows, best)
+    if not held.num_rows:
         return None
-    y = got.column("label").to_numpy().astype(np.float32)
-    x = np.zeros((len(y), len(best)), np.float32)
-    own = got.column("own").combine_chunks()
-    x[np.repeat(np.arange(len(y)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = 1
+    x, y = _matrix(held, len(best))
     prior = (y.sum() + 0.5) / (len(y) + 1)
     weights, vectors, bias = _learn(x, y, float(np.log(prior / (1 - prior))), factors, steps)
     return Machine({b: i for i, b in enumerate(best)}, weights, vectors, bias)

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from kinograph.llm.q_toxicity import op4_toxicity
-from kinograph.llm.toxicity import LEAST_G, Machine, choose_bins, drop_toxic, fit_labels, sample, score, word_bins
+from kinograph.llm.toxicity import LEAST_G, Machine, choose_bins, drop_toxic, fit_labels, sample, score, word_bins, pair_gains
 
 SF = "/root/testdata/sf0.1"
 
@@ -71,6 +71,40 @@ def test_bins_are_those_of_the_largest_g(spark):
     assert choose_bins(held) == sorted(want) and choose_bins(held, 10) == sorted(want[:10])
 
 
+def test_a_pair_without_any_marginal_is_learned(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(2500):
+        a, b = i % 2, i // 2 % 2
+        words = ["alpha"] * a + ["omega"] * b + [f"filler{k}" for k in rng.integers(0, 40, 6)]
+        rows.append((" ".join(words), a ^ b))
+    m = fit_labels(*rows_of(spark, rows))
+    held = [(t, y) for i, (t, y) in enumerate(rows) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = [(s >= 0.5) == bool(y) for s, (_, y) in zip(m.scores([t for t, _ in held]), held, strict=True)]
+    assert sum(right) / len(right) > 0.97
+
+
+def test_gains_of_pairs_are_those_of_their_tables():
+    rng = np.random.default_rng(6)
+    x, y = (rng.random((200, 4)) < 0.4).astype(float), (rng.random(200) < 0.3).astype(float)
+    y[x[:, 0] * x[:, 1] > 0] = 1
+
+    def g(kinds):
+        total = 0.0
+        for kind in set(kinds):
+            own = np.array([k == kind for k in kinds])
+            for label in (0, 1):
+                seen = ((y == label) & own).sum()
+                total += 2 * seen * math.log(seen / (own.sum() * (y == label).mean())) if seen else 0
+        return total
+
+    got = pair_gains(x, y)
+    for i in range(4):
+        for j in range(4):
+            if i != j:
+                assert math.isclose(got[i, j], g(list(zip(x[:, i], x[:, j], strict=True))) - g(list(x[:, i])) - g(list(x[:, j])), abs_tol=1e-8)
+
+
 def test_drop_toxic_filters_in_place(spark):
     docs, labels = rows_of(spark, [("vile thing" if i % 2 else "good thing", i % 2) for i in range(60)])
     m = fit_labels(docs, labels)
