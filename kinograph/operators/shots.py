@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from kinograph.sources.scratch import written
@@ -96,3 +98,38 @@ def islands(df: DataFrame, key: str, order: list[str], inside: Column) -> DataFr
     numbered = df.select(key, *order, inside.alias("inside")).withColumn("i", F.row_number().over(w).cast("long") - 1)
     runs = numbered.where("inside").withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(key).orderBy("i")))
     return runs.groupBy(key, "run").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("until"), F.count("*").alias("length")).drop("run")
+
+
+class ShotStarts:
+    """Of a clip's rows (key, is it a cut, is it black) in order: where shots begin, at cuts and where a black run of ``LEAST_BLACK`` frames ends, each once.
+
+    It holds a place and the length of a run, whatever the clip's. A clip whose rows hold no frame is an error: nothing found and nothing looked at are not the same.
+    """
+
+    LEAST_BLACK = 2
+
+    def __init__(self):
+        self.key, self.at, self.black = None, 0, 0
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        key, cut, black = row[:3]
+        self.key = key
+        if cut is None and black is None:  # no frame
+            return
+        ended = not black and self.black >= self.LEAST_BLACK
+        self.black = self.black + 1 if black else 0
+        if cut or ended:
+            yield key, self.at
+        self.at += 1
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.at == 0:
+            raise ValueError(f"clip {self.key} has no frames")
+        if self.black >= self.LEAST_BLACK:
+            yield self.key, self.at
+
+
+def shot_starts(marks: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, bound) of ``marks`` (key, order, cut, black), by a table function over each key's rows in order."""
+    function = F.udtf(ShotStarts, returnType=f"{key} long, bound long")
+    return function(marks.select(key, "cut", "black", *order).asTable().partitionBy(key).orderBy(*order))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinograph.operators.shots import islands, segments, thinned
+from kinograph.operators.shots import islands, segments, shot_starts, thinned
 from kinograph.sources.tables import table
 
 CUT, BLACK = "purchase", "view"
@@ -54,6 +54,12 @@ def boundary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.union(black_runs(spark, sf_dir).select("user_id", F.col("until").alias("bound"))).distinct()
 
 
+def shot_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts and ends of black runs of each user, by one table function over the events in order."""
+    marks = _events(spark, sf_dir).select("user_id", *ORDER, F.coalesce(F.col("event_type") == CUT, F.lit(False)).alias("cut"), F.coalesce(F.col("event_type") == BLACK, F.lit(False)).alias("black"))
+    return shot_starts(marks, "user_id", ORDER)
+
+
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, total, s, e, left, right), written once for what reads it."""
     numbered = _numbered(spark, sf_dir)
@@ -101,7 +107,7 @@ def scene_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", carried.alias("frame"), score.alias("score")).where("score <> ''").select("user_id", "frame", F.col("score").cast("double").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (sample_grid_asof, shot_islands, black_runs, boundary_union, segment_plan, segment_context_blocks, heartbeat_gaps, stall_sessions, scene_log_parse)}
+QUERIES = {f.__name__: f for f in (sample_grid_asof, shot_islands, black_runs, boundary_union, shot_bounds, segment_plan, segment_context_blocks, heartbeat_gaps, stall_sessions, scene_log_parse)}
 
 _EV = "ev AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
 _RUNS = f"""{_EV}, bl AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS run FROM ev WHERE event_type = '{BLACK}'),
@@ -121,6 +127,7 @@ ORACLES = {
       SELECT user_id, shot::BIGINT AS shot, min(i) AS first, count(*) AS length FROM s GROUP BY ALL""",
     "black_runs": f"WITH {_RUNS} SELECT * FROM runs",
     "boundary_union": f"WITH {_RUNS} SELECT user_id, i AS bound FROM ev WHERE event_type = '{CUT}' UNION SELECT user_id, until FROM runs",
+    "shot_bounds": f"WITH {_RUNS} SELECT user_id, i AS bound FROM ev WHERE event_type = '{CUT}' UNION SELECT user_id, until FROM runs",
     "segment_plan": f'WITH RECURSIVE {_PLAN} SELECT user_id, s, e, "left", "right" FROM pl',
     "segment_context_blocks": f"""WITH RECURSIVE {_PLAN} SELECT pl.user_id, s, count(*) AS frames, count(*) FILTER (i >= s AND i < e) AS body, round(sum(value) FILTER (i >= s AND i < e), 4) AS body_value
       FROM pl JOIN ev ON ev.user_id = pl.user_id AND i >= s - "left" AND i < e + "right" GROUP BY pl.user_id, s""",

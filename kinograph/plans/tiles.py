@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinograph.functions.frames import BLUR, SOBEL_X, SOBEL_Y, convolve, neighbourhood, positions
+from kinograph.functions.frames import BLUR, SIDE, SOBEL_X, SOBEL_Y, convolve, neighbourhood, positions
 from kinograph.operators.alpha import LEAST_THROUGH, MIN_CONTRAST, SOLID, matte_alpha, recovered, scaled_means, variance_alpha
 from kinograph.operators.alpha import alpha_bound as bounded
 from kinograph.plans.oracle import PX, WHOLE, mirrored
@@ -14,6 +14,7 @@ from kinograph.sources.tables import frames, pixels
 
 #: The mark's box in the queries, and levels: pixels are mapped to 0..255.
 BOX = "x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5"
+LOW, HIGH = 2, 5
 INK = 255.0
 #: Channels blue, green and red: where in the tile each begins, and (fixed values) their weights in gray.
 CHANNELS, TURNS, GRAY = ("c0", "c1", "c2"), (0, 21, 42), (0.114, 0.587, 0.299)
@@ -144,6 +145,29 @@ def composite_feather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(both.select("t", F.transform("z", lambda z: z["p"] * (1 - z["w"]) + z["b"] * z["w"]).alias("out")), "out").select("t", "y", "x", F.round("out", 6).alias("out"))
 
 
+def border_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box filled from its four borders by distance, softened, and laid over the frame under the feathered box: one pass over a row."""
+
+    def filled(p: Column) -> Column:
+        y, x = F.floor(p / SIDE).cast("int"), p % SIDE
+        ends = [(x - LOW + 1, y * SIDE + LOW - 1), (HIGH - x + 1, y * SIDE + HIGH + 1), (y - LOW + 1, (LOW - 1) * SIDE + x), (HIGH - y + 1, (HIGH + 1) * SIDE + x)]
+        inside = x.between(LOW, HIGH) & y.between(LOW, HIGH)
+        # outside the box any place and distance will do
+        shares = [(1 / F.when(inside, far).otherwise(1), F.col("px")[F.when(inside, at).otherwise(p)]) for far, at in ends]
+        return F.when(inside, sum(w * v for w, v in shares) / sum(w for w, _ in shares)).otherwise(F.col("px")[p])
+
+    clean = frames(spark, sf_dir).select("t", F.transform(positions(), filled).alias("clean"))
+    soft = clean.select("t", "clean", convolve(F.col("clean"), BLUR).alias("soft"))
+    weights = F.array(*[F.lit(v) for row in _feather() for v in row])
+    both = soft.select("t", F.arrays_zip(F.col("clean").alias("c"), F.col("soft").alias("s"), weights.alias("w")).alias("z"))
+    return pixels(both.select("t", F.transform("z", lambda z: z["c"] * (1 - z["w"]) + z["s"] * z["w"]).alias("out")), "out").select("t", "y", "x", F.round("out", 6).alias("out"))
+
+
+def _feather() -> list[list[float]]:
+    """One in the box, half around it."""
+    return [[1.0 if LOW <= min(x, y) and max(x, y) <= HIGH else 0.5 if LOW - 1 <= min(x, y) and max(x, y) <= HIGH + 1 else 0.0 for x in range(SIDE)] for y in range(SIDE)]
+
+
 def dark_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that are dark around the box and too bright in it get the surroundings' median there."""
     level = _levels(spark, sf_dir).select("t", F.floor(F.greatest(*CHANNELS)).alias("c"), F.expr(BOX).alias("hole"))
@@ -154,7 +178,7 @@ def dark_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("t", F.round("p99", 6).alias("p99"), F.round("median", 6).alias("median"), F.col("top").cast("long").alias("top"), guarded.alias("replaced"))
 
 
-QUERIES = {f.__name__: f for f in (gaussian_blur_tile, dilate_tile, close_tile, sobel_locked_energy, alpha_variance_ratio, alpha_matte_fit, alpha_bound, alpha_recover, alpha_scale_sweep, alpha_fit, composite_feather, dark_guard)}
+QUERIES = {f.__name__: f for f in (gaussian_blur_tile, dilate_tile, close_tile, sobel_locked_energy, alpha_variance_ratio, alpha_matte_fit, alpha_bound, alpha_recover, alpha_scale_sweep, alpha_fit, composite_feather, border_removal, dark_guard)}
 
 
 def _conv(kernel, name):
@@ -195,6 +219,11 @@ ORACLES = {
     "composite_feather": f"""WITH s AS (SELECT vec_id AS t, ((i - 1) // 8)::BIGINT AS y, ((i - 1) % 8)::BIGINT AS x, embedding[i]::DOUBLE AS v, {mirrored(BLUR)} AS b FROM embeddings, range(1, 65) r(i) WHERE {WHOLE}),
       w AS (SELECT *, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 THEN 1 WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN 0.5 ELSE 0 END AS w FROM s)
       SELECT t, y, x, round(v * (1 - w) + b * w, 6) AS out FROM w""",
+    "border_removal": f"""WITH {PX}, c AS (SELECT p.t, p.y, p.x, CASE WHEN p.{BOX.replace(' AND y', ' AND p.y')} THEN (l.v / (p.x - {LOW - 1}) + r.v / ({HIGH + 1} - p.x) + u.v / (p.y - {LOW - 1}) + d.v / ({HIGH + 1} - p.y))
+        / (1 / (p.x - {LOW - 1}) + 1 / ({HIGH + 1} - p.x) + 1 / (p.y - {LOW - 1}) + 1 / ({HIGH + 1} - p.y)) ELSE p.v END AS v FROM px p
+        JOIN px l ON l.t = p.t AND l.y = p.y AND l.x = {LOW - 1} JOIN px r ON r.t = p.t AND r.y = p.y AND r.x = {HIGH + 1} JOIN px u ON u.t = p.t AND u.x = p.x AND u.y = {LOW - 1} JOIN px d ON d.t = p.t AND d.x = p.x AND d.y = {HIGH + 1}),
+      e AS (SELECT t, list(v ORDER BY y, x) AS clean FROM c GROUP BY t), s AS (SELECT t, (i - 1) // 8 AS y, (i - 1) % 8 AS x, clean[i] AS v, {mirrored(BLUR, "clean")} AS b FROM e, range(1, 65) q(i))
+      SELECT t, y, x, round(CASE WHEN x BETWEEN {LOW} AND {HIGH} AND y BETWEEN {LOW} AND {HIGH} THEN b WHEN x BETWEEN {LOW - 1} AND {HIGH + 1} AND y BETWEEN {LOW - 1} AND {HIGH + 1} THEN (v + b) / 2 ELSE v END, 6) AS out FROM s""",
     "dark_guard": f"""WITH {_LV}, mx AS (SELECT t, y, x, floor(greatest(c0, c1, c2)) AS c FROM lv),
       g AS (SELECT t, quantile_cont(c, 0.99) FILTER (NOT ({BOX})) AS p99, median(c) FILTER (NOT ({BOX})) AS median, max(c) FILTER ({BOX}) AS top FROM mx GROUP BY t)
       SELECT t, round(p99, 6) AS p99, round(median, 6) AS median, top::BIGINT AS top, p99 <= 170 AND top > greatest(150, median + 8) AS replaced FROM g""",

@@ -19,7 +19,7 @@ from kinograph.operators.quality import medians
 from kinograph.operators.delivery import deliver
 from kinograph.operators.folds import fold_sorted
 from kinograph.operators.repair import REPAIRERS, register, repair, repair_blocks, repairer_of, surroundings
-from kinograph.operators.shots import segments, thinned
+from kinograph.operators.shots import segments, shot_starts, thinned
 from kinograph.streaming.machines import patch_cache, step
 
 
@@ -56,6 +56,14 @@ def test_bounds_are_thinned_greedily(spark):
     assert [(r.s, r.e) for r in plan if r.k in (3, 4)] == [(0, 12), (0, 7)] and [(r.s, r.e) for r in plan if r.k == 6] == [(0, 40)]
 
 
+def test_shot_starts_tell_empty_from_failed(spark):
+    rows = [(1, 0, False, True), (1, 1, False, True), (1, 2, True, False), (1, 3, False, True), (1, 4, True, False), (2, 0, False, False), (3, 0, False, True), (3, 1, False, True)]
+    schema = "k long, t long, cut boolean, black boolean"
+    assert sorted(map(tuple, shot_starts(spark.createDataFrame(rows, schema), "k", ["t"]).collect())) == [(1, 2), (1, 4), (3, 2)]
+    with pytest.raises(Exception, match="clip 4 has no frames"):
+        shot_starts(spark.createDataFrame([*rows, (4, 0, None, None)], schema), "k", ["t"]).collect()
+
+
 def test_segments_keep_context_inside_the_shot(spark):
     bounds, totals = spark.createDataFrame([(1, 0)], "k long, at long"), spark.createDataFrame([(1, 41)], "k long, total long")
     got = segments(bounds, totals, "k", 16, 17, 5).orderBy("s").collect()
