@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinograph.sources.scratch import written
+
 #: Versions of the documents.
 PRESET_VERSION, MANIFEST_VERSION = 1, 1
 PRESET = "version int, box array<double>, dilate_px int, feather_px int, margin_px int"
@@ -71,19 +73,20 @@ def resume_parts(frames: DataFrame, path: str, part_frames: int, fingerprint: st
         text = F.to_json(F.struct(F.lit(MANIFEST_VERSION).alias("version"), F.lit(fingerprint).alias("fingerprint"), F.lit(part_frames).cast("long").alias("part_frames")))
         spark.range(1).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(manifest)
         todo = wanted.select("part")
-    parts = [r.part for r in todo.collect()]  # numbers of parts only
-    if parts:
-        some = placed.where(F.col("part").isin(parts)).repartition("part").sortWithinPartitions("part", "t")
+    todo = written(todo, "todo")  # a row per part, fixed before any of them is replaced
+    count = todo.count()
+    if count:
+        some = placed.join(todo, "part", "left_semi").repartition("part").sortWithinPartitions("part", "t")
         some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    return len(parts)
+    return count
 
 
 def read_whole(spark: SparkSession, path: str, part_frames: int) -> DataFrame:
     """The frames of all parts under ``path``, after proof that parts follow each other without a gap, each full but the last."""
-    odd = part_states(spark, path).withColumn("last_part", F.max("part").over(Window.partitionBy(F.lit(0)))).where(
-        (F.col("first") != F.col("part") * part_frames) | (F.col("last") - F.col("first") + 1 != F.col("counted")) | ((F.col("part") < F.col("last_part")) & (F.col("counted") != part_frames))
-    )
     states = part_states(spark, path).agg(F.count("*").alias("n"), F.max("part").alias("most")).first()
+    odd = part_states(spark, path).where(
+        (F.col("first") != F.col("part") * part_frames) | (F.col("last") - F.col("first") + 1 != F.col("counted")) | ((F.col("part") < F.lit(states.most)) & (F.col("counted") != part_frames))
+    )
     if states.n and states.n != states.most + 1 or not odd.isEmpty():
         raise ValueError(f"the parts under {path} are not contiguous")
     return spark.read.parquet(path).orderBy("t")
