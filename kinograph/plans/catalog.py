@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from kinograph.plans import checks, coverage, entries, geometry, jobs, mosaics, overlay, parts, quality, records, service, shots, streams, tiles
+    from kinograph.plans import checks, coverage, entries, geometry, jobs, mosaics, overlay, parts, quality, records, segments, service, shots, streams, tiles
 
-    return overlay, coverage, tiles, quality, shots, parts, jobs, geometry, streams, records, checks, entries, service, mosaics
+    return overlay, coverage, tiles, quality, shots, parts, jobs, geometry, streams, records, checks, entries, service, mosaics, segments
 
 
 def queries() -> dict:
