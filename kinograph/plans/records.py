@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinograph.plans.jobs import _J, _jobs
-from kinograph.sources.records import MANIFEST, MANIFEST_VERSION, PRESET, PRESET_VERSION, incomplete_parts, parsed, read_parts, write_parts
+from kinograph.sources.records import MANIFEST, MANIFEST_VERSION, PRESET, PRESET_VERSION, incomplete_parts, parsed, read_parts, read_records, write_parts
 from kinograph.sources.scratch import scratch
 from kinograph.sources.tables import frames, table
 
@@ -35,6 +35,15 @@ def record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.from_json("props", "k long").alias("d")).where("d.k IS NOT NULL").select("event_id", "d.k")
 
 
+def records_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of each supplier in a file of its own, read back; files that cannot be read are left out."""
+    path, k = scratch(spark, "records"), F.col("s_suppkey")
+    doc = F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")))
+    files = table(spark, sf_dir, "supplier").select(k.alias("key"), F.when(k % 7 == 0, F.lit("{broken")).otherwise(doc).alias("value"))
+    files.repartition("key").write.partitionBy("key").text(path)
+    return read_records(spark, path, "name string, nation long").select(F.col("key").cast("long").alias("key"), "name", "nation")
+
+
 def probe_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream data with its fallbacks: rate, then average rate; stream, then container duration; frames, then their product."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("s"))
@@ -137,7 +146,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("job", F.get_json_object(text, "$.outcome").alias("outcome"), F.get_json_object(text, "$.coverage.ok").alias("ok"), F.get_json_object(text, "$.coverage").isNull().alias("absent"))
 
 
-QUERIES = {f.__name__: f for f in (preset_documents, manifest_resume, record_scan, probe_metadata, parse_uri, list_objects, newest_open_upload, first_report, log_tail, notification_text, status_public, parts_round_trip, upload_resume_match, report_json)}
+QUERIES = {f.__name__: f for f in (preset_documents, manifest_resume, record_scan, records_read, probe_metadata, parse_uri, list_objects, newest_open_upload, first_report, log_tail, notification_text, status_public, parts_round_trip, upload_resume_match, report_json)}
 
 _URI = """u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'r2://' WHEN 1 THEN 's3://' ELSE '' END || regexp_replace(url, '^https?://', '') AS uri FROM pages),
   k AS (SELECT page_id, CASE WHEN page_id % 3 < 2 THEN regexp_extract(uri, '^(?:r2|s3)://([^/]*)', 1) END AS bucket,
@@ -146,6 +155,7 @@ ORACLES = {
     "preset_documents": """SELECT p_partkey, p_partkey % 7 > 1 AS readable, CASE WHEN p_partkey % 7 > 1 THEN p_size::BIGINT END AS dilate, CASE WHEN p_partkey % 7 > 1 THEN round(p_size / 100, 4) END AS x FROM part""",
     "manifest_resume": """SELECT o_orderkey, o_orderpriority IS NOT DISTINCT FROM CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN '5-LOW' END AS resumes, o_custkey AS cut FROM orders""",
     "record_scan": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id % 9 <> 0",
+    "records_read": "SELECT s_suppkey AS key, s_name AS name, s_nationkey::BIGINT AS nation FROM supplier WHERE s_suppkey % 7 <> 0",
     "probe_metadata": """WITH p AS (SELECT p_partkey, p_size::BIGINT AS s, CASE WHEN p_partkey % 4 <> 0 AND p_size > 0 THEN p_size::BIGINT * 1000 WHEN p_partkey % 8 <> 0 THEN 30000 END AS n FROM part),
       d AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN s * 1.5 ELSE s * 2.0 END::DOUBLE AS duration FROM p WHERE n IS NOT NULL)
       SELECT p_partkey, n AS fps_num, 1001::BIGINT AS fps_den, duration, CASE WHEN p_partkey % 5 = 0 THEN s ELSE round(duration * n / 1001)::BIGINT END AS nframes FROM d""",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinograph.functions.signing import hmac_sha256
-from kinograph.operators.delivery import MAX_ATTEMPTS
+from kinograph.operators.delivery import MAX_ATTEMPTS, deliver
 from kinograph.operators.folds import fold_sorted
 from kinograph.operators.repair import repair_blocks
 from kinograph.plans.jobs import _J, _jobs
@@ -135,6 +135,24 @@ def delivery_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("waited", (F.pow(F.lit(2), F.col("attempts") - 1) - 1).cast("long"))
 
 
+class _Replay:
+    """A receiver that gives each message the answers that its body lists, the last one again when they are out."""
+
+    def __init__(self):
+        self.calls = {}
+
+    def __call__(self, name: int, body: str) -> int:
+        answers = body.split(",")
+        k = self.calls[name] = self.calls.get(name, -1) + 1
+        return int(answers[min(k, len(answers) - 1)])
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages sent by the tasks that hold them, to a receiver that replays recorded answers: attempts, and whether they landed."""
+    messages = _answers(spark, sf_dir).select(F.col("key").alias("id"), F.array_join(F.col("statuses").cast("array<string>"), ",").alias("body"))
+    return deliver(messages, _Replay(), wait=lambda seconds: None).select(F.col("id").alias("key"), "attempts", "delivered")
+
+
 def progress_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes done of each order by its ordered deltas; a repeated attempt takes its bytes back, never below none."""
     n = F.floor("l_extendedprice").cast("long")
@@ -194,7 +212,7 @@ def repair_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(done, "px").select("t", "y", "x", F.round("px", 6).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (options_argv, merged_knobs, data_uri, full_report, aborted_uploads, delivery_attempts, progress_deltas, heartbeat_echo, webhook_verified, parts_resumed, repair_in_context)}
+QUERIES = {f.__name__: f for f in (options_argv, merged_knobs, data_uri, full_report, aborted_uploads, delivery_attempts, deliveries, progress_deltas, heartbeat_echo, webhook_verified, parts_resumed, repair_in_context)}
 
 _FLAGS = ", ".join(f"({i}, '{n}', '{f}', {'true' if n in VALUE_FLAGS else 'false'})" for i, (n, f) in enumerate({**VALUE_FLAGS, **NEGATIVE_FLAGS}.items()))
 _LINES = "ln AS (SELECT l_orderkey AS key, l_linenumber AS i, min({value}) AS v FROM lineitem GROUP BY l_orderkey, l_linenumber)"
@@ -225,6 +243,9 @@ ORACLES = {
     "delivery_attempts": f"""WITH {_LINES.format(value=_ANSWER)}, nr AS (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY i) AS n FROM ln),
       st AS (SELECT key, least(coalesce(min(n) FILTER ({_FINAL}), max(n)), {MAX_ATTEMPTS}) AS attempts FROM nr GROUP BY key)
       SELECT key, attempts, v < 300 AS delivered, (2 ** (attempts - 1) - 1)::BIGINT AS waited FROM st JOIN nr USING (key) WHERE n = attempts""",
+    "deliveries": f"""WITH {_LINES.format(value=_ANSWER)}, nr AS (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY i) AS n FROM ln),
+      st AS (SELECT key, min(n) FILTER ({_FINAL} AND n <= {MAX_ATTEMPTS}) AS n FROM nr GROUP BY key)
+      SELECT st.key, coalesce(st.n, {MAX_ATTEMPTS}) AS attempts, coalesce(v < 300, false) AS delivered FROM st LEFT JOIN nr ON nr.key = st.key AND nr.n = st.n""",
     "progress_deltas": f"""WITH RECURSIVE {_LINES.format(value="CASE WHEN l_returnflag = 'R' THEN -floor(l_extendedprice) ELSE floor(l_extendedprice) END::BIGINT")}, nr AS (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY i) AS n FROM ln),
       fo AS (SELECT key, n, greatest(v, 0) AS done, greatest(v, 0) AS most FROM nr WHERE n = 1 UNION ALL
         SELECT nr.key, nr.n, greatest(fo.done + nr.v, 0), greatest(fo.most, fo.done + nr.v) FROM fo JOIN nr ON nr.key = fo.key AND nr.n = fo.n + 1)
