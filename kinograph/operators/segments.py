@@ -110,7 +110,11 @@ def drive(frames: DataFrame, cuts: DataFrame, mask: np.ndarray, path: str, setti
     todo = written(missing.select("clip", "part", "expected", wave.alias("wave")), "todo")
     report = {"segments": 0, "frames": 0, "halved": 0, "parts": todo.count(), "waves": 0}
     for number in sorted(r.wave for r in todo.select("wave").distinct().collect()):
-        done = _wave(frames, plan, todo.where(F.col("wave") == number).drop("wave"), repairer, mask, size)
+        some = frames
+        if stride:  # bodies that reach into these parts, with their context: a range that the scan can prune by
+            reach = settings.segment + settings.overlap
+            some = frames.where(F.col("i").between(number * stride * size - reach, (number + 1) * stride * size + reach))
+        done = _wave(some, plan, todo.where(F.col("wave") == number).drop("wave"), repairer, mask, size)
         seen = Observation()
         counted = done.observe(seen, F.count("*").alias("frames"), F.count_if("head").alias("segments"), F.count_if(F.col("halved") > 0).alias("halved"))
         write_container(counted.select("clip", "part", "i", "px", "expected"), path, size)
