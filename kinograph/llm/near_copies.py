@@ -1,11 +1,11 @@
 """SimHash near-dedup for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with equal folded words are one class before any comparison. Candidates come from two searches. Classes whose
-SimHash over the same shingles differs in 3 bits or fewer meet in the covering tables of ``simhash``. But a pair at 0.8 differs
-in about 10 bits, for which no covering family of 64 bits is small enough to be of use; so all pairs are looked
-for by MinHash too: 24 bands of 4 hashes each, so that a pair at 0.8 shares none with a chance of 3e-6, and one
-that is more alike with less. Each candidate is then compared by its whole sets, so that what is linked is similar
-by count and not by estimate.
+Texts with equal folded words are one class before any comparison. SimHash over the same shingles comes first: classes that
+differ in 3 bits or fewer meet in the covering tables of ``simhash``, and those that are near copies by their whole sets form
+groups. But a pair at 0.8 differs in about 10 bits, for which no covering family of 64 bits is small enough to be of use; so
+MinHash looks for what is near between these groups: 24 bands of 4 hashes each, so that a pair at 0.8 shares none with a chance
+of 3e-6, and one that is more alike with less. Buckets and pairs within one group are left out before any text is read
+for them. Each other candidate is compared by its whole sets, so that what is linked is similar by count and not by estimate.
 In a bucket of at most ``direct`` classes all pairs of fitting sizes are compared. In a larger one each is
 compared with the smallest; where that leaves more than one component, its members are dealt into blocks, and a search
 from class to class over the sets of each two blocks gives the links, so that no task holds more than two blocks.
@@ -107,19 +107,8 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*edges, strict=True)) or [(), ()])], ["a", "b"])
 
 
-def links(docs: DataFrame, signatures: DataFrame, direct: int = 16) -> DataFrame:
-    """Edges (a, b) between classes (``copy``) that join all near copies."""
-    keys = signatures.select("copy", "n", F.explode("keys").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("copy").alias("head"), F.min(F.struct("copy", "n"))["n"].alias("head_n")).where("m > 1")
-    members = materialize(keys.join(shared, "key"), "members")
-    fits = "5 * least(n, head_n) >= 4 * greatest(n, head_n)"
-    small = members.where(f"m <= {direct}").select("key", "copy", "n")
-    other = small.select("key", F.col("copy").alias("head"), F.col("n").alias("head_n"))
-    near = small.join(other, "key").where(f"copy > head AND {fits}").select(F.col("head").alias("a"), F.col("copy").alias("b"))
-    star = members.where(f"m > {direct} AND copy <> head AND {fits}").select(F.col("head").alias("a"), F.col("copy").alias("b"))
-    pairs = materialize(near.unionByName(star).unionByName(_close(signatures)).distinct(), "pairs")
-    large = members.where(f"m > {direct}").select("copy")
-    wanted = pairs.select(F.col("a").alias("copy")).unionByName(pairs.select(F.col("b").alias("copy"))).unionByName(large).distinct()
+def _sets_of(docs: DataFrame, signatures: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(copy, words): the sets of the classes ``wanted`` (copy), each from one of its rows."""
     rows = materialize(signatures.join(wanted, "copy").groupBy("copy").agg(F.min("row").alias("row")).select("row"), "rows")
     texts = keyed(docs.select("doc_id", "text"))
     if rows.count() <= BROADCAST_KEYS:
@@ -128,9 +117,39 @@ def links(docs: DataFrame, signatures: DataFrame, direct: int = 16) -> DataFrame
         _, texts = split_rows(texts, "row", rows)
         texts = texts.join(rows.hint("merge"), "row", "left_semi")
     texts = texts.groupBy("row").agg(F.first(F.col("doc.text").cast("string")).alias("text"))
-    sets = materialize(map_arrow(texts.select("text"), _sets, "copy long, words binary"), "sets")
+    return materialize(map_arrow(texts.select("text"), _sets, "copy long, words binary"), "sets")
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are near copies by their whole sets."""
     both = pairs.join(sets.select(F.col("copy").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("copy").alias("b"), F.col("words").alias("y")), "b")
-    edges = materialize(map_arrow(both, _compare, "a long, b long"), "near")
+    return materialize(map_arrow(both, _compare, "a long, b long"), "near")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("copy")).unionByName(pairs.select(F.col("b").alias("copy")))
+
+
+def links(docs: DataFrame, signatures: DataFrame, direct: int = 16) -> DataFrame:
+    """Edges (a, b) between classes (``copy``) that join all near copies."""
+    close = materialize(_close(signatures).distinct(), "close")
+    first = _near(close, _sets_of(docs, signatures, _ends(close).distinct()))
+    groups = materialize(connected_components(first).select(F.col("node").alias("copy"), F.col("root").alias("group")), "groups")
+    grouped = signatures.select("copy", "n", "keys").join(groups, "copy", "left").withColumn("group", F.coalesce("group", "copy"))
+    keys = grouped.select("copy", "n", "group", F.explode("keys").alias("key")).distinct()
+    # a bucket whose classes SimHash has joined already has nothing left to find
+    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("copy", "n", "group")).alias("head"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    shared = shared.select("key", "m", F.col("head.copy").alias("head"), F.col("head.n").alias("head_n"), F.col("head.group").alias("head_group"))
+    members = materialize(keys.join(shared, "key"), "members")
+    fits = "group <> head_group AND 5 * least(n, head_n) >= 4 * greatest(n, head_n)"
+    small = members.where(f"m <= {direct}").select("key", "copy", "n", "group")
+    other = small.select("key", F.col("copy").alias("head"), F.col("n").alias("head_n"), F.col("group").alias("head_group"))
+    near = small.join(other, "key").where(f"copy > head AND {fits}").select(F.col("head").alias("a"), F.col("copy").alias("b"))
+    star = members.where(f"m > {direct} AND copy <> head AND {fits}").select(F.col("head").alias("a"), F.col("copy").alias("b"))
+    pairs = materialize(near.unionByName(star).distinct(), "pairs")
+    large = members.where(f"m > {direct}").select("copy")
+    sets = _sets_of(docs, signatures, _ends(pairs).unionByName(large).distinct())
+    edges = first.unionByName(_near(pairs, sets))
     if large.isEmpty():
         return edges
     roots = connected_components(edges).withColumnRenamed("node", "copy")

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from kinograph.llm import near_copies as module
 from kinograph.llm.near_copies import keep_one, near_copies
 from tests_llm_common import components
 
@@ -50,3 +51,26 @@ def test_pipeline_drops_copies_with_a_word_changed(spark):
         docs = stage(spark, docs, None).cache()
     ids = sorted(r.doc_id for r in docs.collect())
     assert ids == [i for i, t in enumerate(texts)]
+
+
+def test_what_simhash_joins_is_not_searched_again(spark, monkeypatch):
+    rng, seen = random.Random(6), {}
+
+    def kept(df, label, plain=module.materialize):
+        seen[label] = plain(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(module, "materialize", kept)
+    base = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(4000))
+    rows = [(i, f"{base} tail{i}") for i in range(8)] + [(10 + i, " ".join(f"v{rng.randint(0, 9999)}" for _ in range(30))) for i in range(8)]
+    docs = spark.createDataFrame([*rows, (20, rows[9][1] + " end")], "doc_id long, text string")
+    got = []
+    for direct in (16, 2):
+        roots = {r.doc_id: r.root for r in near_copies(docs, direct).collect()}
+        assert len({roots[i] for i in range(8)}) == 1 and len(set(roots.values())) == 9
+        got.append(seen["pairs"].count())
+    monkeypatch.setattr(module, "_close", lambda signatures: spark.range(0).selectExpr("id AS a", "id AS b"))
+    for direct, n in zip((16, 2), got, strict=True):
+        roots = {r.doc_id: r.root for r in near_copies(docs, direct).collect()}
+        assert len({roots[i] for i in range(8)}) == 1 and len(set(roots.values())) == 9
+        assert n <= 1 < seen["pairs"].count()
