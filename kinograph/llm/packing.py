@@ -18,16 +18,14 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinograph.llm import simhash
-from kinograph.llm.common import LOWER, map_arrow, materialize, row_key, slices, strings
+from kinograph.llm.common import LOWER, SPACES, map_arrow, materialize, row_key, slices, strings
 from kinograph.llm.components import connected_components
 from kinograph.llm.token_counts import Counter
 
@@ -36,7 +34,6 @@ CAPACITY = 4096
 SHARD = 4096
 #: Equal rows that are numbered in one task.
 _COPIES = 1 << 16
-_MEMO = 300_000
 
 
 class Bins:
@@ -100,23 +97,57 @@ def pack(items: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
 
 
 _MIX = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-
-
-def fingerprint(words: list[bytes], memo: dict) -> int | None:
-    """SimHash of the three-word shingles (of a shorter text as a whole) over hashes of words; None without words."""
-    if not words:
-        return None
-    if len(memo) > _MEMO:
-        memo.clear()
-    h = np.fromiter(map(memo.get, words, repeat(0)), np.uint64, len(words))
-    for i in np.flatnonzero(h == 0).tolist():
-        h[i] = memo[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    size = min(3, len(h))
-    mixed = np.zeros(len(h) - size + 1, np.uint64)
-    for k in range(size):
-        mixed = (mixed ^ h[k : len(h) - size + 1 + k]) * _MIX[k]
-        mixed ^= mixed >> np.uint64(32)
-    return simhash.majority(mixed)
+_FACTOR = np.uint64(0x9FB21C651E98DF25)
+#: Bytes whose words are hashed at once, about.
+_BLOCK = 1 << 17
+_BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, how many each text has): polynomials in their bytes, made for many at once."""
+    data = np.frombuffer(b" ".join(texts).translate(LOWER), np.uint8)
+    space, begin = _SPACE[data], 0
+    found, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    while begin < len(data):
+        end = begin + _BLOCK
+        if end < len(data):  # blocks end at a space
+            end += int(np.argmax(space[end:]))
+        if end >= len(data) or not space[end]:
+            end = len(data)
+        inside = np.concatenate([[False], ~space[begin:end], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        if len(starts):
+            powers = np.cumprod(np.append(np.uint64(1), np.full(int(sizes.max()) - 1, _FACTOR, np.uint64)))
+            firsts = np.cumsum(sizes) - sizes
+            place = np.arange(sizes.sum()) - np.repeat(firsts, sizes)
+            h = np.add.reduceat(_BYTES[data[begin:end][inside[1:-1]]] * powers[place], firsts)
+            found.append(starts + begin)
+            hashes.append(h ^ (h >> np.uint64(32)))
+        begin = end
+    lasts = np.cumsum([len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(found), lasts), prepend=0)
+
+
+def fingerprints(texts: list[bytes | None]) -> list[int | None]:
+    """SimHash of each text's three-word shingles (of a shorter text as a whole) over hashes of words; None without words."""
+    hashes, counts = word_hashes([t or b"" for t in texts])
+    out: list = []
+    for n, end in zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True):
+        h, size = hashes[end - n : end], min(3, n)
+        mixed = np.zeros(n - size + 1, np.uint64)
+        for k in range(size):
+            mixed = (mixed ^ h[k : n - size + 1 + k]) * _MIX[k]
+            mixed ^= mixed >> np.uint64(32)
+        out.append(simhash.majority(mixed) if n else None)
+    return out
+
+
+def fingerprint(words: list[bytes], memo: dict | None = None) -> int | None:
+    """The fingerprint of one text, from its words."""
+    return fingerprints([b" ".join(words)])[0]
 
 
 def measure(docs: DataFrame, vocabulary: tuple) -> DataFrame:
@@ -124,10 +155,9 @@ def measure(docs: DataFrame, vocabulary: tuple) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Counter(vocabulary))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
         for batch in slices(batches, "text", 2 << 20):
             tokens = [n + 1 for n in shared.value.texts(batch.column("text").to_pylist())]
-            prints = [fingerprint((t or b"").translate(LOWER).split(), memo) for t in strings(batch.column("text"))]
+            prints = fingerprints(strings(batch.column("text")))
             signed = [None if p is None else p - (1 << 64) if p >> 63 else p for p in prints]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "source")], pa.array(signed, pa.int64()), pa.array(tokens, pa.int64())], ["row", "doc_id", "source", "fp", "tokens"])
 

@@ -94,3 +94,16 @@ def test_copies_of_one_row_are_numbered_in_parts(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b", "s")] * 50 + [(2, "c", None)], "doc_id long, text string, source string")
     got = pack_documents(df, load_vocabulary(), 64, 8).collect()
     assert Counter(r.doc_id for r in got) == {1: 50, 2: 1} and len({r.bin_id for r in got if r.doc_id == 1}) == 50
+
+
+def test_words_are_hashed_many_at_a_time(monkeypatch):
+    texts = [b"a B\tc\x0bd\n e  f", None, b"", b" ", b"A  b C d", "\u00fc  zz".encode(), b"x" * 1000 + b" y", b"q"]
+    words = [w for t in texts for w in (t or b"").lower().split()]
+    one = [int(packing.word_hashes([w])[0][0]) for w in words]
+    assert len(set(one)) == len(set(words))
+    for block in (1, 7, 1 << 17):
+        monkeypatch.setattr(packing, "_BLOCK", block)
+        hashes, counts = packing.word_hashes([t or b"" for t in texts])
+        assert hashes.tolist() == one and counts.tolist() == [len((t or b"").split()) for t in texts]
+        assert packing.fingerprints(texts) == [fingerprint((t or b"").lower().split(), {}) for t in texts]
+    assert packing.fingerprints([]) == [] and packing.word_hashes([b""])[1].tolist() == [0]
