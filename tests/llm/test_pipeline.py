@@ -141,3 +141,20 @@ def test_long_lists_of_rows_shuffle_no_other_texts(spark, monkeypatch):
     few = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words stand here now"), (None, None)], "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in stage(spark, few, SF).collect()) == [0, 1, 3]
     assert stage(spark, few, SF).agg(F.count("*")).first()[0] == 3
+
+
+def test_a_worker_gives_back_the_memory_of_a_task():
+    from kinograph.llm import common
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    pins = []
+
+    def function(batches):
+        for _ in batches:
+            parts = [bytearray(60_000) for _ in range(4000)]  # too small to be mapped each by itself
+            pins.append(parts[-1])
+            yield held()
+
+    before = held()
+    (full,) = common.released(function)(iter([None]))
+    assert full - before > 150e6 and held() - before < 50e6
