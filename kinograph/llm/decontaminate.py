@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import map_arrow, materialize, row_key, slices, strings
+from kinograph.llm.common import LONG_ROWS, expanded, map_arrow, materialize, row_key, slices, squeezed, strings
 
 WINDOW = 10
 #: Characters of benchmark text that one block holds, so that its windows fit in any task.
@@ -38,7 +38,9 @@ BLOCK_CHARS = 2 << 20
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _MEMO = 200_000
 
-_INDEX = "segment long, gap int, starts array<int>, doc_ids array<long>, rows array<long>, terms array<long>, ends array<int>, positions array<int>"
+#: The lists of a segment are binary values, which cost Parquet's reader their bytes; of arrays it holds two levels for each element of a file.
+_LISTS = {"starts": np.int32, "doc_ids": np.int64, "known": np.bool_, "rows": np.int64, "terms": np.int64, "ends": np.int32, "positions": np.int32}
+_INDEX = f"segment long, gap int, {', '.join(f'{c} binary' for c in _LISTS)}"
 _MATCHES = "array<struct<item_id:long,begin:int,end:int,exact:boolean>>"
 _FOUND = f"segment long, doc int, doc_id long, row long, n_words long, matches {_MATCHES}"
 _MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("exact", pa.bool_())]))
@@ -76,13 +78,19 @@ def build_index(docs: DataFrame, slop: int = 0) -> DataFrame:
             order = np.argsort(terms, kind="stable")
             terms = terms[order]
             ends = np.append(np.flatnonzero(np.diff(terms)) + 1, len(terms)) if len(terms) else np.empty(0, np.int64)
-            row = [[number], [gap], [starts], [batch.column("doc_id").to_pylist()], [batch.column("row").to_pylist()], [terms[ends - 1]], [ends], [positions[order]]]
-            types = [pa.int64(), pa.int32(), *[pa.list_(t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], ["segment", "gap", "starts", "doc_ids", "rows", "terms", "ends", "positions"])
+            ids, rows = batch.column("doc_id"), batch.column("row").to_numpy(zero_copy_only=False)
+            lists = [starts, ids.fill_null(0), ids.is_valid(), rows, terms[ends - 1], ends, positions[order]]
+            packed = [pa.array([squeezed(np.asarray(x).astype(t))], pa.binary()) for x, t in zip(lists, _LISTS.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([gap], pa.int32()), *packed], ["segment", "gap", *_LISTS])
             number += 1
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("row"))
-    return materialize(map_arrow(rows, segments, _INDEX), "index")
+    return materialize(map_arrow(rows, segments, _INDEX), "index", LONG_ROWS)
+
+
+def _unpacked(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+    """The list ``name`` of the segment in row ``i``."""
+    return expanded(batch.column(name)[i], _LISTS[name])
 
 
 def windows_of(items: list[tuple], size: int = WINDOW) -> dict[tuple, set]:
@@ -124,7 +132,7 @@ def _occurrences(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
         total = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                terms, ends = (batch.column(c)[i].values.to_numpy() for c in ("terms", "ends"))
+                terms, ends = _unpacked(batch, "terms", i), _unpacked(batch, "ends", i)
                 at = np.minimum(np.searchsorted(terms, shared.value), len(terms) - 1)
                 if len(terms):
                     total += np.where(terms[at] == shared.value, np.diff(ends, prepend=0)[at], 0)
@@ -178,7 +186,7 @@ def search(index: DataFrame, windows: dict[tuple, set], slop: int = 0, every: bo
         rarest, groups = plan.value
         for batch in batches:
             for i in range(batch.num_rows):
-                at = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                at = lambda name: _unpacked(batch, name, i)  # noqa: B023, E731
                 starts, gap, terms = at("starts"), batch.column("gap")[i].as_py(), at("terms")
                 lists, here = {}, []
                 if len(terms):
@@ -193,7 +201,8 @@ def search(index: DataFrame, windows: dict[tuple, set], slop: int = 0, every: bo
                 docs = range(len(starts) - 1) if every else sorted(matches)
                 if docs:
                     take = pa.array(docs, pa.int32())
-                    columns = [pa.array([batch.column("segment")[i].as_py()] * len(docs), pa.int64()), take, batch.column("doc_ids")[i].values.take(take), batch.column("rows")[i].values.take(take), pa.array((np.diff(starts) - gap).astype(np.int64)).take(take), pa.array([matches.get(d, []) for d in docs], _MATCH_TYPE)]
+                    ids = pa.array(at("doc_ids"), mask=~at("known"))
+                    columns = [pa.array([batch.column("segment")[i].as_py()] * len(docs), pa.int64()), take, ids.take(take), pa.array(at("rows")).take(take), pa.array((np.diff(starts) - gap).astype(np.int64)).take(take), pa.array([matches.get(d, []) for d in docs], _MATCH_TYPE)]
                     yield pa.RecordBatch.from_arrays(columns, ["segment", "doc", "doc_id", "row", "n_words", "matches"])
 
     return map_arrow(index, find, _FOUND)

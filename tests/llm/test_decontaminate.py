@@ -1,8 +1,11 @@
+import glob
 import random
 import re
 
-from kinograph.llm.decontaminate import find_contamination, hit_words
+import pyarrow.parquet as pq
+from kinograph.llm.decontaminate import build_index, find_contamination, hit_words
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def words(t):
@@ -104,3 +107,14 @@ def test_a_near_match_before_its_document_is_its_own(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a")]) == []
     assert [r[2] for r in run(spark, [(1, "a")], [])] == [0]
+
+
+def test_memory_of_the_index_does_not_grow_with_a_task(spark):
+    text = "concat_ws(' ', transform(sequence(1, 100000), x -> hex(hash(id, x))))"
+    docs = spark.range(0, 20, 1, 1).selectExpr("id AS doc_id", f"{text} AS text")  # 18 MB of text in one task
+    index = build_index(docs)
+    assert not [f.name for f in index.schema if isinstance(f.dataType, ArrayType)]  # Spark's reader holds levels of all elements of a file's arrays
+    (file,) = glob.glob(f"{index.scratch.removeprefix('file://')}/*.parquet")
+    told = pq.ParquetFile(file).metadata
+    sizes = [told.row_group(k).total_byte_size for k in range(told.num_row_groups)]
+    assert told.num_rows >= 4 and max(sizes) < 24 << 20 and len(sizes) >= told.num_rows // 2
