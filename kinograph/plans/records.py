@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinograph.plans.jobs import _J, _jobs
-from kinograph.sources.records import MANIFEST, MANIFEST_VERSION, PRESET, PRESET_VERSION, incomplete_parts, parsed, read_parts, read_records, write_parts
+from kinograph.sources.records import MANIFEST, MANIFEST_VERSION, PRESET, PRESET_VERSION, incomplete_parts, parsed, read_parts, read_records, write_parts, write_records
 from kinograph.sources.scratch import scratch
 from kinograph.sources.tables import frames, table
 
@@ -39,9 +39,10 @@ def records_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document of each supplier in a file of its own, read back; files that cannot be read are left out."""
     path, k = scratch(spark, "records"), F.col("s_suppkey")
     doc = F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")))
-    files = table(spark, sf_dir, "supplier").select(k.alias("key"), F.when(k % 7 == 0, F.lit("{broken")).otherwise(doc).alias("value"))
-    files.repartition("key").write.partitionBy("key").text(path)
-    return read_records(spark, path, "name string, nation long").select(F.col("key").cast("long").alias("key"), "name", "nation")
+    files = table(spark, sf_dir, "supplier").select(F.coalesce(k.cast("string"), F.lit("none")).alias("name"), F.when(k % 7 != 0, doc).otherwise(F.lit("{broken")).alias("value"))
+    write_records(files, path)
+    back = read_records(spark, path, "name string, nation long", "file_name")
+    return back.select(F.regexp_extract("file_name", r"^(-?\d+)", 1).cast("long").alias("key"), "name", "nation")
 
 
 def probe_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

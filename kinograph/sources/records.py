@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +18,8 @@ from kinograph.sources.scratch import written
 #: Versions of the documents.
 PRESET_VERSION, MANIFEST_VERSION = 1, 1
 PRESET = "version int, box array<double>, dilate_px int, feather_px int, margin_px int"
+#: Folders that records lie in, tasks that write them for each core, and files that are in memory at once.
+FOLDERS, TASKS, AT_ONCE = 1024, 4, 256
 MANIFEST = "version int, fingerprint string, cuts array<long>, frames long, part_frames long"
 
 
@@ -19,10 +29,88 @@ def parsed(text: Column, schema: str, version: int) -> Column:
     return F.when(doc["version"] == version, doc)
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document per file; unreadable ones are left out, the rest sorted by file name."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name")).orderBy("file_name").drop("file_name")
+def write_records(records: DataFrame, path: str) -> int:
+    """A file for each row of ``records`` (name, value) under ``path``; how many were written.
+
+    Tasks write files, each under another name first, so that it is there whole or not at all; a task that is run again writes the same ones. Rows that
+    share a name are numbered. Files lie in ``FOLDERS`` folders, so that none gets too long to list.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(path)
+        made, last, again = set(), None, 0
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if not name or name[0] in "._" or "/" in name:
+                    raise ValueError(f"{name!r} is no name for a file")
+                last, again = name, again + 1 if name == last else 0
+                folder = f"{base}/{zlib.crc32(name.encode()) % FOLDERS}"
+                if folder not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
+                staged = f"{folder}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(staged) as file:
+                    file.write((value or "").encode())
+                files.move(staged, f"{folder}/{name}{f'-{again}' if again else ''}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    tasks = records.sparkSession.sparkContext.defaultParallelism * TASKS
+    dealt = records.select(F.col("name").cast("string"), F.col("value").cast("string")).repartition(tasks, "name").sortWithinPartitions("name", "value")
+    return dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def record_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, text) of every file under ``path``, by name; hidden ones are left out, a text that is in no encoding of JSON is null."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = re.sub("^file:/(?!/)", "file:///", where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString())
+
+    def decoded(names: list[str], contents: list[bytes]) -> pa.RecordBatch:
+        texts = []
+        for content in contents:
+            try:
+                texts.append(content.decode(json.detect_encoding(content)))
+            except UnicodeDecodeError:
+                texts.append(None)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["file_name", "text"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield decoded(batch.column("file_name").to_pylist(), batch.column("content").to_pylist())
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                paths, contents = batch.column("path")[at : at + AT_ONCE].to_pylist(), []
+                for one in paths:
+                    with files.open_input_stream(one) as file:
+                        contents.append(file.read())
+                yield decoded([p.rsplit("/", 1)[-1] for p in paths], contents)
+
+    try:
+        files, base = fs.FileSystem.from_uri(uri)
+    except (ValueError, OSError):  # a store that only Spark opens
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return whole.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content").orderBy("file_name").mapInArrow(told, "file_name string, text string")
+    hidden = lambda p: any(x[0] in "._" for x in p[len(base) :].split("/") if x)
+    of = files.get_file_info(base)
+    within = [of] if of.is_file else files.get_file_info(fs.FileSelector(base, recursive=True))
+    found = sorted((f.path.rsplit("/", 1)[-1], f.path) for f in within if f.is_file and not hidden(f.path))
+    listed = spark.createDataFrame(pa.table({"path": pa.array([p for _, p in found], pa.string())}))
+    return listed.mapInArrow(opened, "file_name string, text string")
+
+
+def read_records(spark: SparkSession, path: str, schema: str, name: str | None = None) -> DataFrame:
+    """One JSON document per file; unreadable ones are left out, the rest sorted by file name, which is kept as ``name``.
+
+    The driver lists the files; tasks read many each, in order, so that nothing is sorted again.
+    """
+    text = F.col("text")
+    documents = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))  # or more in an array
+    doc = F.from_json("document", f"{schema}, _unread string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    rows = record_texts(spark, path).where("text IS NOT NULL").select("file_name", F.explode(documents).alias("document")).select("file_name", doc.alias("doc"))
+    rows = rows.where("doc IS NOT NULL AND doc._unread IS NULL").select("file_name", "doc.*").drop("_unread")
+    return rows.withColumnRenamed("file_name", name) if name else rows.drop("file_name")
 
 
 def write_parts(frames: DataFrame, path: str, part_frames: int, parts: int) -> None:
