@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinograph.operators.repair import Repairer, repairer_of
 from kinograph.operators.shots import segments, thinned
-from kinograph.sources.containers import container_states, read_container, write_container
+from kinograph.sources.containers import Staging, container_states, read_container, write_container
 from kinograph.sources.records import MANIFEST, MANIFEST_VERSION, parsed
 from kinograph.sources.scratch import written
 
@@ -94,9 +96,10 @@ def drive(frames: DataFrame, cuts: DataFrame, mask: np.ndarray, path: str, setti
     """Repair ``frames`` (clip, i, px) under ``mask`` into parts under ``path``; what was done: segments, frames, halved (frames of halved blocks), parts, waves.
 
     ``i`` counts a clip's frames from 0; ``cuts`` (clip, i) are where shots begin. Parts that are whole already stay, if the manifest tells of the same settings; a
-    segment of which a frame is missing is repaired as a whole, since it is reproducible only so. With ``stride``, that many parts of every clip are
-    committed at a time, and a run that breaks off keeps the waves before; without, all at once. At the end all parts are proven to join.
-    A null clip is refused, an empty table gives no parts.
+    segment of which a frame is missing is repaired as a whole, since it is reproducible only so. With ``stride``, that many parts of a clip are
+    committed at a time, by the tasks that repair them, in the order of these waves; a run that breaks off keeps what was committed. Without, all are committed at once.
+    A task ends at the first failure of a repair (tried again as often as Spark tries tasks) and the others go on, so that what can be done is; then the failure of
+    the earliest wave is raised. At the end all parts are proven to join. A null clip is refused, an empty table gives no parts.
     """
     spark, size, repairer = frames.sparkSession, settings.part_frames, repairer_of(settings.repairer)
     if not frames.where("clip IS NULL").isEmpty():
@@ -104,27 +107,116 @@ def drive(frames: DataFrame, cuts: DataFrame, mask: np.ndarray, path: str, setti
     _manifest(spark, path, settings, mask)
     plan = written(planned(frames, cuts, settings), "plan")
     wanted = plan.select("clip", "total").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / size))))
-    wanted = wanted.select("clip", "part", F.least(F.lit(size), F.col("total") - F.col("part") * size).alias("expected"))
+    wanted = wanted.select("clip", "part", F.least(F.lit(size), F.col("total") - F.col("part") * size).cast("long").alias("expected"))
     missing = wanted.join(container_states(spark, path), ["clip", "part"], "left").where("frames IS NULL OR frames <> expected")
     wave = F.floor(F.col("part") / stride) if stride else F.lit(0).cast("long")
-    todo = written(missing.select("clip", "part", "expected", wave.alias("wave")), "todo")
-    report = {"segments": 0, "frames": 0, "halved": 0, "parts": todo.count(), "waves": 0}
-    for number in sorted(r.wave for r in todo.select("wave").distinct().collect()):
-        some = frames
-        if stride:  # bodies that reach into these parts, with their context: a range that the scan can prune by
-            reach = settings.segment + settings.overlap
-            some = frames.where(F.col("i").between(number * stride * size - reach, (number + 1) * stride * size + reach))
-        done = _wave(some, plan, todo.where(F.col("wave") == number).drop("wave"), repairer, mask, size)
+    todo = written(missing.select("clip", "part", "expected", F.col("frames").alias("stale"), wave.alias("wave")), "todo")
+    told = todo.agg(F.count("*").alias("parts"), F.count_distinct("wave").alias("waves"), F.count_distinct("wave", "clip").alias("pieces")).first()
+    report = {"segments": 0, "frames": 0, "halved": 0, "parts": told.parts, "waves": told.waves}
+    if told.parts and stride:
+        report |= _driven(frames, plan, todo, repairer, mask, path, size, stride, told.pieces)
+    elif told.parts:
+        done = _wave(frames, plan, todo.drop("wave", "stale"), repairer, mask, size)
         seen = Observation()
         counted = done.observe(seen, F.count("*").alias("frames"), F.count_if("head").alias("segments"), F.count_if(F.col("halved") > 0).alias("halved"))
         write_container(counted.select("clip", "part", "i", "px", "expected"), path, size)
-        report = {**report, "waves": report["waves"] + 1, **{k: report[k] + v for k, v in seen.get.items()}}
+        report |= seen.get
     joined = wanted.join(container_states(spark, path), ["clip", "part"], "full").where("NOT (frames <=> expected)")
     if not joined.isEmpty():
         raise ValueError(f"the parts under {path} do not join: {joined.first()}")
     return report
 
 
+#: Pieces (the parts of a clip that are committed at a time) that a task works on, and tasks for each core where there are few.
+PIECES, TASKS = 512, 3
+
+
+def _driven(frames: DataFrame, plan: DataFrame, todo: DataFrame, repairer: Repairer, mask: np.ndarray, path: str, size: int, stride: int, pieces: int) -> dict[str, int]:
+    """Repair the parts in ``todo`` and commit them, ``stride`` of a clip at a time; segments, frames, halved.
+
+    A piece is the segments that reach into these parts, with their context. It is worked on by one task, and a task goes through its own by wave.
+    """
+    context = frames.sparkSession.sparkContext
+    of = plan.withColumn("wave", F.explode(F.sequence(F.floor(F.col("s") / (size * stride)), F.floor((F.col("e") - 1) / (size * stride)))))
+    parts = todo.groupBy("clip", "wave").agg(F.sort_array(F.collect_list(F.struct("part", "expected", "stale"))).alias("parts"))
+    some = of.join(parts, ["clip", "wave"])
+    bodies = lambda p: (F.col("s") < p["part"] * size + p["expected"]) & (F.col("e") > p["part"] * size)
+    some = some.where(F.exists("parts", bodies))
+    seen = some.select("clip", "wave", "parts", "s", "e", F.explode(F.sequence(F.col("s") - F.col("left"), F.col("e") + F.col("right") - 1)).alias("i"))
+    tasks = max(1, min(pieces, max(TASKS * context.defaultParallelism, -(-pieces // PIECES))))
+    rows = seen.join(frames.select("clip", "i", "px"), ["clip", "i"]).select("clip", "wave", "parts", "s", "e", "i", "px")
+    dealt = rows.repartition(tasks, "wave", "clip").sortWithinPartitions("wave", "clip", "s", "i")
+    staging = Staging(path)
+    tries = 1 if context.master.split("[")[0] == "local" else int(context.getConf().get("spark.task.maxFailures", "4"))
+    try:
+        done = dealt.mapInArrow(_pieces(repairer, mask, size, staging, tries), "wave long, clip long, segments long, frames long, halved long, failure string")
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("segments", "frames", "halved")]
+        told = done.agg(*sums, F.min(F.when(F.col("failure").isNotNull(), F.struct("wave", "clip", "failure"))).alias("failed")).first()
+    finally:
+        staging.sweep()
+    if told.failed:
+        raise RuntimeError(f"wave {told.failed.wave} of clip {told.failed.clip}: {told.failed.failure}")
+    return {c: told[c] for c in ("segments", "frames", "halved")}
+
+
+def _pieces(repairer: Repairer, mask: np.ndarray, size: int, staging: Staging, tries: int):
+    """Over rows of pieces, by wave, clip, segment and frame: each piece repaired and committed."""
+
+    def finished(batches: list[pa.RecordBatch]) -> tuple[int, int, int]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        clip, parts = rows.column("clip")[0].as_py(), rows.column("parts")[0].as_py()
+        s, e, i = (rows.column(c).to_numpy() for c in ("s", "e", "i"))
+        px = rows.column("px").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, *mask.shape)
+        body, halved, out = (i >= s) & (i < e), np.zeros(len(i), np.int64), np.empty_like(px)
+        ends = np.append(np.flatnonzero(np.diff(s)) + 1, len(s))
+        for a, z in zip([0, *ends[:-1]], ends, strict=True):
+            out[a:z], halved[a:z] = repaired_or_halved(repairer, px[a:z], mask)
+        at, out, halved, heads = i[body], out[body], halved[body], (i == s)[body]
+        proven, told = [], np.zeros(3, np.int64)
+        for part in parts:
+            first = part["part"] * size
+            a, z = np.searchsorted(at, (first, first + part["expected"]))
+            if z - a != part["expected"]:
+                raise ValueError(f"part {part['part']} of clip {clip} holds {z - a} frames of {part['expected']}")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (z - a) * mask.size + 1, mask.size, dtype=np.int32)), pa.array(out[a:z].reshape(-1)))
+            columns = [pa.array(np.full(z - a, clip)), pa.array(np.full(z - a, part["part"])), pa.array(at[a:z]), lists]
+            proven.append((part["part"], first, part["stale"], pa.table(columns, ["clip", "part", "i", "px"])))
+            told += (heads[a:z].sum(), z - a, (halved[a:z] > 0).sum())
+        staging.commit(clip, proven)
+        return tuple(told.tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, failed = None, False
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal failed
+            told, failure = (0, 0, 0), None
+            if not held or failed:
+                return
+            try:
+                told = finished(held)
+            except Exception as error:
+                if TaskContext.get().attemptNumber() + 1 < tries:
+                    raise
+                failed, failure = True, f"{type(error).__name__}: {error}"
+            kinds = [pa.int64()] * 5 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*last, *told, failure), kinds, strict=True)], ["wave", "clip", "segments", "frames", "halved", "failure"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("wave", "clip")], axis=1)
+            starts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist()] if len(keys) else []
+            for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
+                key = tuple(keys[a].tolist())
+                if key != last:
+                    yield from done()
+                    held, last = [], key
+                held.append(batch.slice(a, z - a))
+        yield from done()
+
+    return run
+
+
 def _wave(frames: DataFrame, plan: DataFrame, todo: DataFrame, repairer: Repairer, mask: np.ndarray, size: int) -> DataFrame:
     """(clip, part, expected, i, px, halved, head) of the parts in ``todo``; a head is the first of these frames in its segment."""
     of = plan.withColumn("part", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size))))

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -26,6 +26,8 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 NAME = re.compile(r"clip-(-?\d+)\.part-(\d+)\.frames-(\d+)\.parquet")
+#: Files and bytes of them that a task reads at most; batches of a few frames that go to Spark together, and bytes from which one goes alone.
+TASK_PARTS, TASK_BYTES, BATCHES, BATCH_BYTES = 256, 32 << 20, 64, 1 << 20
 _TESTS = {
     EqualTo: lambda have, want: have == want,
     In: lambda have, want: have in want,
@@ -48,20 +50,33 @@ class Part:
     part: int
     frames: int
     path: str
+    size: int
 
 
 def _listed(path: str) -> list[Part]:
     files, base = _opened(path)
     found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
-    named = [(NAME.fullmatch(f.base_name), f.path) for f in found if f.is_file]
-    return sorted((Part(*map(int, m.groups()), p) for m, p in named if m), key=lambda p: (p.clip, p.part))
+    named = [(NAME.fullmatch(f.base_name), f.path, f.size) for f in found if f.is_file]
+    return sorted((Part(*map(int, m.groups()), p, n) for m, p, n in named if m), key=lambda p: (p.clip, p.part))
 
 
-class OnePart(InputPartition):
-    """A task reads one part."""
+class SomeParts(InputPartition):
+    """A task reads some parts, one after the other."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+def _grouped(parts: list[Part]) -> list[SomeParts]:
+    """``parts`` in groups that a task reads, of at most so many files and bytes (or one file)."""
+    groups, size = [], 0
+    for p in parts:
+        if not groups or len(groups[-1]) == TASK_PARTS or size + p.size > TASK_BYTES:
+            groups.append([])
+            size = 0
+        groups[-1].append(p.path)
+        size += p.size
+    return [SomeParts(g) for g in groups]
 
 
 class PartReader(DataSourceReader):
@@ -78,17 +93,23 @@ class PartReader(DataSourceReader):
             else:
                 self.tests.append((f.attribute[0], test, f.value))
 
-    def partitions(self) -> list[OnePart]:
-        kept = [p for p in _listed(self.path) if all(test(getattr(p, name), value) for name, test, value in self.tests)]
-        return [OnePart(p.path) for p in kept]
+    def partitions(self) -> list[SomeParts]:
+        return _grouped([p for p in _listed(self.path) if all(test(getattr(p, name), value) for name, test, value in self.tests)])
 
-    def read(self, partition: OnePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: SomeParts) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a container without parts
             return
         files, _ = _opened(self.path)
-        with files.open_input_file(partition.path) as file:
-            for batch in pq.ParquetFile(file).iter_batches(columns=self.schema.names):
-                yield batch.select(self.schema.names).cast(self.schema)  # asked for as other types, perhaps
+        held: list[pa.RecordBatch] = []  # of short parts, to be sent together
+        for path in partition.paths:
+            with files.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(columns=self.schema.names):
+                    held.append(batch.select(self.schema.names).cast(self.schema))  # asked for as other types, perhaps
+                    if sum(b.nbytes for b in held[-2:]) > BATCH_BYTES or len(held) == BATCHES:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 @dataclass
@@ -106,13 +127,13 @@ class _Open:
         self.file = files.open_output_stream(path)
         self.writer = pq.ParquetWriter(self.file, schema)
 
-    def add(self, rows: pa.RecordBatch) -> None:
+    def add(self, rows: pa.RecordBatch | pa.Table) -> None:
         for i in rows.column("i").to_pylist():
             if i != self.next:
                 raise ValueError(f"part {self.part} of clip {self.clip}: frame {i} where {self.next} should be")
             self.next += 1
         self.frames += len(rows)
-        self.writer.write_batch(rows)
+        self.writer.write(rows)
 
     def close(self) -> tuple:
         self.drop()
@@ -224,10 +245,35 @@ def read_container(spark: SparkSession, path: str) -> DataFrame:
 
 
 def container_states(spark: SparkSession, path: str) -> DataFrame:
-    """(clip, part, frames) of the parts under ``path``, from their names."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], "clip long, part long, frames long")
-    named = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    of = [F.regexp_extract("name", f"^{NAME.pattern}$", k + 1).cast("long").alias(c) for k, c in enumerate(("clip", "part", "frames"))]
-    return named.where(F.col("name").rlike(f"^{NAME.pattern}$")).select(*of)
+    """(clip, part, frames) of the parts under ``path``, from their names, which the driver lists."""
+    parts = _listed(path)
+    names = ("clip", "part", "frames")
+    return spark.createDataFrame(pa.table({n: pa.array([getattr(p, n) for p in parts], pa.int64()) for n in names}), ", ".join(f"{n} long" for n in names))
+
+
+@dataclass(frozen=True)
+class Staging:
+    """A folder in a container, from which tasks put parts into place as soon as they have proven them."""
+
+    path: str
+    name: str = field(default_factory=lambda: f"_staging-{uuid.uuid4().hex}")
+
+    def commit(self, clip: int, parts: list[tuple[int, int, int | None, pa.Table]]) -> None:
+        """Put ``parts`` (part, its first frame, frames of the file that it replaces, rows) of a clip into place, once all of them are written."""
+        files, base = _opened(self.path)
+        files.create_dir(f"{base}/{self.name}", recursive=True)
+        staged = []
+        for part, first, stale, rows in parts:
+            now = _Open(files, f"{base}/{self.name}/{uuid.uuid4().hex}", clip, part, rows.num_rows, first, rows.schema)
+            now.add(rows)
+            staged.append((*now.close(), stale))
+        for at, _, part, frames, stale in staged:
+            files.move(at, f"{base}/clip-{clip}.part-{part}.frames-{frames}.parquet")
+            if stale is not None and stale != frames:
+                files.delete_file(f"{base}/clip-{clip}.part-{part}.frames-{stale}.parquet")
+
+    def sweep(self) -> None:
+        """Drop what tasks that failed have left."""
+        files, base = _opened(self.path)
+        if files.get_file_info(f"{base}/{self.name}").type == fs.FileType.Directory:
+            files.delete_dir(f"{base}/{self.name}")

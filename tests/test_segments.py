@@ -86,6 +86,42 @@ def test_a_run_that_broke_off_is_taken_up(spark, tmp_path):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
+def test_jobs_and_tasks_do_not_grow_with_waves(spark, tmp_path):
+    s, path = Settings("steady", 4, 9, 3, 4), f"file://{tmp_path}/run"
+    spark.sparkContext.setJobGroup("many waves", "")
+    report = drive(clips(spark, (300, 5)), cuts(spark, (0, 100)), MASK, path, s, stride=1)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("many waves")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (report["waves"], report["parts"], report["frames"]) == (75, 77, 305) and len(jobs) < 75
+    assert repaired(spark, path).rdd.getNumPartitions() == 1
+    got, want = rows(spark, path), in_memory((300, 5), [(0, 100)], s)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_a_failure_stops_no_other_piece(spark, tmp_path):
+    s, path = Settings("early", 4, 9, 3, 12), f"file://{tmp_path}/run"
+
+    def early(frames, mask):
+        if (frames[:, 0, 0] == 2).any():  # clip 1, in the first wave
+            raise ValueError("broken clip")
+        return repairer_of("steady")(frames, mask)
+
+    register("early", early)
+    with pytest.raises(RuntimeError, match="wave 0 of clip 1: ValueError: broken clip"):
+        drive(clips(spark, (50, 7)), cuts(spark), MASK, path, s, stride=2)
+    kept = {(r.clip, r.part) for r in container_states(spark, path).collect()}
+    assert kept and (1, 0) not in kept and not [f for f in os.listdir(f"{tmp_path}/run") if f.startswith("_staging")]
+
+
+def test_a_clip_that_has_grown_is_taken_up_in_waves(spark, tmp_path):
+    s, path = Settings("steady", 4, 9, 3, 12), f"file://{tmp_path}/run"
+    drive(clips(spark, (29,)), cuts(spark), MASK, path, s, stride=2)
+    stamps = {k: os.stat(f"{tmp_path}/run/clip-0.part-{k}.frames-12.parquet").st_mtime_ns for k in (0, 1)}
+    assert drive(clips(spark, (40,)), cuts(spark), MASK, path, s, stride=2)["parts"] == 2
+    assert sorted(f for f in os.listdir(f"{tmp_path}/run") if f[0] not in "._") == [f"clip-0.part-{k}.frames-{n}.parquet" for k, n in ((0, 12), (1, 12), (2, 12), (3, 4))]
+    assert all(os.stat(f"{tmp_path}/run/clip-0.part-{k}.frames-12.parquet").st_mtime_ns == at for k, at in stamps.items())
+
+
 def test_other_settings_start_anew(spark, tmp_path):
     path = f"file://{tmp_path}/run"
     drive(clips(spark, SIZES), cuts(spark), MASK, path, Settings("steady", 4, 9, 3, 12))
